@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import license_texts, licenses, line_dedup, url_filter
+from corvane.llm import embedding_dedup, license_texts, licenses, line_dedup, simhash, url_filter, vptree
 from corvane.sources.tables import table
 
 
@@ -15,19 +15,36 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of equal labels at a cosine of 0.98 or more."""
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The license that each document is, by its digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", "license_digest", "license_id", "is_license")
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents by fingerprints of 3-word shingles that differ in two bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_vptree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors to every fiftieth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on each page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_license_scan, op6_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter)}
 
 
 def _quoted(text: str) -> str:
@@ -92,4 +109,30 @@ fitted AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, pattern
 FROM fitted"""
 
-ORACLES = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_license_scan": LICENSE_SCAN_SQL, "op6_url_filter": URL_FILTER_SQL}
+_ABLE_SQL = """
+able AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+EMBEDDING_DEDUP_SQL = f"""
+WITH RECURSIVE {_ABLE_SQL},
+linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+reach AS (SELECT a AS vec_id, b AS other FROM linked UNION SELECT r.vec_id, l.b FROM reach r JOIN linked l ON r.other = l.a),
+least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM linked GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(other, vec_id)) AS kept
+FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
+
+NEAREST_SQL = f"""
+WITH {_ABLE_SQL},
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM able q JOIN able c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5"""
+
+ORACLES = {"op2_embedding_dedup": EMBEDDING_DEDUP_SQL, "op5_vptree_search": NEAREST_SQL, "op1_line_dedup": LINE_DEDUP_SQL, "op3_license_scan": LICENSE_SCAN_SQL, "op6_url_filter": URL_FILTER_SQL}
