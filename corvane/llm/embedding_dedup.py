@@ -97,7 +97,7 @@ def _compare(rows: pd.DataFrame, threshold: float, seed: int) -> pd.DataFrame:
             linked[left[i], right[j]] = True
     linked |= linked.T
     np.fill_diagonal(linked, False)
-    ids, counts = rows["vec_id"].to_numpy(), linked.sum(1)
+    ids, counts = rows["vec_id"].to_numpy(), linked @ rows["copies"].to_numpy()
     has = np.flatnonzero(counts)
     out = [pd.DataFrame({"a": ids[has], "b": pd.array([None] * len(has), "Int64"), "n": counts[has]})]
     if len(has):
@@ -114,7 +114,7 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     nothing and stand for themselves. Rows that repeat a vec_id are one vector: the least (label, embedding) that can
     link. Rows with a null vec_id are left out. An empty table gives an empty table; other columns are ignored.
 
-    A label's vectors go to the nearest of a fixed number of pivots and on to blocks of about `block` rows, so a
+    Equal vectors of a label are compared once, weighted by their number. A label's different vectors go to the nearest of a fixed number of pivots and on to blocks of about `block` rows, so a
     hot label or a large group of copies is many blocks. Pairs of blocks whose pivots lie farther apart than both
     radii and the threshold's angle allow are skipped by the triangle inequality; the others are compared code by
     code, a task for each pair. A pair of blocks yields the number of links of each vector and a spanning forest, so
@@ -123,6 +123,9 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
     every = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), F.col(label).cast("string").alias("label")).where("vec_id is not null")
     able = every.where(usable("embedding") & F.col("label").isNotNull()).withColumn("label", F.concat_ws("/", F.size("embedding"), "label"))
     able = able.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
+    alike = stored(able.groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "alike")
+    members = able.join(alike, ["label", "embedding"]).select("vec_id", "class_id", "copies")
+    able = alike.withColumnRenamed("class_id", "vec_id")
 
     # Pivots: of each length the vectors of the smallest hashes; they are few, whatever the input.
     able = able.withColumn("dim", F.size("embedding"))
@@ -139,7 +142,7 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
                 yield rows.assign(code=[c.tobytes() for c in codes], factor=factors, cell=cosines.argmax(1), angle=np.arccos(cosines.max(1)))
 
     kind = dict(able.dtypes)["embedding"]
-    coded = stored(able.mapInPandas(code, f"vec_id long, label string, embedding {kind}, dim int, code binary, factor double, cell int, angle double"), "codes")
+    coded = stored(able.select("label", "embedding", "vec_id", "copies", "dim").mapInPandas(code, f"label string, embedding {kind}, vec_id long, copies long, dim int, code binary, factor double, cell int, angle double"), "codes")
     cells = coded.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     placed = coded.join(F.broadcast(cells) if cells.count() <= BROADCAST_ROWS else cells, ["label", "cell"])
     placed = placed.withColumn("block", F.concat_ws("/", "cell", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("parts"))))
@@ -155,10 +158,12 @@ def near_duplicate_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding
         .select("label", "bi", "bj")
     )
     sides = pairs.select("label", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
-    dealt = placed.select("vec_id", "label", "block", "embedding", "code", "factor").join(sides, ["label", "block"])
+    dealt = placed.select("vec_id", "copies", "label", "block", "embedding", "code", "factor").join(sides, ["label", "block"])
     found = stored(dealt.groupBy("label", "bi", "bj").applyInPandas(lambda rows: _compare(rows, threshold, seed), "a long, b long, n long"), "links")
-    counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "vec_id")
-    out = every.select("vec_id").distinct().join(counts, "vec_id", "left").join(roots, "vec_id", "left")
+    counts = found.groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("n_links"))
+    roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "class_id")
+    members = members.join(counts, "class_id", "left").join(roots, "class_id", "left")
+    members = members.select("vec_id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
+    out = every.select("vec_id").distinct().join(members, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

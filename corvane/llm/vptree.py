@@ -93,8 +93,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embe
 
     points, asked = tidy(vectors), tidy(queries)
     shards, blocks = max(1, -(-points.count() // shard)), max(1, -(-asked.count() // block))
-    points = points.select("vec_id", "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
-    asked = asked.select("vec_id", "embedding", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks)).alias("block"))
+    points = points.select("vec_id", "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    asked = asked.select("vec_id", "embedding", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks)).cast("long").alias("block"))
 
     def find(rows: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})]
