@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import embedding_dedup, license_texts, licenses, line_dedup, simhash, url_filter, vptree
+import corpus_pipeline
+from corvane.llm import embedding_dedup, langid, license_texts, licenses, line_dedup, mixing, packing, quality, simhash, url_filter, vptree
 from corvane.sources.tables import table
 
 
@@ -44,7 +45,41 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter)}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for each document, its source being the host and its language the path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a corpus of as many tokens in which sources have tempered weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "n_tokens", "epoch", "block", "at")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequence of each piece of each document; equal texts are one cluster."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("cluster"))
+    return packing.pack(sized)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter, op7_quality, op8_mixing, op9_language_id, op10_best_fit_packing, pipeline)
+}
 
 
 def _quoted(text: str) -> str:
@@ -135,4 +170,58 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5"""
 
-ORACLES = {"op2_embedding_dedup": EMBEDDING_DEDUP_SQL, "op5_vptree_search": NEAREST_SQL, "op1_line_dedup": LINE_DEDUP_SQL, "op3_license_scan": LICENSE_SCAN_SQL, "op6_url_filter": URL_FILTER_SQL}
+
+def _hash_sql(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+def _bisect_sql(name: str, keep: str) -> str:
+    """Bisection of the exponent: `keep` says of the middle `m` whether the lower end moves up."""
+    return f"""
+{name}(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, CASE WHEN up THEN m ELSE lo END, CASE WHEN up THEN hi ELSE m END
+  FROM (SELECT i, lo, hi, m, {keep} AS up
+    FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m FROM {name}) b, total,
+      LATERAL (SELECT sum(pow(p, b.m)) AS z, sum(pow(p, b.m) * ln(p)) AS zl FROM shares) s)
+  WHERE i < {mixing.STEPS})"""
+
+
+_Z1 = "(SELECT sum(pow(p, {a}) * {x}) FROM shares)"
+MIXING_SQL = f"""
+WITH RECURSIVE light AS (
+  SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS k, 's' || source AS src,
+    CAST(coalesce(len(regexp_extract_all(text, {_quoted(mixing.WORD)})), 0) AS BIGINT) AS n_tokens FROM documents),
+sources AS (SELECT src, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM light GROUP BY src HAVING sum(n_tokens) > 0),
+total AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total, min(tokens) AS least, count(*) AS n FROM sources),
+shares AS (SELECT src, tokens / total AS p FROM sources, total),
+{_bisect_sql("even", f"ln(z) - m * zl / z >= {mixing.ENTROPY} * ln(n)")},
+{_bisect_sql("spare", f"pow(least / total, m - 1) / z > {mixing.REPEATS}")},
+ends AS (SELECT
+  CASE WHEN {_Z1.format(a="1", x="ln(p)")} * -1 >= {mixing.ENTROPY} * (SELECT ln(n) FROM total) THEN 1.0
+    ELSE (SELECT max_by(lo, i) FROM even) END AS a,
+  CASE WHEN (SELECT pow(least / total, -1) / n FROM total) <= {mixing.REPEATS} THEN 0.0 ELSE (SELECT max_by(hi, i) FROM spare) END AS b),
+chosen AS (SELECT CAST(greatest(a, b) AS DOUBLE) AS a FROM ends),
+plan AS (
+  SELECT src, tokens, CAST(floor(pow(p, a) / z * total) AS BIGINT) AS quota, least({mixing.MOST_BLOCKS}, CAST(ceil(tokens / {mixing.BLOCK_TOKENS}.0) AS BIGINT)) AS blocks
+  FROM sources JOIN shares USING (src), total, chosen, (SELECT sum(pow(p, (SELECT a FROM chosen))) AS z FROM shares)),
+parts AS (SELECT *, quota // tokens AS whole, quota % tokens AS rest FROM plan WHERE quota > 0),
+dealt AS (SELECT *, {_hash_sql(str(mixing.SEED), "'block'", "k")} % blocks AS block FROM light JOIN parts USING (src)),
+shown AS (
+  SELECT *, {_hash_sql(str(mixing.SEED), "'turn'", "src", "epoch", "block")} AS turn, {_hash_sql(str(mixing.SEED), "'place'", "epoch", "k")} AS place
+  FROM (SELECT *, unnest(range(whole + 1)) AS epoch FROM dealt)),
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY turn, block, place, k) AS upto FROM shown),
+stop AS (SELECT src, epoch, min((turn, block, place, k)) AS at FROM summed WHERE upto > rest AND epoch = whole GROUP BY ALL)
+SELECT doc_id, source, n_tokens, epoch, block, (epoch + turn / {mixing.SPAN}) * tokens / quota AS at
+FROM summed LEFT JOIN stop USING (src, epoch)
+WHERE epoch < whole OR rest > 0 AND (turn, block, place, k) < stop.at"""
+
+ORACLES = {
+    "op1_line_dedup": LINE_DEDUP_SQL,
+    "op2_embedding_dedup": EMBEDDING_DEDUP_SQL,
+    "op3_license_scan": LICENSE_SCAN_SQL,
+    "op5_vptree_search": NEAREST_SQL,
+    "op6_url_filter": URL_FILTER_SQL,
+    "op8_mixing": MIXING_SQL,
+}
