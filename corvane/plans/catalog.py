@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from corvane.plans import catalogue, matches, measured, ordered  # noqa: F401
+from corvane.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Runtime SQL settings: all are Spark's own, none changes a result.
@@ -28,3 +31,14 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g", app
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_own: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; under a local one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corvane-"))
+    return f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}/{label}"
