@@ -51,7 +51,7 @@ def commented_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
         at = [header.get(c.lower()) for c in columns]
         if any(i is not None for i in at):
             for n, r in rows[1:]:
-                yield (n, *[r[i] if i is not None and i < len(r) else None for i in at], list(meta.items()))
+                yield (n, *[r[i] if i is not None and i < len(r) else None for i in at], meta)
 
     def read(batches):
         for batch in batches:
