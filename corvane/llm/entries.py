@@ -204,7 +204,7 @@ ends AS (SELECT
   CASE WHEN (SELECT pow(least / total, -1) / n FROM total) <= {mixing.REPEATS} THEN 0.0 ELSE (SELECT max_by(hi, i) FROM spare) END AS b),
 chosen AS (SELECT CAST(greatest(a, b) AS DOUBLE) AS a FROM ends),
 plan AS (
-  SELECT src, tokens, CAST(floor(pow(p, a) / z * total) AS BIGINT) AS quota, least({mixing.MOST_BLOCKS}, CAST(ceil(tokens / {mixing.BLOCK_TOKENS}.0) AS BIGINT)) AS blocks
+  SELECT src, tokens, CAST(floor(pow(p, a) / z * total + 0.5) AS BIGINT) AS quota, least({mixing.MOST_BLOCKS}, CAST(ceil(tokens / {mixing.BLOCK_TOKENS}.0) AS BIGINT)) AS blocks
   FROM sources JOIN shares USING (src), total, chosen, (SELECT sum(pow(p, (SELECT a FROM chosen))) AS z FROM shares)),
 parts AS (SELECT *, quota // tokens AS whole, quota % tokens AS rest FROM plan WHERE quota > 0),
 dealt AS (SELECT *, {_hash_sql(str(mixing.SEED), "'block'", "k")} % blocks AS block FROM light JOIN parts USING (src)),

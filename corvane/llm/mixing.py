@@ -94,7 +94,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """`docs` as often as each is to be seen, with n_tokens, epoch, block and at.
 
     A source's weight is its tempered share (see temper), its quota that share of `budget` tokens, by default those of
-    the corpus. A quota is whole epochs over the source and a part of one more. In each epoch a source's blocks are
+    the corpus, rounded to a whole one. A quota is whole epochs over the source and a part of one more. In each epoch a source's blocks are
     permuted anew; the last one ends in the document that would exceed the quota, which stays out. `at` is how much of
     a source's quota goes before a block: documents sorted by it show the target weights all along.
 
@@ -110,7 +110,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     light = stored(docs.select(key.alias("k"), src.alias("src"), tokens(F.col(text)).alias("n_tokens")), "tokens")
     sources = stored(light.groupBy("src").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "sources")
     found = temper(sources, entropy, repeats, budget)
-    quota = F.floor(F.pow(F.col("tokens") / F.lit(float(max(found.total, 1))), F.lit(found.exponent)) / F.lit(found.total_power) * F.lit(float(found.budget))).cast("long")
+    quota = F.floor(F.pow(F.col("tokens") / F.lit(float(max(found.total, 1))), F.lit(found.exponent)) / F.lit(found.total_power) * F.lit(float(found.budget)) + 0.5).cast("long")
     plan = sources.withColumn("quota", quota).where("quota > 0")
     plan = plan.withColumn("full", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens"))
     plan = plan.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("tokens") / F.lit(float(block_tokens))).cast("long")))
