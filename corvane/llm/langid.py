@@ -57,9 +57,8 @@ def has_letter(text: str | None) -> bool:
 
 
 def machine(x: np.ndarray, sign: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 7) -> np.ndarray:
-    """Weights, bias last, of a linear support vector machine: dual coordinate descent on the squared hinge loss. Both
-    classes weigh the same in sum."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    """Weights of a linear support vector machine: dual coordinate descent on the squared hinge loss. Both classes weigh
+    the same in sum."""
     rng, w, alpha = np.random.default_rng(seed), np.zeros(x.shape[1]), np.zeros(len(x))
     each = np.where(sign > 0, len(sign) / 2 / max((sign > 0).sum(), 1), len(sign) / 2 / max((sign < 0).sum(), 1)) * cost
     slack, norm = 1 / (2 * each), np.einsum("ij,ij->i", x, x)
@@ -82,12 +81,14 @@ class Model(NamedTuple):
 
 
 def fit(x: np.ndarray, lang: list[str]) -> Model:
-    """A model of profiles `x` and their languages; no rows make a model that knows no language."""
+    """A model of profiles `x`, a column of ones last, and their languages; no rows make a model that knows none."""
     of = {c: family(c) for c in sorted(set(lang))}
     families, tags = sorted(set(of.values())), np.array(lang, object)
     kin = np.array([of[c] for c in lang], object)
     several = len(families) > 1
-    family_w = np.stack([machine(x, np.where(kin == f, 1.0, -1.0)) if several else np.zeros(x.shape[1] + 1) for f in families], 1) if families else np.zeros((x.shape[1] + 1, 0))
+    family_w = np.zeros((x.shape[1], len(families)), np.float32)
+    for k, f in enumerate(families if several else []):
+        family_w[:, k] = machine(x, np.where(kin == f, 1.0, -1.0))
     languages = {f: [c for c in of if of[c] == f] for f in families}
     pairs = {}
     for f in families:
@@ -137,7 +138,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     able = able.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}
     if not counts:
-        return fit(np.zeros((0, dims), np.float32), [])
+        return fit(np.zeros((0, dims + 1), np.float32), [])
     limit = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(int(min(1.0, per_language / n) * (1 << 30))))])
     sample = able.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < limit[F.col("lang")])
 
@@ -148,8 +149,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     rows = sample.mapInPandas(profiles, f"lang string, doc_id {dict(able.dtypes)['doc_id']}, x binary").toPandas()
     rows = rows.sort_values(["lang", "doc_id", "x"], kind="stable")
-    x = np.array([np.frombuffer(b, "<f2") for b in rows["x"]], np.float32).reshape(-1, dims)
-    return fit(x, rows["lang"].tolist())
+    x = np.ones((len(rows), dims + 1), np.float32)
+    for i, b in enumerate(rows["x"]):
+        x[i, :dims] = np.frombuffer(b, "<f2")
+    lang = rows["lang"].tolist()
+    del rows
+    return fit(x, lang)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
