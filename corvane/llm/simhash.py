@@ -83,8 +83,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     shared = 8 - max_bits
     masks = [sum(0xFF << 8 * i for i in at) for at in combinations(range(8), shared)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    # So many lists come of each fingerprint that they are dealt out again before, however few bytes they have.
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # So many lists come of each fingerprint that they are dealt out again before, however few bytes they have; by a
+    # hash, as Spark leaves out a deal by the column that they are already dealt by.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     postings = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(signed)])).alias("p"))
     lists = postings.groupBy("p.at", "p.value").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
