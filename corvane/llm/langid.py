@@ -177,5 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    # Said to be nondeterministic, a text is judged once, also where a filter on the language follows.
+    judge = judge.asNondeterministic()
     out = docs.select(*names, judge(F.col(text)).alias("__judged"))
     return out.select(*names, "__judged.lang_pred", "__judged.score")
