@@ -103,12 +103,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embe
             here, ask = same[~same["asks"]], same[same["asks"]]
             if here.empty or ask.empty:
                 continue
-            units, queries = unit(here["embedding"])[0], unit(ask["embedding"])[0]
-            ids, query_ids = here["vec_id"].to_numpy(), ask["vec_id"].to_numpy()
-            found, _ = search(build(units, leaf), units, ids, queries, query_ids, k + SPARE, factor)
+            units, queries = unit(here["embedding"])[0] + 0.0, unit(ask["embedding"])[0]
+            query_ids = ask["vec_id"].to_numpy()
+            # Equal vectors are one point of the tree, however many they are; its k + 1 smallest ids stand for it.
+            point, _ = pd.factorize(np.array([x.tobytes() for x in units], object))
+            units = units[pd.Series(point).drop_duplicates().index]
+            members = pd.DataFrame({"point": point, "vec_id": here["vec_id"].to_numpy()}).groupby("point").head(k + 1)
+            found, _ = search(build(units, leaf), units, np.arange(len(units)), queries, np.full(len(queries), -1), k + SPARE, factor)
             q, at = np.nonzero(found >= 0)
             row = found[q, at]
-            ours = pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[row], "score": np.einsum("ij,ij->i", queries[q], units[row])})
+            ours = pd.DataFrame({"query_id": query_ids[q], "point": row, "score": np.einsum("ij,ij->i", queries[q], units[row])})
+            ours = ours.merge(members, on="point")
+            ours = ours.loc[ours["vec_id"] != ours["query_id"], ["query_id", "vec_id", "score"]]
             ours = ours.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             out.append(ours.groupby("query_id").head(k))
         return pd.concat(out, ignore_index=True)

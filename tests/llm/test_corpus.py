@@ -150,6 +150,15 @@ def test_vptree_finds_all(vectors, shard, block, leaf):
     assert vptree.nearest(df.limit(0), df).count() == 0
 
 
+def test_vptree_ties_of_many_copies(spark):
+    """A large group of equal vectors: ties go to the smallest ids, and a query is left out of its own group."""
+    df = spark.createDataFrame([(i, [1.0, 0.0, 0.5] if i % 3 else [0.2, float(i), 1.0], 0) for i in range(900)], "vec_id long, embedding array<float>, label int")
+    found = {}
+    for r in vptree.nearest(df, df.where("vec_id in (1, 4, 700)"), shard=128, leaf=16).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == {1: [2, 4, 5, 7, 8], 4: [1, 2, 5, 7, 8], 700: [1, 2, 4, 5, 7]}
+
+
 def test_vptree_factor_prunes(vectors):
     _, rows = vectors
     good = [(i, v) for i, (v, _) in able(rows).items() if len(v) == 24]
