@@ -34,9 +34,12 @@ def id_text(x: Column) -> Column:
     return F.format_string("0x%04X", x)
 
 
-def csv_name(text: Column) -> Column:
-    """A name that is safe in an unquoted CSV field: no quotes, commas or breaks, single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r'["\r\n,;]', " "), " +", " "))
+def csv_name(text: Column, otherwise: Column | None = None) -> Column:
+    """A name that is safe in an unquoted CSV field: quotes and control characters go, commas become blanks, blanks are
+    single. What is empty then is `otherwise`, if that is given."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"[\"'\p{Cc}]", ""), r"[,\s\p{Z}]+", " ")
+    bare = F.trim(bare)
+    return bare if otherwise is None else F.when(bare == "", otherwise).otherwise(bare)
 
 
 def file_name(text: Column, most: int = 80) -> Column:
@@ -67,9 +70,15 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"\.[^.]*$", "")
 
 
-def same_name(a: Column, b: Column, most: int = 29) -> Column:
-    """Whether two names agree as far as a reader that cuts them at `most` characters can tell."""
-    return F.left(a, F.lit(most)) == F.left(b, F.lit(most))
+def clean_label(text: Column) -> Column:
+    """A name without control characters, blanks single and none at the ends."""
+    return F.trim(F.regexp_replace(text, r"[\p{Cc}\s\p{Z}]+", " "))
+
+
+def same_name(read: Column, name: Column, most: int = 29) -> Column:
+    """Whether `read`, a name that its reader cut at `most` characters, is `name`, spacing aside."""
+    a, b = clean_label(F.left(read, F.lit(most))), clean_label(F.left(name, F.lit(most)))
+    return (a == b) | ((a != "") & clean_label(name).startswith(a))
 
 
 def energy_to_lufs(energy: Column) -> Column:
