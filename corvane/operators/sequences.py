@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators.spans import CHUNK, along, spread
+
 
 def islands(items: DataFrame, keys: list[str], at: str, gap: int, order: list[str]) -> DataFrame:
     """(keys, first, last, n): stretches whose neighbours are `gap` or less apart."""
-    w = W.partitionBy(*keys).orderBy(at, *order)
-    new = F.coalesce((F.col(at) - F.lag(at).over(w) > gap).cast("long"), F.lit(1))
-    marked = items.withColumn("__new", new).withColumn("__id", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = spread(items, keys, [at, *order])
+    rows = along(rows, keys, [at, *order], lags={"__before": F.col(at)})
+    new = F.coalesce((F.col(at) - F.col("__before") > gap).cast("long"), F.lit(1))
+    marked = along(rows.withColumn("__new", new), keys, [at, *order], sums={"__id": F.col("__new")})
     return marked.groupBy(*keys, "__id").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).drop("__id")
 
 
 def runs(items: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """(keys, value, begin, n): runs of equal values; `begin` is the zero-based place of the first row."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("long")
-    marked = items.withColumn("__at", F.row_number().over(w) - 1).withColumn("__new", new)
-    marked = marked.withColumn("__id", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "__id", value).agg(F.min("__at").cast("long").alias("begin"), F.count("*").alias("n")).drop("__id")
+    rows = along(spread(items, keys, order), keys, order, lags={"__before": F.col(value)}, sums={"__at": F.lit(1)})
+    new = (~F.col(value).eqNullSafe(F.col("__before")) | (F.col("__at") == 1)).cast("long")
+    marked = along(rows.withColumn("__new", new), keys, order, sums={"__id": F.col("__new")})
+    return marked.groupBy(*keys, "__id", value).agg((F.min("__at") - 1).cast("long").alias("begin"), F.count("*").alias("n")).drop("__id")
 
 
 def longest_run(items: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -32,8 +34,7 @@ def longest_run(items: DataFrame, keys: list[str], order: list[str], value: str)
 
 def forward_fill(items: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """`items` with the last value that was not null up to each row."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return items.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return along(spread(items, keys, order), keys, order, lasts={name: value}).drop(CHUNK)
 
 
 def first_place_last_name(items: DataFrame, keys: list[str], order: Column, name: str) -> DataFrame:
@@ -54,16 +55,19 @@ def profiles(items: DataFrame, kind: str, depth: str, full: float) -> DataFrame:
 
 def novelty(items: DataFrame, keys: list[str], order: list[str], value: str, at: str) -> DataFrame:
     """(keys, before, value, at): the first time that a value follows another; `before` is null at the start."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    pairs = items.withColumn("before", F.lag(value).over(w))
+    pairs = along(spread(items, keys, order), keys, order, lags={"before": F.col(value)})
     return pairs.groupBy(*keys, "before", value).agg(F.min(at).alias(at))
 
 
+def numbered(items: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """`items` with the place of each row in its key, from one."""
+    return along(spread(items, keys, order), keys, order, sums={name: F.lit(1).cast("long")}).drop(CHUNK)
+
+
 def blocks(items: DataFrame, keys: list[str], order: list[str], n: int, value: str) -> DataFrame:
     """(keys, block, rms): whole blocks of `n` rows; a last one that is not full is left out."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    numbered = items.withColumn("block", F.floor((F.row_number().over(w) - 1) / n).cast("long"))
-    found = numbered.groupBy(*keys, "block").agg(F.count("*").alias("c"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+    placed = numbered(items, keys, order, "__at").withColumn("block", F.floor((F.col("__at") - 1) / n).cast("long"))
+    found = placed.groupBy(*keys, "block").agg(F.count("*").alias("c"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
     return found.where(F.col("c") == n).drop("c")
 
 
@@ -83,16 +87,16 @@ def lag_difference(items: DataFrame, keys: list[str], at: str, value: str, lags:
 
 def recurrence(items: DataFrame, keys: list[str], at: str, state: str) -> DataFrame:
     """(keys, distance, n): distances to the same state's last occurrence, those that are found twice at least."""
-    w = W.partitionBy(*keys, state).orderBy(at)
-    far = items.withColumn("distance", (F.col(at) - F.lag(at).over(w)).cast("long")).where("distance > 1")
+    rows = along(spread(items, [*keys, state], [at]), [*keys, state], [at], lags={"__before": F.col(at)})
+    far = rows.withColumn("distance", (F.col(at) - F.col("__before")).cast("long")).where("distance > 1")
     return far.groupBy(*keys, "distance").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 def column_profile(items: DataFrame, keys: list[str], order: list[str], value: str, fast: float = 0.5) -> DataFrame:
     """(keys, n, changes, rising, is_fast): how a byte moves: changes, whether it only steps up by 1 to 64 modulo 256,
     and whether it changes in at least the share `fast` of its steps."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    step = items.withColumn("__s", F.pmod(F.col(value) - F.lag(value).over(w), F.lit(256)))
+    rows = along(spread(items, keys, order), keys, order, lags={"__before": F.col(value)})
+    step = rows.withColumn("__s", F.pmod(F.col(value) - F.col("__before"), F.lit(256)))
     moved = F.col("__s") != 0
     return step.groupBy(*keys).agg(
         F.count("*").alias("n"),
@@ -111,8 +115,8 @@ def clean_suffix(items: DataFrame, keys: list[str], at: str, good: Column) -> Da
 
 def cut_by_next(items: DataFrame, keys: list[str], begin: str, end: str, order: list[str]) -> DataFrame:
     """`items` with `next_begin` of the same voice, and whether it cuts this row off before its end."""
-    nxt = F.lead(begin).over(W.partitionBy(*keys).orderBy(begin, *order))
-    return items.withColumn("next_begin", nxt).withColumn("is_cut", F.coalesce(F.col("next_begin") < F.col(end), F.lit(False)))
+    rows = along(spread(items, keys, [begin, *order]), keys, [begin, *order], leads={"next_begin": F.col(begin)}).drop(CHUNK)
+    return rows.withColumn("is_cut", F.coalesce(F.col("next_begin") < F.col(end), F.lit(False)))
 
 
 def first_after(requests: DataFrame, replies: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -102,10 +102,8 @@ d AS (SELECT user_id, moment - lag(moment) OVER (PARTITION BY user_id, event_typ
 SELECT user_id, distance, count(*) AS n FROM d WHERE distance > 1 GROUP BY ALL HAVING count(*) >= 2""")
 def state_recurrence(spark, sf_dir):
     """WIN13: distances at which states come back, found twice at least."""
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("user_id").orderBy(*ORDER))
-    return S.recurrence(events(spark, sf_dir).withColumn("moment", place), ["user_id"], "moment", "event_type")
+    placed = S.numbered(events(spark, sf_dir), ["user_id"], ORDER, "place")
+    return S.recurrence(placed, ["user_id"], "place", "event_type")
 
 
 @query(f"""
