@@ -39,10 +39,29 @@ def match_files(pairs: DataFrame, members: DataFrame, files: DataFrame) -> DataF
 def closest(matched: DataFrame) -> DataFrame:
     """(unit, set, found, bad): the set of most found files, then of fewest wrong or missing ones, then by name."""
     found = matched.groupBy("unit", "set").agg(F.count_if(F.col("status").isin("good", "renamed")).alias("found"), F.count_if(F.col("status").isin("wrong", "missing")).alias("bad"))
+    return _first_set(found)
+
+
+def _first_set(found: DataFrame) -> DataFrame:
     best = found.groupBy("unit").agg(F.min(F.struct((-F.col("found")).alias("o"), "bad", "set", "found")).alias("b"))
     return best.select("unit", "b.set", "b.found", "b.bad")
 
 
+def closest_sets(members: DataFrame, files: DataFrame) -> DataFrame:
+    """What `closest` gives for all candidate sets, without matching their files one by one.
+
+    A file is found by crc and size or, if it was never dumped, by name. Files are counted by content and by name before
+    the join, and what is bad is what a set has beyond that: no set is spread out into its files for every unit.
+    """
+    by_hash = files.where("not no_dump").groupBy("crc", "size", "set").agg(F.count("*").alias("n"))
+    by_hash = members.select("unit", "crc", "size").distinct().join(by_hash, ["crc", "size"]).select("unit", "set", "n")
+    by_name = files.where("no_dump").groupBy(F.lower("name").alias("__n"), "set").agg(F.count("*").alias("n"))
+    by_name = members.select("unit", F.lower("name").alias("__n")).distinct().join(by_name, "__n").select("unit", "set", "n")
+    found = by_hash.unionByName(by_name).groupBy("unit", "set").agg(F.sum("n").alias("found"))
+    sizes = files.groupBy("set").agg(F.count("*").alias("__size"))
+    return _first_set(found.join(sizes, "set").withColumn("bad", F.col("__size") - F.col("found")))
+
+
 def supplier_of(needs: DataFrame, chain: DataFrame, holds: DataFrame, keys: list[str], need: str) -> DataFrame:
     """(keys, need, supplier): for each need the first unit of its chain that holds it; null if none does.
 

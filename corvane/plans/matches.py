@@ -54,7 +54,7 @@ def file_match(spark, sf_dir):
 SELECT unit, set, found, bad FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY found DESC, bad, set) AS r FROM c) WHERE r = 1""")
 def closest_set(spark, sf_dir):
     """TOP2: the set that a unit comes closest to."""
-    return M.closest(file_match(spark, sf_dir))
+    return M.closest_sets(*identification(spark, sf_dir))
 
 
 @query("""

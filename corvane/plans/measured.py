@@ -15,6 +15,8 @@ def series(spark, sf_dir, hold: int, times: int):
     """(bucket, pcm): the values of 200 events each as samples, held and repeated, with a first part of its own."""
     cents = (F.col("value") * 100 - 8000).cast("int")
     rows = t(spark, sf_dir, "events").select(F.expr("event_id div 200").alias("bucket"), F.struct("event_id", F.greatest(F.least(cents, F.lit(32000)), F.lit(-32000)).alias("v")).alias("e"))
+    # Few bytes, much work: as many tasks as there are partitions, which Spark would join for so small a table.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
     rows = rows.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["v"]).alias("v"))
 
     def sounds(batches):

@@ -71,7 +71,7 @@ def test_identification(spark):
     assert rows(pairs) == [("u", "n"), ("u", "s")]
     found = M.match_files(pairs, members, files)
     assert rows(found, "set", "ord") == [("u", "n", 0, "good", 3), ("u", "s", 0, "good", 0), ("u", "s", 1, "renamed", 1), ("u", "s", 2, "wrong", 2), ("u", "s", 3, "missing", None)]
-    assert rows(M.closest(found)) == [("u", "s", 2, 2)]
+    assert rows(M.closest(found)) == [("u", "s", 2, 2)] == rows(M.closest_sets(members, files))
 
 
 def test_leaders_are_no_components(spark):
@@ -210,3 +210,10 @@ def test_reports_and_settings(spark, tmp_path):
     assert sinks.pack_lines(lines).first()["value"] == '0x0001,,100,90,100,0,"a b","f.wav"'
     sinks.write_lines(sinks.pack_lines(lines), str(tmp_path / "out"), "pack", ["id"], "\r\n")
     assert next((tmp_path / "out/pack=p").glob("part-*")).read_bytes().endswith(b'"f.wav"\r\n')
+
+
+def test_adpcm_streams_together_as_one_by_one():
+    rng = np.random.default_rng(5)
+    streams = [rng.integers(0, 256, n, np.uint8).tobytes() for n in [*rng.integers(0, 90, 60).tolist(), 3000, 0, 1]]
+    for got, one_stream in zip(S.ima_decode_all(streams), streams):
+        assert np.array_equal(got, S.ima_decode(one_stream))
