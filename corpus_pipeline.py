@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import langid, line_dedup, mixing, packing, simhash
+from corvane.llm import langid, line_dedup, mixing, near_dedup, packing
 from corvane.llm.common import stored
 from corvane.sources.tables import table
 
@@ -23,8 +23,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    """One document of each group of near duplicates, 0.8 or more alike on five words: the one of the smallest id."""
+    return near_dedup.one_of_each(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL has neither the fingerprints nor the classifier: the stages are tested one by one against plain versions.
+#: SQL has neither the shingle hashes nor the classifier: the stages are tested one by one against plain versions.
 ORACLE_SQL = None
 
 
