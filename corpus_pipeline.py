@@ -11,9 +11,11 @@ from corvane.sources.tables import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that their text shows, named where lang was null; those without a letter go."""
-    judged = langid.predict(docs, langid.train(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
-    return judged.select(*[F.coalesce("lang", "lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    """Documents in a language that their text shows. Where the score is sure, the text overrules the tag, and it fills a
+    null one; documents without a letter or with too low a score for any learned language go."""
+    judged = langid.predict(docs, langid.train(docs)).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.LEAST))
+    lang = F.when(F.col("score") >= langid.SURE, F.col("lang_pred")).otherwise(F.coalesce("lang", "lang_pred"))
+    return judged.select(*[lang.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
