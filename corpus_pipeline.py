@@ -36,7 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequence, slot and tokens of each piece of each document; equal texts never share a sequence."""
-    sized = docs.select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("cluster"))
+    # Near copies went before: what is left of a cluster is a document's repeats by the mixing.
+    cluster = F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster")
+    sized = docs.select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"), cluster)
     return packing.pack(sized)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import embedding_dedup, langid, license_texts, licenses, line_dedup, mixing, packing, quality, simhash, url_filter, vptree
+from corvane.llm import embedding_dedup, langid, license_texts, licenses, line_dedup, mixing, near_dedup, packing, quality, simhash, url_filter, vptree
 from corvane.sources.tables import table
 
 
@@ -65,9 +65,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training sequence of each piece of each document; equal texts are one cluster."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("cluster"))
+    """The training sequence of each piece of each document; texts that are 0.8 or more alike on five words are one cluster."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.tokens(F.col("text")).alias("n_tokens"), F.col("text").isNotNull().alias("has"), "text")
+    sized = near_dedup.grouped(docs).withColumn("cluster", F.when(F.col("has"), F.col("root")))
     return packing.pack(sized)
 
 
