@@ -1,11 +1,11 @@
-"""Session settings that the engine relies on."""
+"""Session settings that the engine relies on, and the shared folder that intermediate tables go to."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime SQL settings: all are Spark's own, none changes a result.
 SETTINGS = {
@@ -33,12 +33,40 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g", app
     return spark
 
 
+#: Folders made for local sessions that name none, by application.
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, whose executors are the
+    driver, may leave it unset and gets a folder of its own; elsewhere that is an error, as rows would be lost."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir names no folder that the executors of {master} share")
+        found = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corvane-"))
+    return found.rstrip("/")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; under a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corvane-"))
-    return f"{root.rstrip('/')}/corvane-{uuid.uuid4().hex}/{label}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}/{label}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and read it again: its lineage ends there, and a lost executor
+    costs no recomputation beyond it."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of `stored` tables that no plan needs any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at).getParent()
+        path.getFileSystem(conf).delete(path, True)
