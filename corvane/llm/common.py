@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import discard, stored
+
 #: A side of at most so many small rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Rows of an Arrow batch where whole texts go through Python.
-TEXT_BATCH = 256
-
-
-#: Folders made for sessions that name none, by application.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="corvane-"))
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again: its lineage ends there, and a lost executor
-    costs no recomputation beyond it."""
-    path = f"{shared_dir(df.sparkSession)}/corvane-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > TEXT_BATCH:
-        spark.conf.set(key, str(TEXT_BATCH))
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, marked for broadcast where a count says that it is small."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,8 +21,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns (node, component), a row for each node of a link between two different nodes; component is the smallest
     node that links reach. Alternates the large-star and small-star steps (Kiveris et al., Connected Components in
-    MapReduce and Beyond), all joins and partial aggregates; each round is a table in the shared folder, and only a
-    count and a checksum come to the driver. Null ends are ignored; repeated links, loops and no links are allowed.
+    MapReduce and Beyond), all joins and partial aggregates; each round is a table in the shared folder that replaces
+    the one before, and only a count and a checksum come to the driver. Null ends are ignored; repeated links, loops
+    and no links are allowed.
     """
     links = (
         edges.where("a is not null and b is not null and a != b")
@@ -76,8 +51,9 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        links = stored(small, "small")
-        after = state(links)
+        small = stored(small, "small")
+        discard(links, large)
+        links, after = small, state(small)
         if after == before:
             break
         before = after
