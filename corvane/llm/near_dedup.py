@@ -1,183 +1,317 @@
-"""Near-dedup by the Jaccard similarity of five-word shingles: MinHash bands propose, whole shingle sets decide."""
+"""Near-dedup at a Jaccard similarity of 0.8 on five-word shingles: SimHash links first, MinHash bands for pairs that
+no guaranteed match of positional bytes reaches; whole shingle sets decide.
+
+Two texts that are 0.8 alike differ in about ten of 64 fingerprint bits, so they need not share one positional byte, and
+the index of SimHash alone would miss most of them. MinHash bands propose those.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, components, stored, text_batches
+from corvane.llm import simhash
+from corvane.llm.common import components, discard, few, stored
 
 #: Words of a shingle, least similarity of linked texts, seed.
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
 #: Bands and the minima in each: a pair at the threshold meets in a bucket with 1 - (1 - 0.8 ** 5) ** 24 = 0.99993.
 BANDS, ROWS = 24, 5
-#: Rounds in which each bucket is compared with one of its members, before those still apart are compared pair by pair.
-ROUNDS = 2
-#: Parts that a hot bucket or a hot member is dealt to; shingles that are hashed at once.
-SALTS, AT_ONCE = 16, 2048
+#: Shingles from which minima are taken of parts of the set (one pass) instead of under as many functions.
+MANY = 128
+#: Standard deviations below the threshold at which a pair's share of equal minima rules it out: a pair at the threshold
+#: falls short of it once in 3,000,000 times, less often than it misses all buckets.
+SPREAD = 5
+#: Members of a bucket that are compared with each other at once, and rows of a task that compares buckets.
+BLOCK, TASK_ROWS = 1024, 8192
 
 _rng = np.random.default_rng(SEED)
-_FACTORS, _TERMS = (_rng.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False) for _ in range(2))
+_N = BANDS * ROWS
+_FACTORS, _TERMS = (_rng.integers(0, 1 << 64, (_N, 1), np.uint64, endpoint=False) for _ in range(2))
 _FACTORS |= np.uint64(1)
+#: Where an empty part borrows its minimum, by attempt.
+_BORROW = _rng.integers(0, _N, (512, _N))
 
 
-class _Words(dict):
-    """Hashes of words, each hashed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return found
+def _finished(x: np.ndarray) -> np.ndarray:
+    """Bits of `x`, spread over all 64."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
 
 
 def _mixed(columns, start: np.ndarray) -> np.ndarray:
     out = start
     for column in columns:
-        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        out = out ^ (out >> np.uint64(29))
+        out = _finished((out ^ column) * np.uint64(0xBF58476D1CE4E5B9))
     return out
 
 
-def shingles(text: str | None, cache: dict | None = None, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
+class _Powers:
+    """Powers of an odd number and of its inverse, to as many as a text has bytes."""
+
+    base, inverse = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = 1 << n.bit_length()
+            cls.up, cls.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64))]) for x in (cls.base, cls.inverse))
+        return cls.up[:n], cls.down[:n]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of the text: of its bytes as a polynomial, A-Z lower-cased; words are runs of bytes other than
+    blank and 9 to 13."""
+    raw = np.frombuffer(text.encode().lower() if text else b"", np.uint8)
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
+    edges = np.diff(solid)
+    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = _Powers.of(len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up, dtype=np.uint64)])
+    return _finished((sums[end] - sums[start]) * down[start])
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
     """A hash of the text's sequence of words, and the sorted distinct hashes of its shingles.
 
-    A-Z are lower-cased and words are runs of bytes between blanks, as in SimHash. A text with fewer words than a shingle
-    has is one shingle; one without words, or null, has none and the hash 0.
+    A text with fewer words than a shingle has is one shingle; one without words, or null, has none and the hash 0.
     """
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return 0, np.zeros(0, np.uint64)
-    hashed = np.fromiter(map((_Words() if cache is None else cache).__getitem__, words), np.uint64, len(words))
+    words = word_hashes(text)
+    if not len(words):
+        return 0, words
     n = min(shingle, len(words))
     last = len(words) - n + 1
-    found = np.unique(_mixed([hashed[j : last + j] for j in range(n)], np.full(last, n, np.uint64)))
-    return xxhash.xxh64_intdigest(hashed.tobytes(), SEED), found
+    joined = np.full(last, n, np.uint64)
+    for j in range(n):
+        joined = joined * np.uint64(0xD1342543DE82EF95) + words[j : last + j]
+    found = np.sort(_finished(joined))
+    return xxhash.xxh64_intdigest(words.tobytes(), SEED), found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
+def _minima_few(found: np.ndarray) -> np.ndarray:
+    """The minimum of the shingles under each of many hash functions."""
+    return (found * _FACTORS + _TERMS).min(1)
+
+
+def _minima_many(found: np.ndarray) -> np.ndarray:
+    """The minimum of each of many parts of the shingles, which are sorted; empty parts borrow one, by a fixed order."""
+    part = (found % np.uint64(_N)).astype(np.int64)
+    least, full = np.zeros(_N, np.uint64), np.zeros(_N, bool)
+    least[part[::-1]] = found[::-1]
+    full[part] = True
+    empty, out = np.flatnonzero(~full), least
+    for turn in _BORROW:
+        if not len(empty):
+            break
+        lender = turn[empty]
+        able = full[lender]
+        out[empty[able]] = least[lender[able]] + empty[able].astype(np.uint64)
+        empty = empty[~able]
+    return out
 
 
-def buckets(found: np.ndarray) -> np.ndarray:
-    """The bucket of each band for the shingles `found`; none for no shingles."""
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), AT_ONCE):
-        least = np.minimum(least, (found[at : at + AT_ONCE] * _FACTORS + _TERMS).min(1))
-    return _mixed(least.reshape(BANDS, ROWS).T, np.arange(BANDS, dtype=np.uint64))
+def sketch(found: np.ndarray) -> tuple[list[int], bytes | None, bytes | None]:
+    """Bucket ids, and the low bytes of the minima of either kind; nothing for no shingles.
+
+    Sets of under `MANY` shingles have minima of the first kind, others of the second; those of up to MANY / THRESHOLD
+    have both, so whatever is alike enough has one kind in common.
+    """
+    ids, low = [], [None, None]
+    for kind, able, minima in ((0, 0 < len(found) < MANY / THRESHOLD, _minima_few), (1, len(found) >= MANY, _minima_many)):
+        if able:
+            least = minima(found)
+            bands = _mixed(least.reshape(BANDS, ROWS).T, np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS))
+            ids += bands.view(np.int64).tolist()
+            low[kind] = (least >> np.uint64(17)).astype(np.uint8).tobytes()
+    return ids, *low
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    """`docs` without `text`, with the hashes of the text and of its words, the number of its shingles and its buckets."""
-    text_batches(docs.sparkSession)
+    """`docs` without `text`, with hashes of the text (raw) and of its words (key), the number of its shingles (n), its
+    fingerprint (fp), buckets and sketches."""
 
-    @F.pandas_udf("key long, n int, buckets array<long>")
+    @F.pandas_udf("key long, n int, fp long, buckets array<long>, few binary, many binary")
     def keys(texts: pd.Series) -> pd.DataFrame:
-        cache = _Words()
-        found = [shingles(x, cache) for x in texts]
-        return pd.DataFrame({
-            "key": np.array([k for k, _ in found], np.uint64).view(np.int64),
-            "n": np.array([len(s) for _, s in found], np.int32),
-            "buckets": [buckets(s).view(np.int64) for _, s in found],
-        })
-
-    # Said to be nondeterministic, a text is hashed once, though three columns are taken.
+        out = []
+        for x in texts:
+            key, found = shingles(x)
+            out.append((key - (1 << 64) if key >> 63 else key, len(found), simhash.majority(found) if len(found) else 0, *sketch(found)))
+        return pd.DataFrame(out, columns=["key", "n", "fp", "buckets", "few", "many"])
+
+    # Said to be nondeterministic, a text is hashed once, though several columns are taken.
     judged = keys.asNondeterministic()(F.col(text))
     kept = [c for c in docs.columns if c != text]
     out = docs.select(*kept, F.xxhash64(text).alias("__raw"), judged.alias("__k"))
-    return out.select(*kept, "__raw", "__k.key", "__k.n", "__k.buckets")
+    return out.select(*kept, "__raw", "__k.*")
+
+
+def _least_equal(threshold: float) -> float:
+    return _N * threshold - SPREAD * math.sqrt(_N * threshold * (1 - threshold))
+
+
+def _equal(one: pd.Series, two: pd.Series) -> np.ndarray:
+    """How many minima pairs of sketches have in common, -1 where either is missing."""
+    out, both = np.full(len(one), -1), (one.notna() & two.notna()).to_numpy()
+    if both.any():
+        a, b = (np.frombuffer(b"".join(x[both]), np.uint8).reshape(-1, _N) for x in (one, two))
+        out[both] = (a == b).sum(1)
+    return out
+
+
+def _likely(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the distinct `pairs` (x, y: structs of key, n, few, many) whose sizes and sketches leave them a chance."""
+
+    @F.pandas_udf("int")
+    def equal(few_x: pd.Series, few_y: pd.Series, many_x: pd.Series, many_y: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(_equal(few_x, few_y), _equal(many_x, many_y)), dtype="int32")
+
+    sized = pairs.where(F.col("x.key") != F.col("y.key")).where(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= threshold)
+    alike = sized.where(equal("x.few", "y.few", "x.many", "y.many") >= _least_equal(threshold))
+    return alike.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, found: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """(key, set): the shingles of each key of `wanted` (key), from one of the texts that have it."""
-    raws = stored(found.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("__raw").alias("__raw")).select("__raw"), "raws")
-    raws = F.broadcast(raws) if raws.count() <= BROADCAST_ROWS else raws
-    texts = docs.select(F.xxhash64(text).alias("__raw"), F.col(text).alias("text")).join(raws, "__raw", "left_semi")
+    raws = stored(found.join(few(wanted), "key", "left_semi").groupBy("key").agg(F.min("__raw").alias("__raw")).select("__raw"), "raws")
+    texts = docs.select(F.xxhash64(text).alias("__raw"), F.col(text).alias("text")).join(few(raws), "__raw", "left_semi")
 
     def sets(batches):
-        seen, cache = set(), _Words()
+        seen = set()
         for batch in batches:
-            cache.clear()
             new = []
             for raw, x in zip(batch["__raw"], batch["text"]):
                 if raw not in seen:
                     seen.add(raw)
-                    new.append(shingles(x, cache))
+                    new.append(shingles(x))
             yield pd.DataFrame({"key": np.array([k for k, _ in new], np.uint64).view(np.int64), "set": [s.view(np.int64) for _, s in new]})
 
-    return stored(texts.mapInPandas(sets, "key long, set array<long>").dropDuplicates(["key"]), "sets")
+    out = stored(texts.mapInPandas(sets, "key long, set array<long>").dropDuplicates(["key"]), "sets")
+    discard(raws)
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): those `pairs` whose shingle sets are similar enough. A member of many pairs is dealt to several tasks."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    firsts = pairs.select("a", "salt").distinct().join(sets.select(F.col("key").alias("a"), F.col("set").alias("one")), "a")
-    other = F.pmod(F.xxhash64("a"), F.lit(SALTS))
-    seconds = pairs.select("b", other.alias("other")).distinct().join(sets.select(F.col("key").alias("b"), F.col("set").alias("two")), "b")
-    both = pairs.withColumn("other", other).join(firsts, ["a", "salt"]).join(seconds, ["b", "other"])
+def _verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, text: str, threshold: float) -> DataFrame:
+    """(a, b): those `pairs` whose whole shingle sets are similar enough, as a stored table."""
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+    sets = _sets(docs, found, wanted, text)
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("two")), "b")
     common = F.size(F.array_intersect("one", "two"))
-    return both.where(common / (F.size("one") + F.size("two") - common) >= threshold).select("a", "b")
-
-
-def _live(members: DataFrame, turn: int) -> DataFrame:
-    """`members` (bucket, key, n, root) of buckets that hold several roots, with one of the bucket's members as `lead`;
-    which one, changes with `turn`."""
-    lead = F.min_by(F.struct("key", "n", "root"), F.struct(F.xxhash64("key", F.lit(turn)), "key")).alias("lead")
-    heads = members.groupBy("bucket").agg(F.min("root").alias("__least"), F.max("root").alias("__most"), lead).where("__least != __most")
-    heads = heads.select("bucket", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(heads, ["bucket", "salt"])
-
-
-def _alike(n, m, threshold: float):
-    """Whether sets of these sizes can be similar enough at all."""
-    return F.least(n, m) / F.greatest(n, m) >= threshold
+    out = stored(both.where(common / (F.size("one") + F.size("two") - common) >= threshold).select("a", "b"), "linked")
+    discard(pairs, wanted, sets)
+    return out
 
 
-def links(docs: DataFrame, found: DataFrame, text: str, threshold: float = THRESHOLD) -> DataFrame:
+def _by_simhash(keys: DataFrame, max_bits: int = simhash.MAX_BITS) -> DataFrame:
+    """(x, y): keys of equal fingerprints, each with the least of them, and those of linked fingerprints."""
+    reps = stored(keys.groupBy("fp").agg(F.min_by(F.struct("key", "n", "few", "many"), "key").alias("rep"), F.count("*").alias("of")), "fingerprints")
+    one = F.struct("key", "n", "few", "many").alias("x")
+    equal = keys.join(few(reps.where("of > 1")), "fp").select(one, F.col("rep").alias("y"))
+    linked = stored(simhash.links(reps.select("fp"), max_bits).distinct(), "links")
+    near = few(linked).join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+    return equal.unionByName(near)
+
+
+def _members(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(bucket, key, n, few, many, root, size): the members of buckets that hold several roots; `lead` is one of them."""
+    postings = keys.select("key", F.explode("buckets").alias("bucket"))
+    if roots is not None:
+        postings = postings.join(few(roots), "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component")
+    else:
+        postings = postings.withColumn("root", F.col("key"))
+    heads = postings.groupBy("bucket").agg(F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("lead"), F.min("root").alias("__least"), F.max("root").alias("__most"), F.count("*").alias("size"))
+    heads = stored(heads.where("__least != __most").select("bucket", "lead", "size"), "heads")
+    live = postings.join(few(heads), "bucket")
+    return live.join(keys.select("key", "n", "few", "many"), "key")
+
+
+def _by_leads(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """(x, y): each member of a bucket with the bucket's lead."""
+    leads = stored(members.select("lead").distinct(), "leads")
+    leads = few(leads).join(keys.select(F.col("key").alias("lead"), F.struct("key", "n", "few", "many").alias("y")), "lead")
+    return members.select("lead", F.struct("key", "n", "few", "many").alias("x")).join(few(stored(leads, "lead_rows")), "lead").select("x", "y")
+
+
+def _by_blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): the likely pairs of each bucket that no link connects yet. Buckets of over `block` members are several
+    blocks, of which each pair is compared apart; small buckets go through a task together. Only likely pairs leave it."""
+    least = _least_equal(threshold)
+    parts = F.ceil(F.col("size") / block).cast("int")
+    placed = members.withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = placed.select("bucket", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "part", "key", "n", "few", "many", "root")
+    tasks = max(1, -(-members.agg(F.coalesce(F.sum(parts), F.lit(0))).first()[0] // TASK_ROWS))
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "bi", "bj"), F.lit(tasks)))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bucket", "bi", "bj", "key"]).reset_index(drop=True)
+        key, n, root, part, bi, bj = (rows[c].to_numpy() for c in ("key", "n", "root", "part", "bi", "bj"))
+        of = [np.frombuffer(b"".join(x if x is not None else bytes(_N) for x in rows[c]), np.uint8).reshape(-1, _N) for c in ("few", "many")]
+        has = [rows[c].notna().to_numpy() for c in ("few", "many")]
+        ends = np.flatnonzero(np.diff(rows.groupby(["bucket", "bi", "bj"], sort=False).ngroup().to_numpy(), append=-1)) + 1
+        out, start = [np.zeros((0, 2), np.int64)], 0
+        for end in ends:
+            # All pairs of a few rows at once, else a row at a time.
+            step = max(1, BLOCK // (end - start))
+            for at in range(start, end, step):
+                i, j = np.meshgrid(np.arange(at, min(at + step, end)), np.arange(at + 1, end), indexing="ij")
+                able = (i < j) & (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+                able &= (bi[start] == bj[start]) | (part[i] != part[j])
+                i, j = i[able], j[able]
+                if len(i):
+                    equal = np.maximum(*[np.where(h[i] & h[j], (x[i] == x[j]).sum(1), -1) for x, h in zip(of, has)])
+                    out.append(np.column_stack([key[i[equal >= least]], key[j[equal >= least]]]))
+            start = end
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return dealt.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, found: DataFrame, text: str, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(a, b): links between keys of `found`, enough to connect whatever meets in a bucket and is similar enough.
 
-    In each round a bucket's members are compared with one of them, except where links connect the two already; so a
-    bucket of copies is done after one round. Then all pairs of a bucket that are still apart are compared: a text that
-    is unlike each lead may be like any other, so nothing that met stays uncompared.
+    First come keys of linked fingerprints, and the members of each bucket with one of them, its lead; links of those
+    connect a group of copies. Then all pairs of a bucket that are still apart are compared by their sketches: a text
+    that is unlike the lead may be like any other, so nothing that met stays uncompared.
     """
-    postings = found.select("key", "n", F.explode("buckets").alias("bucket")).distinct()
-    members = stored(_live(postings.withColumn("root", F.col("key")), 0), "members")
-    sets = _sets(docs, found, members.select("key").distinct(), text)
-    out = sets.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    for turn in range(ROUNDS + 1):
-        if members.isEmpty():
-            break
-        if turn < ROUNDS:
-            pairs = members.select("key", "n", "root", F.col("lead.key").alias("b"), F.col("lead.n").alias("m"), F.col("lead.root").alias("other"))
-        else:
-            two = members.select("bucket", F.col("key").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            pairs = members.join(two, ["bucket", "salt"]).where("key < b")
-        pairs = pairs.where((F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("m"), threshold))
-        pairs = pairs.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-        out = out.unionByName(stored(_verified(pairs, sets, threshold), "linked"))
-        if turn < ROUNDS:
-            roots = components(out).withColumnRenamed("node", "key")
-            members = members.select("bucket", "key", "n").join(roots, "key", "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("root"))
-            members = stored(_live(members, turn + 1), "members")
-    return out
+    keys = stored(found.select("key", "n", "fp", "buckets", "few", "many").dropDuplicates(["key"]).where("n > 0"), "keys")
+    members = stored(_members(keys, None), "members")
+    first = _verified(docs, found, _likely(_by_simhash(keys).unionByName(_by_leads(members, keys)), threshold), text, threshold)
+    discard(members)
+    roots = stored(components(first).withColumnRenamed("node", "key"), "roots")
+    members = stored(_members(keys, roots), "members")
+    second = _verified(docs, found, _by_blocks(members, threshold, block), text, threshold)
+    discard(members, keys)
+    return first.unionByName(second)
 
 
 def grouped(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without `text`, with `root`: the same number for all rows that links of similar texts connect.
 
     Texts of equal words are one, and count once, however many there are; those without words, null ones included, have
-    root 0. A word sequence stands by a 64-bit hash. Every row stays; an empty table gives an empty table.
+    root 0. A word sequence stands by a 64-bit hash. Every row stays, repeated ones too; an empty table gives an empty
+    table. Columns of `docs` keep their names and values, but root, which is replaced.
     """
-    found = stored(_keyed(docs, text), "keys")
-    roots = components(links(docs, found, text, threshold)).withColumnRenamed("node", "key")
+    kept = [c for c in docs.columns if c not in (text, "root")]
+    packed = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row") if kept else F.lit(None).alias("row"), F.col(text).alias("text"))
+    found = stored(_keyed(packed, "text"), "keys")
+    roots = components(links(packed, found, "text", threshold)).withColumnRenamed("node", "key")
     # Few keys have a link, and many rows may have one key: the rows stay where they are while the roots are few.
-    roots = stored(roots, "roots")
-    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
-    kept = [c for c in docs.columns if c != text]
-    return found.join(roots, "key", "left").select(*kept, F.coalesce("component", "key").alias("root"))
+    out = found.select("row", "key").join(few(stored(roots, "roots")), "key", "left")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], F.coalesce("component", "key").alias("root"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with the document of the smallest id of each group; rows that repeat an id are copies, and one stays."""
+    """`docs` with the document of the smallest id of each group; rows that repeat an id are copies, and one stays. A null
+    id goes before no other: a group whose ids are all null keeps one row."""
     groups = stored(grouped(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")), "text", threshold), "groups")
     kept = groups.groupBy("root").agg(F.min("__id").alias("__kept")).select("__kept").distinct()
     return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([doc_id])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import near_dedup
+from corvane.session import stored
 
 
 def shingle_set(text):
@@ -68,7 +69,12 @@ def test_buckets_of_unlike_texts_are_compared_whole(spark):
     """Pairs that share a bucket with smaller keys unlike them are found, also where each lead is unlike them."""
     base = [[f"g{g}w{i}" for i in range(60)] for g in range(9)]
     rows = [(g * 2 + k, " ".join(b + ["x", "y"][k : k + 1])) for g, b in enumerate(base) for k in (0, 1)]
-    found = near_dedup._keyed(spark.createDataFrame(rows, "doc_id long, text string"), "text").select("doc_id", "__raw", "key", "n", F.array(F.lit(1).cast("long")).alias("buckets")).localCheckpoint()
-    linked = near_dedup.links(spark.createDataFrame(rows, "doc_id long, text string"), found, "text").collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = stored(near_dedup._keyed(docs, "text").withColumns({"buckets": F.array(F.lit(1).cast("long")), "fp": F.col("key")}), "found")
+    for block in (near_dedup.BLOCK, 4):
+        _check_links(found, near_dedup.links(docs, found, "text", block=block).collect())
+
+
+def _check_links(found, linked):
     of = {r["key"]: r["doc_id"] // 2 for r in found.collect()}
     assert {of[r["a"]] for r in linked} == set(range(9)) and all(of[r["a"]] == of[r["b"]] for r in linked)
