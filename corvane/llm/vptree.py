@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.llm.common import stored
 from corvane.llm.embedding_dedup import unit, usable
 
-#: Neighbours, rows of a shard, queries of a block, rows of a leaf, and the pruning factor: 1 is exact.
-K, SHARD, QUERIES, LEAF, FACTOR = 5, 4096, 2048, 128, 1.0
-SPARE = 8
+#: Neighbours, rows of a shard, rows of a leaf, and the pruning factor: 1 is exact.
+K, SHARD, LEAF, FACTOR = 5, 4096, 128, 1.0
+#: Vectors that come to the driver: what they are near to bounds a query's search, and the first are pivots of shards.
+SAMPLE, PIVOTS = 4096, 256
+#: Cosines this near are a tie until scores and ids decide; an angle's rounding error near zero.
+TIE, SLACK = 1e-12, 1e-7
 
 
 def build(units: np.ndarray, leaf: int = LEAF, seed: int = 7):
@@ -32,36 +36,40 @@ def build(units: np.ndarray, leaf: int = LEAF, seed: int = 7):
     return node(np.arange(len(units)))
 
 
-def search(tree, units: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and cosines of the `k` nearest of each query but itself; row -1 where there are fewer.
+def search(tree, units: np.ndarray, queries: np.ndarray, k: int, factor: float = FACTOR, floor: np.ndarray | None = None, visited: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the `k` nearest rows of each query and of every row that ties with the k-th, in no order.
 
-    All queries walk the tree together. By the triangle inequality a half can be left out for a query if it begins
-    farther from the vantage point than the query, by more than the k-th best angle so far. That angle times `factor`
-    is what has to be exceeded: below one it prunes more and may miss neighbours.
+    `floor`: a cosine for each query below which its neighbours are of no use. All queries walk the tree together. By
+    the triangle inequality a half can be left out for a query if it begins farther from the vantage point than the
+    query, by more than the k-th best angle so far. That angle times `factor` is what has to be exceeded: below one it
+    prunes more and may miss neighbours. `visited` gets the number of queries at each leaf.
     """
     best = np.full((len(queries), k), -2.0)
-    rows = np.full((len(queries), k), -1)
+    floor = np.full(len(queries), -2.0) if floor is None else floor
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+
+    def bar(active):
+        return np.maximum(best[active, -1], floor[active])
 
     def visit(node, active: np.ndarray):
         if not len(active):
             return
         if len(node) == 1:
             here = node[0]
+            if visited is not None:
+                visited.append(len(active))
             cosine = queries[active] @ units[here].T
-            cosine[query_ids[active][:, None] == ids[here][None, :]] = -2.0
-            every = np.hstack([best[active], cosine])
-            which = np.hstack([rows[active], np.broadcast_to(here, cosine.shape)])
-            top = np.argsort(-every, axis=1, kind="stable")[:, :k]
-            best[active] = np.take_along_axis(every, top, 1)
-            rows[active] = np.where(best[active] > -2.0, np.take_along_axis(which, top, 1), -1)
+            best[active] = -np.sort(-np.hstack([best[active], cosine]), axis=1)[:, :k]
+            i, j = np.nonzero(cosine >= bar(active)[:, None] - TIE)
+            out.append((active[i], here[j], cosine[i, j]))
             return
         vantage, (inner_to, outer_from), inner, outer = node
         angle = np.arccos(np.clip(queries[active] @ units[vantage], -1, 1))
         first = angle <= (inner_to + outer_from) / 2
 
         def reach(at):
-            worst = best[active[at], -1]
-            return np.where(worst <= -1.0, np.inf, np.arccos(np.clip(worst, -1, 1)) * factor + 1e-9)
+            worst = bar(active[at])
+            return np.where(worst <= -1.0, np.inf, np.arccos(np.clip(worst, -1, 1)) * factor + SLACK)
 
         visit(inner, active[first])
         visit(outer, active[~first])
@@ -71,54 +79,116 @@ def search(tree, units: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_
         visit(inner, active[under[angle[under] - inner_to <= reach(under)]])
 
     visit(tree, np.arange(len(queries)))
-    return rows, best
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, factor: float = FACTOR, shard: int = SHARD, block: int = QUERIES, leaf: int = LEAF) -> DataFrame:
+    query, row, cosine = (np.concatenate(x) for x in zip(*out))
+    kept = cosine >= bar(query) - TIE
+    return query[kept], row[kept]
+
+
+class Shard:
+    """The points of a shard, each different vector once, with its ids, and their tree."""
+
+    def __init__(self, rows: pd.DataFrame, k: int, leaf: int):
+        rows = rows.sort_values("vec_id", kind="stable")
+        units = unit(rows["embedding"])[0] + 0.0
+        point, _ = pd.factorize(np.array([x.tobytes() for x in units], object))
+        self.units = units[pd.Series(point).drop_duplicates().index]
+        members = pd.DataFrame({"point": point, "vec_id": rows["vec_id"].to_numpy()}).drop_duplicates()
+        # An id may stand at several points: so many more are looked for, one of them for the query's own id.
+        self.k, self.wanted = k, (k + 1) * int(members["vec_id"].value_counts().iloc[0])
+        # Of equal vectors, the smallest ids are enough.
+        self.members = members.groupby("point").head(k + 1)
+        self.tree = build(self.units, leaf)
+
+    def ask(self, rows: pd.DataFrame, factor: float) -> pd.DataFrame:
+        """(query_id, vec_id, score): the shard's nearest of each row, ties to smaller ids."""
+        queries = unit(rows["embedding"])[0]
+        query, row = search(self.tree, self.units, queries, self.wanted, factor, rows["floor"].to_numpy(float))
+        ours = pd.DataFrame({"query_id": rows["vec_id"].to_numpy()[query], "point": row, "score": np.einsum("ij,ij->i", queries[query], self.units[row])})
+        ours = ours.merge(self.members, on="point")
+        ours = ours.loc[ours["vec_id"] != ours["query_id"], ["query_id", "vec_id", "score"]]
+        ours = ours.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+        return ours.groupby("query_id").head(self.k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, factor: float = FACTOR, shard: int = SHARD, leaf: int = LEAF, sample: int = SAMPLE, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` nearest of `vectors` to each of `queries` by cosine in double precision,
     nearest first, ties to the smaller vec_id; fewer where there are fewer. A query's own vec_id is no candidate.
 
     Both tables have `vec_id` and `embedding`. Null, empty and zero vectors, those with null or non-finite components
-    and those with a null vec_id take no part; vectors of another length than a query's are no candidates for it. Rows
-    that repeat a vec_id count as one candidate or query, the one of the least embedding. Empty tables give an empty
-    table; other columns are ignored.
-
-    Vectors are dealt by hash to shards of about `shard` rows, queries to blocks of about `block`; a task builds the
-    tree of a shard and searches it for a block of queries, so neither side has to fit a task or the driver. Each
-    shard keeps `k` rows for a query, which a window then ranks.
+    and those with a null vec_id take no part; vectors of another length than a query's are no candidates for it. Of
+    rows that repeat a vec_id, the pair of rows that are nearest counts. Empty tables give an empty table; other columns
+    are ignored.
+
+    A bounded sample of vectors (`sample`, those of the smallest hashes) comes to the driver. Points go to the nearest
+    of its first `pivots` and from there by hash to shards of about `shard` rows; they are shuffled once, and each
+    shard's tree is built once. The sample gives each query a cosine that its neighbours reach, so it is sent only to
+    the shards that the triangle inequality cannot rule out. The queries of a shard stream through its task behind its
+    points: neither side has to fit a task, and each shard keeps `k` rows for a query, which a window ranks.
     """
-    def tidy(df):
-        out = df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
-        return out.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-
-    points, asked = tidy(vectors), tidy(queries)
-    shards, blocks = max(1, -(-points.count() // shard)), max(1, -(-asked.count() // block))
-    points = points.select("vec_id", "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("long").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    asked = asked.select("vec_id", "embedding", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit("q")), F.lit(blocks)).cast("long").alias("block"))
-
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], float)})]
-        for _, same in rows.groupby(rows["embedding"].map(len)):
-            same = same.sort_values("vec_id")
-            here, ask = same[~same["asks"]], same[same["asks"]]
-            if here.empty or ask.empty:
-                continue
-            units, queries = unit(here["embedding"])[0] + 0.0, unit(ask["embedding"])[0]
-            query_ids = ask["vec_id"].to_numpy()
-            # Equal vectors are one point of the tree, however many they are; its k + 1 smallest ids stand for it.
-            point, _ = pd.factorize(np.array([x.tobytes() for x in units], object))
-            units = units[pd.Series(point).drop_duplicates().index]
-            members = pd.DataFrame({"point": point, "vec_id": here["vec_id"].to_numpy()}).groupby("point").head(k + 1)
-            found, _ = search(build(units, leaf), units, np.arange(len(units)), queries, np.full(len(queries), -1), k + SPARE, factor)
-            q, at = np.nonzero(found >= 0)
-            row = found[q, at]
-            ours = pd.DataFrame({"query_id": query_ids[q], "point": row, "score": np.einsum("ij,ij->i", queries[q], units[row])})
-            ours = ours.merge(members, on="point")
-            ours = ours.loc[ours["vec_id"] != ours["query_id"], ["query_id", "vec_id", "score"]]
-            ours = ours.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            out.append(ours.groupby("query_id").head(k))
-        return pd.concat(out, ignore_index=True)
-
-    found = points.unionByName(asked).groupBy("shard", "block").applyInPandas(find, "query_id long, vec_id long, score double")
+    named = lambda df: df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
+    points, asked = named(vectors), named(queries)
+    lengths = [r[0] for r in points.select(F.size("embedding").alias("dim")).distinct().collect()]
+    first = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding"))
+    chosen = points.withColumn("dim", F.size("embedding")).withColumn("at", first).where(F.col("at") <= max(1, sample // max(1, len(lengths)))).collect()
+    chosen = {d: [r for r in chosen if r["dim"] == d] for d in lengths}
+    ids = {d: np.array([r["vec_id"] for r in rows]) for d, rows in chosen.items()}
+    near = {d: unit([r["embedding"] for r in rows])[0] for d, rows in chosen.items()}
+    del chosen
+
+    def place(batches):
+        for batch in batches:
+            for dim, rows in batch.groupby(batch["embedding"].map(len)):
+                cosines = np.clip(unit(rows["embedding"])[0] @ near[dim][:pivots].T, -1, 1)
+                yield rows.assign(dim=dim, cell=cosines.argmax(1), angle=np.arccos(cosines.max(1)))
+
+    kind = dict(points.dtypes)["embedding"]
+    placed = stored(points.mapInPandas(place, f"vec_id long, embedding {kind}, dim int, cell int, angle double"), "points")
+    cells = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"), F.min("angle").alias("least"), F.max("angle").alias("most")).collect()
+    parts = placed.sparkSession.createDataFrame([(r["dim"], r["cell"], r["parts"]) for r in cells], "dim int, cell int, parts int")
+    held = {d: sorted((r["cell"], r["least"], r["most"]) for r in cells if r["dim"] == d) for d in lengths}
+
+    def route(batches):
+        for batch in batches:
+            for dim, rows in batch.groupby(batch["embedding"].map(len)):
+                if dim not in held:
+                    continue
+                units = unit(rows["embedding"])[0]
+                cosines = np.clip(units @ near[dim].T, -1, 1)
+                angles = np.arccos(cosines[:, [c for c, _, _ in held[dim]]])
+                # Each id of the sample counts once, and the query's own never.
+                cosines[rows["vec_id"].to_numpy()[:, None] == ids[dim][None, :]] = -2.0
+                once = np.unique(ids[dim], return_index=True)[1]
+                floor = -np.sort(-cosines[:, once], axis=1)[:, k - 1] - TIE if len(once) >= k else np.full(len(rows), -2.0)
+                reach = np.where(floor <= -1.0, np.inf, np.arccos(np.clip(floor, -1, 1)) * factor + SLACK)[:, None]
+                least, most = (np.array([x[i] for x in held[dim]]) for i in (1, 2))
+                query, cell = np.nonzero((angles - most <= reach) & (least - angles <= reach))
+                yield rows.iloc[query].assign(dim=dim, cell=np.array([c for c, _, _ in held[dim]])[cell], floor=floor[query])
+
+    parts = F.broadcast(parts)
+    key = F.xxhash64("dim", "cell", "part").alias("shard")
+    here = placed.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    here = here.select("vec_id", "embedding", F.lit(False).alias("asks"), F.lit(None).cast("double").alias("floor"), key)
+    routed = asked.mapInPandas(route, f"vec_id long, embedding {dict(asked.dtypes)['embedding']}, dim int, cell int, floor double")
+    there = routed.join(parts, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    there = there.select("vec_id", "embedding", F.lit(True).alias("asks"), "floor", key)
+
+    def answer(batches):
+        now, waiting, ready = None, [], None
+        for batch in batches:
+            for name, rows in batch.groupby("shard", sort=False):
+                if name != now:
+                    now, waiting, ready = name, [], None
+                points, asks = rows[~rows["asks"]], rows[rows["asks"]]
+                if len(points):
+                    waiting.append(points[["vec_id", "embedding"]])
+                if len(asks):
+                    if ready is None:
+                        ready, waiting = Shard(pd.concat(waiting), k, leaf), []
+                    yield ready.ask(asks, factor)
+
+    shards = sum(r["parts"] for r in cells)
+    both = here.unionByName(there).repartition(max(1, shards, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
+    found = both.sortWithinPartitions("shard", "asks").mapInPandas(answer, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
