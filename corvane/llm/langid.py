@@ -8,12 +8,14 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.common import text_batches
+from corvane.llm.common import BROADCAST_ROWS, discard, stored
 
-#: Documents of each language that the model is fitted on, about; hashed n-grams; passes and cost of the machines.
-PER_LANGUAGE, DIMS, PASSES, COST = 1500, 1 << 12, 8, 4.0
+#: Documents of each language that the model is fitted on at most, and documents of one machine's task at most; hashed
+#: n-grams; passes and cost of the machines.
+PER_LANGUAGE, PER_MACHINE, DIMS, PASSES, COST = 1500, 6000, 1 << 12, 8, 4.0
 UNKNOWN = "und"
 #: Score from which a prediction overrules a tag, and score below which a text shows no learned language. Of the 12,752
 #: held-out rows of 0.1 GB whose prediction is their tag, 0.9992 reach LEAST; gibberish of 100 words or more stays below.
@@ -21,20 +23,20 @@ SURE, LEAST = 0.9, 0.55
 
 # Language families by ISO 639-1 code. A language that none lists is a family of its own.
 FAMILIES = {
-    "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
-    "romance": "ca es fr gl it la oc pt ro",
-    "slavic": "be bg bs cs hr mk pl ru sk sl sr uk",
-    "baltic": "lt lv",
-    "celtic": "br cy ga gd gv",
-    "uralic": "et fi hu se",
-    "indic": "bn gu hi mr ne pa si ur",
-    "iranian": "fa ku ps tg",
-    "turkic": "az kk ky tk tr tt ug uz",
-    "semitic": "am ar he mt ti",
-    "austronesian": "id jv mg mi ms su tl",
-    "dravidian": "kn ml ta te",
+    "germanic": ["af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"],
+    "romance": ["ca", "es", "fr", "gl", "it", "la", "oc", "pt", "ro"],
+    "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
+    "baltic": ["lt", "lv"],
+    "celtic": ["br", "cy", "ga", "gd", "gv"],
+    "uralic": ["et", "fi", "hu", "se"],
+    "indic": ["bn", "gu", "hi", "mr", "ne", "pa", "si", "ur"],
+    "iranian": ["fa", "ku", "ps", "tg"],
+    "turkic": ["az", "kk", "ky", "tk", "tr", "tt", "ug", "uz"],
+    "semitic": ["am", "ar", "he", "mt", "ti"],
+    "austronesian": ["id", "jv", "mg", "mi", "ms", "su", "tl"],
+    "dravidian": ["kn", "ml", "ta", "te"],
 }
-_FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
+_FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
 #: ASCII bytes that are no letters are blanks; A-Z were lower-cased before.
 _LETTERS = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
@@ -83,22 +85,23 @@ class Model(NamedTuple):
     pairs: dict[tuple[str, str], np.ndarray]
 
 
-def fit(x: np.ndarray, lang: list[str]) -> Model:
-    """A model of profiles `x`, a column of ones last, and their languages; no rows make a model that knows none."""
-    of = {c: family(c) for c in sorted(set(lang))}
-    families, tags = sorted(set(of.values())), np.array(lang, object)
-    kin = np.array([of[c] for c in lang], object)
-    several = len(families) > 1
-    family_w = np.zeros((x.shape[1], len(families)), np.float32)
-    for k, f in enumerate(families if several else []):
-        family_w[:, k] = machine(x, np.where(kin == f, 1.0, -1.0))
+def machines(langs: list[str]) -> tuple[list[str], dict[str, list[str]], list[tuple[str, str, str]]]:
+    """Families, the languages of each, and the machines to fit: (name, what counts for it, what counts against it). A
+    family's machine is for the family against all others; a pair's for one language against the other."""
+    of = {c: family(c) for c in sorted(set(langs))}
+    families = sorted(set(of.values()))
     languages = {f: [c for c in of if of[c] == f] for f in families}
-    pairs = {}
-    for f in families:
-        for a, b in combinations(languages[f], 2):
-            here = (tags == a) | (tags == b)
-            pairs[a, b] = machine(x[here], np.where(tags[here] == a, 1.0, -1.0))
-    return Model(families, family_w, languages, pairs)
+    wanted = [("family", f, "") for f in families] if len(families) > 1 else []
+    return families, languages, wanted + [("pair", a, b) for f in families for a, b in combinations(languages[f], 2)]
+
+
+def assembled(langs: list[str], weights: dict[tuple[str, str, str], np.ndarray], dims: int) -> Model:
+    """The model of `langs` from the weights of its machines; no languages make a model that knows none."""
+    families, languages, _ = machines(langs)
+    family_w = np.zeros((dims + 1, len(families)), np.float32)
+    for k, f in enumerate(families if len(families) > 1 else []):
+        family_w[:, k] = weights["family", f, ""]
+    return Model(families, family_w, languages, {(a, b): w for (what, a, b), w in weights.items() if what == "pair"})
 
 
 def decide(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -132,32 +135,57 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, dims: int = DIMS) -> Model:
-    """A model fitted on about `per_language` documents of each language that `docs` names, those of the smallest
-    hashes of id and language, held-out ones never. Rows whose text is null or has no letter, or whose language is
-    null or the tag for unknown, teach nothing. Only the profiles of that sample come to the driver."""
-    text_batches(docs.sparkSession)
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE, per_machine: int = PER_MACHINE, dims: int = DIMS) -> Model:
+    """A model fitted on at most `per_language` different texts of each language that `docs` names, those of the smallest
+    hashes, held-out documents never. Rows whose text is null or has no letter, or whose language is null or the tag for
+    unknown, teach nothing; copies of a text teach once, also where they repeat an id.
+
+    Each machine is fitted in a task of its own, on at most `per_machine` of the sampled texts, a family's share and all
+    others' being halves; only the languages and the machines' weights come to the driver, 16 KB for each machine.
+    """
     able = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & (F.col(lang) != UNKNOWN) & F.col(text).isNotNull())
-    able = able.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}
+    able = able.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text), F.col(lang)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in able.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
-        return fit(np.zeros((0, dims + 1), np.float32), [])
-    limit = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(int(min(1.0, per_language / n) * (1 << 30))))])
-    sample = able.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) < limit[F.col("lang")])
+        return assembled([], {}, dims)
+    # Somewhat more than is wanted, as the counts are estimates; the smallest hashes of those stay.
+    limit = [(c, int(min(1.0, 1.25 * per_language / max(1, n)) * (1 << 30))) for c, n in counts.items()]
+    limit = docs.sparkSession.createDataFrame(limit, "lang string, below long")
+    limit = F.broadcast(limit) if len(counts) <= BROADCAST_ROWS else limit
+    sample = able.join(limit, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("below")).select("lang", "h", "text")
 
     def profiles(batches):
         for batch in batches:
             batch = batch[[has_letter(t) for t in batch["text"]]]
-            yield pd.DataFrame({"lang": batch["lang"], "doc_id": batch["doc_id"], "x": [profile(t, dims).astype("<f2").tobytes() for t in batch["text"]]})
-
-    rows = sample.mapInPandas(profiles, f"lang string, doc_id {dict(able.dtypes)['doc_id']}, x binary").toPandas()
-    rows = rows.sort_values(["lang", "doc_id", "x"], kind="stable")
-    x = np.ones((len(rows), dims + 1), np.float32)
-    for i, b in enumerate(rows["x"]):
-        x[i, :dims] = np.frombuffer(b, "<f2")
-    lang = rows["lang"].tolist()
-    del rows
-    return fit(x, lang)
+            yield pd.DataFrame({"lang": batch["lang"], "h": batch["h"], "x": [profile(t, dims).astype("<f2").tobytes() for t in batch["text"]]})
+
+    rows = sample.mapInPandas(profiles, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("at") <= per_language)
+    rows = stored(rows, "sample")
+    taken = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    wanted, total = machines(list(taken))[2], sum(taken.values())
+    dealt = []
+    for what, a, b in wanted:
+        own = sum(n for c, n in taken.items() if (family(c) == a if what == "family" else c == a))
+        for c in taken:
+            side = (1 if family(c) == a else -1) if what == "family" else 1 if c == a else -1 if c == b else 0
+            if side:
+                most = per_machine // 2 / max(1, own if side > 0 else total - own)
+                dealt.append((what, a, b, c, float(side), int(min(1.0, most) * (1 << 20))))
+    dealt = docs.sparkSession.createDataFrame(dealt, "what string, a string, b string, lang string, side double, below long")
+    held = rows.join(F.broadcast(dealt) if len(wanted) * len(taken) <= BROADCAST_ROWS else dealt, "lang")
+    held = held.where(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < F.col("below")).select("what", "a", "b", "lang", "h", "side", "x")
+
+    def learn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["lang", "h"], kind="stable")
+        x = np.ones((len(part), dims + 1), np.float32)
+        for i, b in enumerate(part["x"]):
+            x[i, :dims] = np.frombuffer(b, "<f2")
+        return part[["what", "a", "b"]].head(1).assign(w=machine(x, part["side"].to_numpy()).tobytes())
+
+    found = held.groupBy("what", "a", "b").applyInPandas(learn, "what string, a string, b string, w binary").collect()
+    discard(rows)
+    return assembled(list(taken), {(r["what"], r["a"], r["b"]): np.frombuffer(r["w"], np.float32) for r in found}, dims)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -167,7 +195,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     text alone decides; whole texts count. Every row stays, repeated rows are judged alike, an empty table gives an
     empty table; columns of `docs` under the two names are replaced.
     """
-    text_batches(docs.sparkSession)
     dims = model.family_w.shape[0] - 1
 
     @F.pandas_udf("lang_pred string, score double")

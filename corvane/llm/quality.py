@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, stored, text_batches
+from corvane.llm.common import BROADCAST_ROWS, stored
 
 #: Labelled rows that the document classifier is fitted on at most, the ridge of its weights, and the score of kept documents.
 SAMPLE, RIDGE, KEEP = 20_000, 1.0, 0.5
@@ -77,8 +77,6 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30) ->
 
 def described(docs: DataFrame, doc_id: str, text: str, host: str, path: str) -> DataFrame:
     """(doc_id, host, path, features): a row for each row of `docs`, without its text. Map-only."""
-    text_batches(docs.sparkSession)
-
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([features(x) for x in texts])
@@ -146,9 +144,10 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     seen = described(docs, doc_id, text, host, path)
     known = labels.where(F.col(quality).isin(0, 1)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(quality).alias("label"), F.max(quality).alias("most"))
     seen = stored(seen.join(known.where("label = most").select("doc_id", F.col("label").cast("double").alias("label")), "doc_id", "left"), "features")
-    labelled = seen.where("label is not null and doc_id is not null")
+    # Rows that repeat an id with other texts are examples of their own; equal ones are one.
+    labelled = stored(seen.where("label is not null and doc_id is not null").select("doc_id", "features", "label").distinct(), "labelled")
     share = min(1.0, sample / max(1, labelled.count()))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("features", "label").toPandas()
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 30)) < int(share * (1 << 30))).select("features", "label").toPandas()
     model = fit(np.array(chosen["features"].tolist(), float).reshape(-1, N_FEATURES), chosen["label"].to_numpy(float))
     logit = F.lit(model.bias)
     for i, w in enumerate(model.weights):
