@@ -6,76 +6,101 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import BROADCAST_ROWS
-from corvane.llm.license_texts import LICENSES
+from corvane.llm.license_texts import DIGESTS, LICENSES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Spellings that the public license matching guidelines treat as equal.
+# Words that the public license matching guidelines treat as equal, in the order in which they are replaced.
+# Words stand without punctuation, as they do once it is gone.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
+    ("acknowledgements", "acknowledgments"),
     ("analogue", "analog"),
     ("analyse", "analyze"),
     ("artefact", "artifact"),
+    ("artefacts", "artifacts"),
     ("authorisation", "authorization"),
+    ("authorise", "authorize"),
     ("authorised", "authorized"),
+    ("authorises", "authorizes"),
     ("calibre", "caliber"),
     ("cancelled", "canceled"),
     ("capitalisation", "capitalization"),
     ("catalogue", "catalog"),
+    ("catalogues", "catalogs"),
     ("categorise", "categorize"),
     ("centre", "center"),
+    ("centres", "centers"),
     ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
     ("emphasised", "emphasized"),
     ("favour", "favor"),
-    ("fulfil ", "fulfill "),
+    ("favourite", "favorite"),
+    ("fulfil", "fulfill"),
     ("fulfilment", "fulfillment"),
     ("initialise", "initialize"),
     ("judgement", "judgment"),
     ("labelling", "labeling"),
     ("labour", "labor"),
     ("licence", "license"),
+    ("licences", "licenses"),
     ("maximise", "maximize"),
     ("modelled", "modeled"),
-    ("non-commercial", "noncommercial"),
+    ("modelling", "modeling"),
+    ("non commercial", "noncommercial"),
     ("optimise", "optimize"),
     ("organisation", "organization"),
+    ("organisations", "organizations"),
     ("organise", "organize"),
     ("per cent", "percent"),
     ("practise", "practice"),
     ("programme", "program"),
+    ("programmes", "programs"),
     ("realise", "realize"),
     ("recognise", "recognize"),
+    ("recognised", "recognized"),
     ("signalling", "signaling"),
-    ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
+    ("sub licensed", "sublicensed"),
+    ("sub licenses", "sublicenses"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),
-    ("https:", "http:"),
+    ("https", "http"),
+    ("all rights reserved", ""),
 ]
-COPYRIGHT = r"(?m)^[ \t*#/;]*(copyright\b|\(c\)|©)[^\n]*"
-RESERVED = r"all rights reserved"
+#: A line that is a copyright notice: after comment marks the word with a sign, a year or its blank, or "by"; or a sign
+#: with one of those. A wrapped line that happens to begin with the word is none.
+NOTICE = r"(?m)^[^\p{L}\p{N}\n(©&]*(?:portions )?(?:copyright[ \t:,-]*(?:\(c\)|©|&copy;|[0-9<\[{]|by\b)|\(c\)[ \t]*(?:copyright\b|by\b|[0-9<\[{])|©|&copy;)[^\n]*"
 OTHER = r"[^\p{L}\p{N}]+"
+_VARIANT = " (?:" + "|".join(one for one, _ in SPELLINGS) + ") "
 
 
 def canonical(text: Column) -> Column:
-    """`text` without what does not tell licenses apart: case of A-Z, lines that begin with a copyright notice,
-    equivalent spellings, punctuation and blanks. Null stays null."""
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT, "")
-    out = F.regexp_replace(out, RESERVED, "")
+    """`text` without what does not tell licenses apart: case of A-Z, lines that are copyright notices, punctuation,
+    blanks, line breaks, and equivalent spellings of whole words. Null stays null.
+
+    Where a text breaks its lines makes no difference, unless a notice takes more than one line.
+    """
+    words = F.translate(text, UPPER, LOWER)
+    words = F.regexp_replace(words, NOTICE, "")
+    words = F.concat(F.lit(" "), F.regexp_replace(words, OTHER, " "), F.lit(" "))
+    # Each word has blanks of its own while spellings are replaced, so neighbours don't share one. Few texts have any.
+    spelled = F.replace(words, F.lit(" "), F.lit("  "))
     for one, other in SPELLINGS:
-        out = F.replace(out, F.lit(one), F.lit(other))
-    return F.trim(F.regexp_replace(out, OTHER, " "))
+        spelled = F.replace(spelled, F.lit(f" {one.replace(' ', '  ')} "), F.lit(f" {other} "))
+    spelled = F.regexp_replace(spelled, " +", " ")
+    return F.trim(F.when(F.regexp_like(words, F.lit(_VARIANT)), spelled).otherwise(words))
 
 
 def known_digests(spark: SparkSession, licenses: DataFrame | None = None) -> DataFrame:
-    """(license_digest, license_id): of `licenses` (license_id, text), by default the texts that come with the
+    """(license_digest, license_id): of `licenses` (license_id, text), by default the texts and digests that come with the
     library. Of licenses with equal digests the first id stands; null and empty texts are left out."""
+    texts = spark.createDataFrame(LICENSES, "license_id string, text string") if licenses is None else licenses
+    digests = texts.select("license_id", canonical(F.col("text")).alias("c")).where("c is not null and c != ''").select(F.sha2("c", 256).alias("license_digest"), "license_id")
     if licenses is None:
-        licenses = spark.createDataFrame(LICENSES, "license_id string, text string")
-    digests = licenses.select("license_id", canonical(F.col("text")).alias("c")).where("c is not null and c != ''")
-    return digests.groupBy(F.sha2("c", 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+        digests = digests.unionByName(spark.createDataFrame(DIGESTS, "license_id string, license_digest string"))
+    return digests.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
