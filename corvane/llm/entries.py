@@ -11,9 +11,9 @@ from corvane.sources.tables import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boilerplate lines cut from all documents, a source being a host."""
+    """Boilerplate lines cut from all documents, a source being a host: lines of over a tenth of its pages, four at least."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return line_dedup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_lines(docs, min_pages=line_dedup.MIN_PAGES).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,15 +89,15 @@ def _quoted(text: str) -> str:
 _BARE = "trim({}, ' ' || chr(9) || chr(13))"
 
 LINE_DEDUP_SQL = f"""
-WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+WITH pages AS (SELECT source, text FROM documents WHERE text IS NOT NULL),
 total AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
 shown AS (
   SELECT source, line, count(*) AS shown
-  FROM (SELECT DISTINCT source, text, {_BARE.format("unnest(string_split(text, chr(10)))")} AS line FROM pages)
+  FROM (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: {_BARE.format("x")}))) AS line FROM pages)
   WHERE line <> '' GROUP BY source, line HAVING count(*) >= {line_dedup.MIN_PAGES}),
 boiler AS (
-  SELECT source, list(line) AS lines FROM shown JOIN total USING (source)
-  WHERE CAST(shown AS DOUBLE) / pages > {line_dedup.MAX_RATIO} GROUP BY source),
+  SELECT shown.source, list(line) AS lines FROM shown JOIN total ON shown.source IS NOT DISTINCT FROM total.source
+  WHERE CAST(shown AS DOUBLE) / pages > {line_dedup.MAX_RATIO} GROUP BY shown.source),
 cut AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS all_lines,
     list_filter(string_split(text, chr(10)), lambda x: lines IS NULL OR NOT list_contains(lines, {_BARE.format("x")})) AS kept
@@ -110,17 +110,19 @@ FROM cut"""
 
 def _canonical_sql(column: str) -> str:
     out = f"translate({column}, '{licenses.UPPER}', '{licenses.LOWER}')"
-    out = f"regexp_replace({out}, {_quoted(licenses.COPYRIGHT)}, '', 'g')"
-    out = f"replace({out}, {_quoted(licenses.RESERVED)}, '')"
+    out = f"regexp_replace({out}, {_quoted(licenses.NOTICE)}, '', 'g')"
+    out = f"replace(' ' || regexp_replace({out}, {_quoted(licenses.OTHER)}, ' ', 'g') || ' ', ' ', '  ')"
     for one, other in licenses.SPELLINGS:
-        out = f"replace({out}, {_quoted(one)}, {_quoted(other)})"
-    return f"trim(regexp_replace({out}, {_quoted(licenses.OTHER)}, ' ', 'g'))"
+        out = f"replace({out}, {_quoted(' ' + one.replace(' ', '  ') + ' ')}, {_quoted(f' {other} ')})"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
 
 LICENSE_SCAN_SQL = f"""
 WITH known AS (
-  SELECT sha256({_canonical_sql("body")}) AS license_digest, min(license_id) AS license_id
-  FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in license_texts.LICENSES)}) AS v(license_id, body) GROUP BY 1),
+  SELECT license_digest, min(license_id) AS license_id FROM (
+    SELECT sha256({_canonical_sql("body")}) AS license_digest, license_id
+    FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in license_texts.LICENSES)}) AS v(license_id, body)
+    UNION ALL SELECT license_digest, license_id FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(d)})" for i, d in license_texts.DIGESTS)}) AS d(license_id, license_digest)) GROUP BY 1),
 scanned AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS license_digest FROM documents)
 SELECT doc_id, license_digest, license_id, license_id IS NOT NULL AS is_license FROM scanned LEFT JOIN known USING (license_digest)"""
 
@@ -147,26 +149,26 @@ FROM fitted"""
 _ABLE_SQL = """
 able AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
 
 EMBEDDING_DEDUP_SQL = f"""
 WITH RECURSIVE {_ABLE_SQL},
 linked AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  SELECT DISTINCT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
 reach AS (SELECT a AS vec_id, b AS other FROM linked UNION SELECT r.vec_id, l.b FROM reach r JOIN linked l ON r.other = l.a),
 least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
 counts AS (SELECT a AS vec_id, count(*) AS n FROM linked GROUP BY a)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(other, vec_id)) AS component_id,
-  vec_id = least(vec_id, coalesce(other, vec_id)) AS kept
-FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
+  coalesce(vec_id = least(vec_id, coalesce(other, vec_id)), false) AS kept
+FROM (SELECT DISTINCT vec_id FROM embeddings) LEFT JOIN least USING (vec_id) LEFT JOIN counts USING (vec_id)"""
 
 NEAREST_SQL = f"""
 WITH {_ABLE_SQL},
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_cosine_similarity(q.e, c.e) AS score
-  FROM able q JOIN able c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, max(list_cosine_similarity(q.e, c.e)) AS score
+  FROM able q JOIN able c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0 GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5"""
 

@@ -90,7 +90,7 @@ def temper(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     return Mix(a, sums([a])[0][0], total, budget)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, most_blocks: int = MOST_BLOCKS, seed: int = SEED, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """`docs` as often as each is to be seen, with n_tokens, epoch, block and at.
 
     A source's weight is its tempered share (see temper), its quota that share of `budget` tokens, by default those of
@@ -102,7 +102,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     Null sources are one source, null doc_ids one document. A null or empty text has no tokens; a source without
     tokens has no weight and is never shown. An empty table gives an empty table. Columns of `docs` under the four
     names are replaced. Texts are counted and filtered map-only: what is shuffled are sums by source and block, and the
-    documents of the one block of each source that its quota cuts. Block sums of a source are at most 65,536.
+    documents of the one block of each source that its quota cuts. Block sums of a source are at most `most_blocks`: a
+    source of more than that many times `block_tokens` has larger blocks, and no document is left out for it.
     """
     names = [c for c in docs.columns if c not in ("n_tokens", "epoch", "block", "at")]
     src = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
@@ -113,7 +114,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     quota = F.floor(F.pow(F.col("tokens") / F.lit(float(max(found.total, 1))), F.lit(found.exponent)) / F.lit(found.total_power) * F.lit(float(found.budget)) + 0.5).cast("long")
     plan = sources.withColumn("quota", quota).where("quota > 0")
     plan = plan.withColumn("full", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens"))
-    plan = plan.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("tokens") / F.lit(float(block_tokens))).cast("long")))
+    plan = plan.withColumn("blocks", F.least(F.lit(most_blocks), F.ceil(F.col("tokens") / F.lit(float(block_tokens))).cast("long")))
     few = sources.count() <= broadcast_rows
     side = lambda df: F.broadcast(df) if few else df
 

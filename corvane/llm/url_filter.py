@@ -53,7 +53,71 @@ HOST_RULES = [
     host_rule("block", "net", "/fr/"),
 ]
 # Pages without prose of their own, and hosts of no use for training.
-PATTERN_RULES = [pattern_rule("block", x) for x in ("/wp-admin/", "/wp-login^", "/login^", "/signin^", "/cart/", "/checkout/", "/captcha/", "/cgi-bin/", "^porn^", "^xxx^", "^casino^", "^viagra^", "^warez^", "^payday-loans^", "^torrent^*^download^")]
+PATTERN_RULES = [
+    pattern_rule("block", x)
+    for x in (
+        "/wp-admin/",
+        "/wp-login^",
+        "/wp-json/",
+        "/xmlrpc.php^",
+        "/login^",
+        "/logout^",
+        "/signin^",
+        "/signup^",
+        "/register^",
+        "/password-reset^",
+        "/account/",
+        "/cart/",
+        "/basket/",
+        "/checkout/",
+        "/wishlist/",
+        "/captcha/",
+        "/cgi-bin/",
+        "/search^*^q=",
+        "^replytocom=",
+        "^sessionid=",
+        "^phpsessid=",
+        "^jsessionid=",
+        "^add-to-cart=",
+        "/trackback/",
+        "/feed/",
+        "/rss^",
+        "/sitemap^",
+        "/robots.txt^",
+        "/calendar/*^month=",
+        "/print/",
+        "/share^*^url=",
+        ".jpg^",
+        ".jpeg^",
+        ".png^",
+        ".gif^",
+        ".svg^",
+        ".css^",
+        ".js^",
+        ".ico^",
+        ".mp3^",
+        ".mp4^",
+        ".zip^",
+        ".exe^",
+        ".apk^",
+        ".dmg^",
+        ".iso^",
+        "^porn^",
+        "^xxx^",
+        "^escorts^",
+        "^casino^",
+        "^slots^*^bonus^",
+        "^viagra^",
+        "^cialis^",
+        "^warez^",
+        "^keygen^",
+        "^payday-loans^",
+        "^torrent^*^download^",
+        "^doorway^",
+        "^linkfarm^",
+        "^spam^",
+    )
+]
 
 
 def _host(url: Column) -> Column:
@@ -105,7 +169,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, url: str = "u
     index = spark.createDataFrame(rule_index(words.select("token"), rules), "token string, name string, verdict string, regex string, rank int")
     fits = words.join(F.broadcast(index) if len(rules) <= broadcast_rows else index, "token").where(F.regexp_like("subject", F.col("regex")))
     best = fits.groupBy("__url").agg(F.max(F.struct("rank", "name", "verdict")).alias("__best"))
-    judged = pages.join(best, F.col(url) == F.col("__url"), "left")
+    # Rows without a url have no rule, and would all meet in one task of the join.
+    judged = pages.where(F.col(url).isNotNull()).join(best, F.col(url) == F.col("__url"), "left")
+    judged = judged.unionByName(pages.where(F.col(url).isNull()), allowMissingColumns=True)
     host_wins = F.col("__best.rank") >= 1_000_000
     return judged.select(
         *[F.col(c) for c in names],

@@ -39,7 +39,7 @@ def test_components(spark):
 
 def test_line_dedup_by_hand(spark):
     rows = [(i, f"Home | About\nown line {i}\n  Home | About \n", "en", "a") for i in range(5)] + [(9, "Home | About\nother", "en", "b"), (10, "Home | About", "en", "a"), (11, None, "en", "a"), (12, "", "en", None)]
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_lines(docs_of(spark, rows)).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_lines(docs_of(spark, rows), min_pages=4).collect()}
     assert got[0] == ("own line 0\n", 4, 2) and got[9] == ("Home | About\nother", 2, 0)
     assert got[10] == ("", 1, 1) and got[11] == (None, 0, 0) and got[12] == ("", 1, 0)
 
@@ -108,12 +108,12 @@ def able(rows):
     return seen
 
 
-@pytest.mark.parametrize("block,pivots", [(2048, 16), (16, 3)])
-def test_embedding_dedup_against_all_pairs(vectors, block, pivots):
+@pytest.mark.parametrize("block,plain", [(2048, 32), (16, 32), (16, 1)])
+def test_embedding_dedup_against_all_pairs(vectors, block, plain):
     df, rows = vectors
     good = {i: v for i, v in able(rows).items() if v[1] is not None}
     links = {i: [j for j in good if j != i and good[j][1] == good[i][1] and len(good[i][0]) == len(good[j][0]) and good[i][0] @ good[j][0] >= 0.98] for i in {r[0] for r in rows} if i in good}
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df, block=block, pivots=pivots).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df, block=block, plain=plain).collect()}
     assert set(got) == {r[0] for r in rows}
     for i in got:
         reach, todo = {i}, [i]
@@ -136,12 +136,12 @@ def test_binary_codes_bound_holds():
     assert abs(np.mean((signs @ (y @ turn).T) / factors[:, None] - x @ y.T)) < 0.01
 
 
-@pytest.mark.parametrize("shard,block,leaf", [(4096, 2048, 128), (64, 7, 8)])
-def test_vptree_finds_all(vectors, shard, block, leaf):
+@pytest.mark.parametrize("shard,sample,leaf", [(4096, 4096, 128), (64, 4096, 8), (16, 7, 4)])
+def test_vptree_finds_all(vectors, shard, sample, leaf):
     df, rows = vectors
     good = able(rows)
     got = collections.defaultdict(list)
-    for r in vptree.nearest(df, df.where("vec_id % 50 = 0"), shard=shard, block=block, leaf=leaf).orderBy("query_id", "rank").collect():
+    for r in vptree.nearest(df, df.where("vec_id % 50 = 0"), shard=shard, sample=sample, leaf=leaf).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["rank"], r["score"]))
     for q in [i for i in good if i % 50 == 0]:
         ranked = sorted(((-float(good[q][0] @ good[j][0]), j) for j in good if j != q and len(good[j][0]) == len(good[q][0])))[:5]
@@ -159,15 +159,33 @@ def test_vptree_ties_of_many_copies(spark):
     assert found == {1: [2, 4, 5, 7, 8], 4: [1, 2, 5, 7, 8], 700: [1, 2, 4, 5, 7]}
 
 
-def test_vptree_factor_prunes(vectors):
-    _, rows = vectors
-    good = [(i, v) for i, (v, _) in able(rows).items() if len(v) == 24]
-    ids, units = np.array([i for i, _ in good]), np.array([v for _, v in good])
-    tree = vptree.build(units, 8)
-    exact = np.sort(np.where(ids[:, None] == ids, -2, units @ units.T), 1)[:, ::-1][:, :5]
-    assert np.allclose(vptree.search(tree, units, ids, units, ids, 5)[1], exact)
-    rough = vptree.search(tree, units, ids, units, ids, 5, 0.3)[1]
-    assert (rough <= exact + 1e-12).all()
+def test_vptree_factor_prunes():
+    """Factor one finds the best and leaves leaves out; a smaller one leaves out more and may miss some."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 6))
+    units, _ = embedding_dedup.unit(np.repeat(centres, 50, 0) + rng.standard_normal((2000, 6)) * 0.05)
+    tree, queries = vptree.build(units, 16), units[::20]
+    exact = np.sort(units @ queries.T, axis=0)[-5:].T
+
+    def found(factor):
+        visited = []
+        q, row = vptree.search(tree, units, queries, 5, factor, visited=visited)
+        cosine = [np.sort(units[row[q == i]] @ queries[i])[-5:] for i in range(len(queries))]
+        return np.array(cosine), sum(visited) / len(queries)
+
+    leaves = len(list(_leaves(tree)))
+    best, seen = found(1.0)
+    assert np.allclose(best, exact) and seen < 0.2 * leaves
+    rough, fewer = found(0.2)
+    assert (rough <= exact + 1e-12).all() and fewer < seen
+
+
+def _leaves(node):
+    if len(node) == 1:
+        yield node
+    else:
+        yield from _leaves(node[2])
+        yield from _leaves(node[3])
 
 
 def test_license_digest(spark):
