@@ -29,6 +29,10 @@ MANY = 128
 SPREAD = 5
 #: Members of a bucket that are compared with each other at once, and rows of a task that compares buckets.
 BLOCK, TASK_ROWS = 1024, 8192
+#: Likely pairs for each member of a block up to which they are listed; blocks of more are compared whole, set by set.
+LISTED = 4
+#: Shingles that are counted at once in a block that is compared whole.
+COLUMNS = 4096
 
 _rng = np.random.default_rng(SEED)
 _N = BANDS * ROWS
@@ -241,26 +245,30 @@ def _by_leads(members: DataFrame, keys: DataFrame) -> DataFrame:
     return members.select("lead", F.struct("key", "n", "few", "many").alias("x")).join(few(stored(leads, "lead_rows")), "lead").select("x", "y")
 
 
-def _by_blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(a, b): the likely pairs of each bucket that no link connects yet. Buckets of over `block` members are several
-    blocks, of which each pair is compared apart; small buckets go through a task together. Only likely pairs leave it."""
-    least = _least_equal(threshold)
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """`members` dealt to blocks of about `block` rows of a bucket: a row for each pair of blocks, bi and bj, that a
+    member is part of."""
     parts = F.ceil(F.col("size") / block).cast("int")
     placed = members.withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = placed.select("bucket", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "part", "key", "n", "few", "many", "root")
-    tasks = max(1, -(-members.agg(F.coalesce(F.sum(parts), F.lit(0))).first()[0] // TASK_ROWS))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "bi", "bj"), F.lit(tasks)))
+    return placed.select("bucket", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "part", "key", "n", "few", "many", "root")
+
+
+def _by_blocks(dealt: DataFrame, threshold: float, listed: int = LISTED) -> DataFrame:
+    """(bucket, bi, bj, whole, a, b): the likely pairs of each pair of blocks that no link connects yet. Where they are
+    over `listed` for each member there is one row without a pair, and whole is true: that block is compared whole."""
+    least = _least_equal(threshold)
+    tasks = max(1, -(-dealt.count() // TASK_ROWS))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bucket", "bi", "bj", "key"]).reset_index(drop=True)
-        key, n, root, part, bi, bj = (rows[c].to_numpy() for c in ("key", "n", "root", "part", "bi", "bj"))
+        bucket, key, n, root, part, bi, bj = (rows[c].to_numpy() for c in ("bucket", "key", "n", "root", "part", "bi", "bj"))
         of = [np.frombuffer(b"".join(x if x is not None else bytes(_N) for x in rows[c]), np.uint8).reshape(-1, _N) for c in ("few", "many")]
         has = [rows[c].notna().to_numpy() for c in ("few", "many")]
         ends = np.flatnonzero(np.diff(rows.groupby(["bucket", "bi", "bj"], sort=False).ngroup().to_numpy(), append=-1)) + 1
-        out, start = [np.zeros((0, 2), np.int64)], 0
+        out, start = [], 0
         for end in ends:
             # All pairs of a few rows at once, else a row at a time.
-            step = max(1, BLOCK // (end - start))
+            step, found, n_found = max(1, BLOCK // (end - start)), [], 0
             for at in range(start, end, step):
                 i, j = np.meshgrid(np.arange(at, min(at + step, end)), np.arange(at + 1, end), indexing="ij")
                 able = (i < j) & (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
@@ -268,19 +276,68 @@ def _by_blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
                 i, j = i[able], j[able]
                 if len(i):
                     equal = np.maximum(*[np.where(h[i] & h[j], (x[i] == x[j]).sum(1), -1) for x, h in zip(of, has)])
-                    out.append(np.column_stack([key[i[equal >= least]], key[j[equal >= least]]]))
+                    found.append(np.column_stack([key[i[equal >= least]], key[j[equal >= least]]]))
+                    n_found += len(found[-1])
+                    if n_found > listed * (end - start):
+                        break
+            name = (bucket[start], bi[start], bj[start])
+            out += [(*name, True, 0, 0)] if n_found > listed * (end - start) else [(*name, False, a, b) for x in found for a, b in x.tolist()]
             start = end
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+        out = pd.DataFrame(out, columns=["bucket", "bi", "bj", "whole", "a", "b"])
+        return out.astype({"bucket": "int64", "bi": "int32", "bj": "int32", "whole": bool, "a": "int64", "b": "int64"})
+
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("bucket", "bi", "bj"), F.lit(tasks)))
+    return stored(dealt.groupBy("task").applyInPandas(compare, "bucket long, bi int, bj int, whole boolean, a long, b long"), "likely")
+
+
+def similar(sets: list[np.ndarray], threshold: float = THRESHOLD) -> np.ndarray:
+    """The matrix of which of `sets`, sorted and distinct, are similar enough: common members are counted by products."""
+    size = np.array([len(x) for x in sets], np.float64)
+    row = np.repeat(np.arange(len(sets)), size.astype(int))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # What only one set has is in no intersection.
+    place = np.cumsum(times > 1) - 1
+    row, column = row[times[column] > 1], place[column[times[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[row[low:high], column[low:high] - at] = 1
+        common += has @ has.T
+    out = common / (size[:, None] + size - common) >= threshold
+    np.fill_diagonal(out, True)
+    return out
 
-    return dealt.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
 
+def _whole(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links that connect what similar members of each pair of blocks connect, fewer than it has members."""
 
-def links(docs: DataFrame, found: DataFrame, text: str, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        key = rows["key"].to_numpy()
+        linked = similar([np.asarray(x, np.int64) for x in rows["set"]], threshold)
+        rest, out = np.arange(len(key)), []
+        while len(rest):
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                here = queue.pop()
+                near = linked[here, rest]
+                out += [(key[here], k) for k in key[rest[near]]]
+                queue += list(rest[near])
+                rest = rest[~near]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.select("bucket", "bi", "bj", "key").join(sets, "key").groupBy("bucket", "bi", "bj").applyInPandas(compare, "a long, b long")
+
+
+def links(docs: DataFrame, found: DataFrame, text: str, threshold: float = THRESHOLD, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
     """(a, b): links between keys of `found`, enough to connect whatever meets in a bucket and is similar enough.
 
     First come keys of linked fingerprints, and the members of each bucket with one of them, its lead; links of those
     connect a group of copies. Then all pairs of a bucket that are still apart are compared by their sketches: a text
-    that is unlike the lead may be like any other, so nothing that met stays uncompared.
+    that is unlike the lead may be like any other, so nothing that met stays uncompared. Likely pairs are verified one by
+    one; blocks of too many of them, as of texts that are nearly alike enough, are compared whole in their task.
     """
     keys = stored(found.select("key", "n", "fp", "buckets", "few", "many").dropDuplicates(["key"]).where("n > 0"), "keys")
     members = stored(_members(keys, None), "members")
@@ -288,9 +345,15 @@ def links(docs: DataFrame, found: DataFrame, text: str, threshold: float = THRES
     discard(members)
     roots = stored(components(first).withColumnRenamed("node", "key"), "roots")
     members = stored(_members(keys, roots), "members")
-    second = _verified(docs, found, _by_blocks(members, threshold, block), text, threshold)
-    discard(members, keys)
-    return first.unionByName(second)
+    dealt = stored(_blocks(members, block), "blocks")
+    likely = _by_blocks(dealt, threshold, listed)
+    out = first.unionByName(_verified(docs, found, likely.where("not whole").select("a", "b").distinct(), text, threshold))
+    dense = stored(likely.where("whole").select("bucket", "bi", "bj"), "dense")
+    if not dense.isEmpty():
+        dealt = dealt.join(few(dense), ["bucket", "bi", "bj"])
+        sets = _sets(docs, found, stored(dealt.select("key").distinct(), "wanted"), text)
+        out = out.unionByName(stored(_whole(dealt, sets, threshold), "whole"))
+    return out
 
 
 def grouped(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

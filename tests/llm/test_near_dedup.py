@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,10 +72,18 @@ def test_buckets_of_unlike_texts_are_compared_whole(spark):
     rows = [(g * 2 + k, " ".join(b + ["x", "y"][k : k + 1])) for g, b in enumerate(base) for k in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = stored(near_dedup._keyed(docs, "text").withColumns({"buckets": F.array(F.lit(1).cast("long")), "fp": F.col("key")}), "found")
-    for block in (near_dedup.BLOCK, 4):
-        _check_links(found, near_dedup.links(docs, found, "text", block=block).collect())
+    for block, listed in ((near_dedup.BLOCK, near_dedup.LISTED), (4, near_dedup.LISTED), (4, -1)):
+        _check_links(found, near_dedup.links(docs, found, "text", block=block, listed=listed).collect())
 
 
 def _check_links(found, linked):
     of = {r["key"]: r["doc_id"] // 2 for r in found.collect()}
     assert {of[r["a"]] for r in linked} == set(range(9)) and all(of[r["a"]] == of[r["b"]] for r in linked)
+
+
+def test_similar_sets_by_products():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 300, 60)
+    sets = [np.unique(np.where(rng.random(60) < rng.uniform(0, 0.3), rng.integers(0, 9000, 60), base)) for _ in range(80)] + [np.array([7]), np.array([9000])]
+    want = [[len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8 for b in sets] for a in sets]
+    assert near_dedup.similar(sets).tolist() == want
