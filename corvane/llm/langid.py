@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import BROADCAST_ROWS, discard, stored
 
 #: Documents of each language that the model is fitted on at most, and documents of one machine's task at most; hashed
-#: n-grams; passes and cost of the machines.
-PER_LANGUAGE, PER_MACHINE, DIMS, PASSES, COST = 1500, 6000, 1 << 12, 8, 4.0
+#: n-grams; passes and cost of the machines; profiles that are held at once.
+PER_LANGUAGE, PER_MACHINE, DIMS, PASSES, COST, AT_ONCE = 1500, 4000, 1 << 12, 8, 4.0, 256
 UNKNOWN = "und"
 #: Score from which a prediction overrules a tag, and score below which a text shows no learned language. Of the 12,752
 #: held-out rows of 0.1 GB whose prediction is their tag, 0.9992 reach LEAST; gibberish of 100 words or more stays below.
@@ -156,8 +156,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     def profiles(batches):
         for batch in batches:
-            batch = batch[[has_letter(t) for t in batch["text"]]]
-            yield pd.DataFrame({"lang": batch["lang"], "h": batch["h"], "x": [profile(t, dims).astype("<f2").tobytes() for t in batch["text"]]})
+            for at in range(0, len(batch), AT_ONCE):
+                part = batch.iloc[at : at + AT_ONCE]
+                part = part[[has_letter(t) for t in part["text"]]]
+                yield pd.DataFrame({"lang": part["lang"], "h": part["h"], "x": [profile(t, dims).astype("<f2").tobytes() for t in part["text"]]})
 
     rows = sample.mapInPandas(profiles, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
     rows = rows.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("at") <= per_language)
@@ -201,9 +203,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def judge(texts: pd.Series) -> pd.DataFrame:
         able = np.array([has_letter(t) for t in texts], bool) & bool(model.families)
         lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        if able.any():
-            x = np.stack([profile(t, dims) for t in texts[able]])
-            lang[able], score[able] = decide(model, x)
+        for at in range(0, len(texts), AT_ONCE):
+            rows = at + np.flatnonzero(able[at : at + AT_ONCE])
+            if len(rows):
+                lang[rows], score[rows] = decide(model, np.stack([profile(t, dims) for t in texts.iloc[rows]]))
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
