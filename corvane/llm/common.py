@@ -1,14 +1,33 @@
 """What the operators of this subpackage share: stored intermediate tables and connected components."""
 
-from __future__ import annotations
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.session import discard, stored
 
 #: A side of at most so many small rows may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Texts of an Arrow batch that are Python objects at once.
+TEXTS = 256
+
+
+def slices(texts: pa.Array) -> Iterator[list]:
+    """The values of an Arrow array as Python lists of few, so a batch of long texts is in memory once."""
+    for at in range(0, len(texts), TEXTS):
+        yield texts.slice(at, TEXTS).to_pylist()
+
+
+def text_udf(of: Callable[[list], list], ddl: str, kind: pa.DataType) -> Callable[[Column], Column]:
+    """A function of a text column, `of` a list of texts, as an Arrow UDF of type `ddl`, which is `kind` in Arrow. Said to
+    be nondeterministic, it judges a text once, also where several fields or a filter follow."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.chunked_array([pa.array(of(x), kind) for x in slices(texts)], kind).combine_chunks() if len(texts) else pa.array([], kind)
+
+    return F.arrow_udf(run, ddl).asNondeterministic()
 
 
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -7,15 +7,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, discard, stored
+from corvane.llm.common import BROADCAST_ROWS, TEXTS, discard, stored, text_udf
 
 #: Documents of each language that the model is fitted on at most, and documents of one machine's task at most; hashed
-#: n-grams; passes and cost of the machines; profiles that are held at once.
-PER_LANGUAGE, PER_MACHINE, DIMS, PASSES, COST, AT_ONCE = 1500, 4000, 1 << 12, 8, 4.0, 256
+#: n-grams; passes and cost of the machines.
+PER_LANGUAGE, PER_MACHINE, DIMS, PASSES, COST = 1500, 4000, 1 << 12, 8, 4.0
 UNKNOWN = "und"
 #: Score from which a prediction overrules a tag, and score below which a text shows no learned language. Of the 12,752
 #: held-out rows of 0.1 GB whose prediction is their tag, 0.9992 reach LEAST; gibberish of 100 words or more stays below.
@@ -66,13 +67,13 @@ def machine(x: np.ndarray, sign: np.ndarray, cost: float = COST, passes: int = P
     the same in sum."""
     rng, w, alpha = np.random.default_rng(seed), np.zeros(x.shape[1]), np.zeros(len(x))
     each = np.where(sign > 0, len(sign) / 2 / max((sign > 0).sum(), 1), len(sign) / 2 / max((sign < 0).sum(), 1)) * cost
-    slack, norm = 1 / (2 * each), np.einsum("ij,ij->i", x, x)
+    slack, norm = 1 / (2 * each), np.array([np.square(row, dtype=np.float32).sum() for row in x])
     for _ in range(passes):
         for i in rng.permutation(len(x)):
-            old = alpha[i]
-            alpha[i] = max(0.0, old - (sign[i] * (w @ x[i]) - 1 + slack[i] * old) / (norm[i] + slack[i]))
+            old, row = alpha[i], x[i].astype(np.float32)
+            alpha[i] = max(0.0, old - (sign[i] * (w @ row) - 1 + slack[i] * old) / (norm[i] + slack[i]))
             if alpha[i] != old:
-                w += (alpha[i] - old) * sign[i] * x[i]
+                w += (alpha[i] - old) * sign[i] * row
     return w.astype(np.float32)
 
 
@@ -156,12 +157,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     def profiles(batches):
         for batch in batches:
-            for at in range(0, len(batch), AT_ONCE):
-                part = batch.iloc[at : at + AT_ONCE]
-                part = part[[has_letter(t) for t in part["text"]]]
-                yield pd.DataFrame({"lang": part["lang"], "h": part["h"], "x": [profile(t, dims).astype("<f2").tobytes() for t in part["text"]]})
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                part = part.filter(pa.array([has_letter(t) for t in part["text"].to_pylist()], pa.bool_()))
+                x = [profile(t, dims).astype("<f2").tobytes() for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["lang"], part["h"], pa.array(x, pa.binary())], ["lang", "h", "x"])
 
-    rows = sample.mapInPandas(profiles, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
+    rows = sample.mapInArrow(profiles, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
     rows = rows.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("at") <= per_language)
     rows = stored(rows, "sample")
     taken = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -180,10 +182,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["lang", "h"], kind="stable")
-        x = np.ones((len(part), dims + 1), np.float32)
-        for i, b in enumerate(part["x"]):
+        name, side, x = part[["what", "a", "b"]].head(1), part["side"].to_numpy(), np.ones((len(part), dims + 1), np.float16)
+        for i, b in enumerate(part.pop("x")):
             x[i, :dims] = np.frombuffer(b, "<f2")
-        return part[["what", "a", "b"]].head(1).assign(w=machine(x, part["side"].to_numpy()).tobytes())
+        return name.assign(w=machine(x, side).tobytes())
 
     found = held.groupBy("what", "a", "b").applyInPandas(learn, "what string, a string, b string, w binary").collect()
     discard(rows)
@@ -199,18 +201,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     dims = model.family_w.shape[0] - 1
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        able = np.array([has_letter(t) for t in texts], bool) & bool(model.families)
-        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        for at in range(0, len(texts), AT_ONCE):
-            rows = at + np.flatnonzero(able[at : at + AT_ONCE])
-            if len(rows):
-                lang[rows], score[rows] = decide(model, np.stack([profile(t, dims) for t in texts.iloc[rows]]))
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+    def judge(texts: list) -> list:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        able = [i for i, t in enumerate(texts) if model.families and has_letter(t)]
+        if able:
+            for i, found in zip(able, zip(*decide(model, np.stack([profile(texts[i], dims) for i in able])))):
+                out[i] = found
+        return out
 
+    judge = text_udf(judge, "lang_pred string, score double", pa.struct({"lang_pred": pa.string(), "score": pa.float64()}))
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    # Said to be nondeterministic, a text is judged once, also where a filter on the language follows.
-    judge = judge.asNondeterministic()
     out = docs.select(*names, judge(F.col(text)).alias("__judged"))
     return out.select(*names, "__judged.lang_pred", "__judged.score")

@@ -11,12 +11,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import simhash
-from corvane.llm.common import components, discard, few, stored
+from corvane.llm.common import TEXTS, components, discard, few, stored, text_udf
 
 #: Words of a shingle, least similarity of linked texts, seed.
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
@@ -143,16 +144,15 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     """`docs` without `text`, with hashes of the text (raw) and of its words (key), the number of its shingles (n), its
     fingerprint (fp), buckets and sketches."""
 
-    @F.pandas_udf("key long, n int, fp long, buckets array<long>, few binary, many binary")
-    def keys(texts: pd.Series) -> pd.DataFrame:
+    def keys(texts: list) -> list:
         out = []
         for x in texts:
             key, found = shingles(x)
             out.append((key - (1 << 64) if key >> 63 else key, len(found), simhash.majority(found) if len(found) else 0, *sketch(found)))
-        return pd.DataFrame(out, columns=["key", "n", "fp", "buckets", "few", "many"])
+        return out
 
-    # Said to be nondeterministic, a text is hashed once, though several columns are taken.
-    judged = keys.asNondeterministic()(F.col(text))
+    kind = pa.struct({"key": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "buckets": pa.list_(pa.int64()), "few": pa.binary(), "many": pa.binary()})
+    judged = text_udf(keys, "key long, n int, fp long, buckets array<long>, few binary, many binary", kind)(F.col(text))
     kept = [c for c in docs.columns if c != text]
     out = docs.select(*kept, F.xxhash64(text).alias("__raw"), judged.alias("__k"))
     return out.select(*kept, "__raw", "__k.*")
@@ -191,14 +191,16 @@ def _sets(docs: DataFrame, found: DataFrame, wanted: DataFrame, text: str) -> Da
     def sets(batches):
         seen = set()
         for batch in batches:
-            new = []
-            for raw, x in zip(batch["__raw"], batch["text"]):
-                if raw not in seen:
-                    seen.add(raw)
-                    new.append(shingles(x))
-            yield pd.DataFrame({"key": np.array([k for k, _ in new], np.uint64).view(np.int64), "set": [s.view(np.int64) for _, s in new]})
-
-    out = stored(texts.mapInPandas(sets, "key long, set array<long>").dropDuplicates(["key"]), "sets")
+            for at in range(0, batch.num_rows, TEXTS):
+                part, new = batch.slice(at, TEXTS), []
+                for raw, x in zip(part["__raw"].to_pylist(), part["text"].to_pylist()):
+                    if raw not in seen:
+                        seen.add(raw)
+                        new.append(shingles(x))
+                keys = np.array([k for k, _ in new], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.view(np.int64) for _, s in new], pa.list_(pa.int64()))], ["key", "set"])
+
+    out = stored(texts.mapInArrow(sets, "key long, set array<long>").dropDuplicates(["key"]), "sets")
     discard(raws)
     return out
 

@@ -7,11 +7,11 @@ import re
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, stored
+from corvane.llm.common import BROADCAST_ROWS, stored, text_udf
 
 #: Labelled rows that the document classifier is fitted on at most, the ridge of its weights, and the score of kept documents.
 SAMPLE, RIDGE, KEEP = 20_000, 1.0, 0.5
@@ -77,10 +77,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30) ->
 
 def described(docs: DataFrame, doc_id: str, text: str, host: str, path: str) -> DataFrame:
     """(doc_id, host, path, features): a row for each row of `docs`, without its text. Map-only."""
-    @F.pandas_udf("array<double>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(x) for x in texts])
-
+    of = text_udf(lambda texts: [features(x) for x in texts], "array<double>", pa.list_(pa.float64()))
     # A null host or path is a host or path of its own.
     named = [F.to_json(F.struct(F.col(c).alias("v"))).alias(n) for c, n in ((host, "host"), (path, "path"))]
     return docs.select(F.col(doc_id).alias("doc_id"), *named, of(F.col(text)).alias("features"))

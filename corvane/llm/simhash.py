@@ -6,11 +6,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, few, stored
+from corvane.llm.common import components, few, stored, text_udf
 
 #: Words of a shingle, seed of its hash, and bits by which linked fingerprints may differ.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -50,11 +51,7 @@ def majority(hashed: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): a row for each row of `docs`. Map-only."""
-
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(x, shingle) for x in texts], dtype="int64")
-
+    fp = text_udf(lambda texts: [simhash(x, shingle) for x in texts], "long", pa.int64())
     return docs.select(F.col(doc_id).alias("doc_id"), fp(F.col(text)).alias("fp"))
 
 
