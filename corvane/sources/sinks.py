@@ -42,6 +42,32 @@ def merged_settings(existing: DataFrame, generated: DataFrame, forced: list[tupl
     return both.select("section", "key", value.alias("value"), F.coalesce("o", F.lit(1_000_000) + F.col("n")).alias("ord"))
 
 
+def gsound_lines(rows: DataFrame) -> DataFrame:
+    """(id, value): the CSV line of each row of the second pack format: id, type, gain, ducking profile, file."""
+    return rows.select("id", F.concat_ws(",", X.id_text(F.col("id")), "gtype", F.lit("100"), F.col("profile").cast("string"), "fname").alias("value"))
+
+
+def replacement_lines(rows: DataFrame, key: str) -> DataFrame:
+    """(key, value): the CSV line of each replaced file: id, file, gain, source, level and offset; figures have two
+    decimals, unknown ones are empty."""
+    figure = lambda c: F.coalesce(F.format_string("%.2f", F.col(c)), F.lit(""))
+    shown = lambda c: F.when(F.col(c).isNull(), "").otherwise(figure(c))
+    parts = [X.id_text(F.col("id")), F.col("fname"), F.col("gain").cast("string"), X.csv_field(F.col("source")), shown("lufs"), shown("offset")]
+    return rows.select(key, F.concat_ws(",", *[F.coalesce(p, F.lit("")) for p in parts]).alias("value"))
+
+
+def entry_lines(entries: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, value): each entry as one line of JSON with the columns in order; an entry without a list has an empty one."""
+    kinds = dict(entries.dtypes)
+    listed = [F.coalesce(F.col(c), F.array().cast(kinds[c])).alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns]
+    return entries.select(key, F.to_json(F.struct(*listed)).alias("value"))
+
+
+def plan_lines(items: DataFrame) -> DataFrame:
+    """`items` (plan, name) with the file and the line of each: a file for each plan."""
+    return items.withColumns({"file": F.concat("plan", F.lit(".txt")), "value": F.col("name")})
+
+
 def write_lines(lines: DataFrame, path: str, by: str, order: list[str], line_end: str = "\n") -> None:
     """Text files under `path`, a folder for each `by`, its lines in `order`; written anew each time."""
     lines.repartition(by).sortWithinPartitions(by, *order).select(by, "value").write.mode("overwrite").option("lineSep", line_end).partitionBy(by).text(path)

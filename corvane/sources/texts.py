@@ -111,3 +111,13 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select(X.parse_id(F.col("id")).alias("id"), "fname", gain.alias("gain"), "line").where(F.col("id").isNotNull() & safe)
     last = rows.groupBy("id").agg(F.max(F.struct("line", "fname", "gain")).alias("r"))
     return last.select("id", "r.fname", "r.gain", "r.line")
+
+
+def json_map(rows: DataFrame, text: str, prefix: str = "") -> DataFrame:
+    """`rows` without `text`, with key and value: the entries of a JSON object whose keys begin with `prefix` and whose
+    values are texts: relative paths, without a leading ./, that lead nowhere else. A text that is no object has none."""
+    entry = F.explode(F.map_entries(F.from_json(text, "map<string,string>"))).alias("e")
+    found = rows.select(*[c for c in rows.columns if c != text], entry)
+    value = F.regexp_replace("e.value", r"^(?:\./)+", "")
+    found = found.select(*[c for c in rows.columns if c != text], F.col("e.key").alias("key"), value.alias("value"))
+    return found.where(F.startswith("key", F.lit(prefix)) & F.col("value").isNotNull() & ~F.contains("value", F.lit("://")) & ~F.contains("value", F.lit("..")))
