@@ -20,12 +20,13 @@ def slices(texts: pa.Array) -> Iterator[list]:
         yield texts.slice(at, TEXTS).to_pylist()
 
 
-def text_udf(of: Callable[[list], list], ddl: str, kind: pa.DataType) -> Callable[[Column], Column]:
+def text_udf(of: Callable[[list], list | pa.Array], ddl: str, kind: pa.DataType) -> Callable[[Column], Column]:
     """A function of a text column, `of` a list of texts, as an Arrow UDF of type `ddl`, which is `kind` in Arrow. Said to
     be nondeterministic, it judges a text once, also where several fields or a filter follow."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.chunked_array([pa.array(of(x), kind) for x in slices(texts)], kind).combine_chunks() if len(texts) else pa.array([], kind)
+        parts = [found if isinstance(found := of(x), pa.Array) else pa.array(found, kind) for x in slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return F.arrow_udf(run, ddl).asNondeterministic()
 

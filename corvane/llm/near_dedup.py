@@ -124,32 +124,38 @@ def _minima_many(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(found: np.ndarray) -> tuple[list[int], bytes | None, bytes | None]:
+def sketch(found: np.ndarray) -> tuple[np.ndarray, bytes | None, bytes | None]:
     """Bucket ids, and the low bytes of the minima of either kind; nothing for no shingles.
 
     Sets of under `MANY` shingles have minima of the first kind, others of the second; those of up to MANY / THRESHOLD
     have both, so whatever is alike enough has one kind in common.
     """
-    ids, low = [], [None, None]
+    ids, low = [np.zeros(0, np.int64)], [None, None]
     for kind, able, minima in ((0, 0 < len(found) < MANY / THRESHOLD, _minima_few), (1, len(found) >= MANY, _minima_many)):
         if able:
             least = minima(found)
-            bands = _mixed(least.reshape(BANDS, ROWS).T, np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS))
-            ids += bands.view(np.int64).tolist()
+            ids.append(_mixed(least.reshape(BANDS, ROWS).T, np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS)).view(np.int64))
             low[kind] = (least >> np.uint64(17)).astype(np.uint8).tobytes()
-    return ids, *low
+    return ids[-1] if len(ids) < 3 else np.concatenate(ids), *low
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     """`docs` without `text`, with hashes of the text (raw) and of its words (key), the number of its shingles (n), its
     fingerprint (fp), buckets and sketches."""
 
-    def keys(texts: list) -> list:
-        out = []
-        for x in texts:
-            key, found = shingles(x)
-            out.append((key - (1 << 64) if key >> 63 else key, len(found), simhash.majority(found) if len(found) else 0, *sketch(found)))
-        return out
+    def keys(texts: list) -> pa.Array:
+        made = [shingles(x) for x in texts]
+        drawn = [sketch(found) for _, found in made]
+        ends = np.cumsum([0, *(len(ids) for ids, _, _ in drawn)]).astype(np.int32)
+        columns = [
+            pa.array(np.array([k for k, _ in made], np.uint64).view(np.int64)),
+            pa.array(np.array([len(found) for _, found in made], np.int32)),
+            pa.array([simhash.majority(found) if len(found) else 0 for _, found in made], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(ids for ids, _, _ in drawn)]))),
+            pa.array([x for _, x, _ in drawn], pa.binary()),
+            pa.array([x for _, _, x in drawn], pa.binary()),
+        ]
+        return pa.StructArray.from_arrays(columns, fields=list(kind))
 
     kind = pa.struct({"key": pa.int64(), "n": pa.int32(), "fp": pa.int64(), "buckets": pa.list_(pa.int64()), "few": pa.binary(), "many": pa.binary()})
     judged = text_udf(keys, "key long, n int, fp long, buckets array<long>, few binary, many binary", kind)(F.col(text))
@@ -227,17 +233,24 @@ def _by_simhash(keys: DataFrame, max_bits: int = simhash.MAX_BITS) -> DataFrame:
     return equal.unionByName(near)
 
 
-def _members(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(bucket, key, n, few, many, root, size): the members of buckets that hold several roots; `lead` is one of them."""
+def _live(postings: DataFrame) -> DataFrame:
+    """(bucket, lead, size): the buckets of `postings` (bucket, key, root) that hold several roots; lead is a member."""
+    lead = F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("lead")
+    heads = postings.groupBy("bucket").agg(lead, F.min("root").alias("__least"), F.max("root").alias("__most"), F.count("*").alias("size"))
+    return stored(heads.where("__least != __most").select("bucket", "lead", "size"), "heads")
+
+
+def _members(keys: DataFrame) -> DataFrame:
+    """(bucket, key, n, few, many, lead): the members of buckets that hold several keys."""
     postings = keys.select("key", F.explode("buckets").alias("bucket"))
-    if roots is not None:
-        postings = postings.join(few(roots), "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component")
-    else:
-        postings = postings.withColumn("root", F.col("key"))
-    heads = postings.groupBy("bucket").agg(F.min_by("key", F.struct(F.xxhash64("key"), "key")).alias("lead"), F.min("root").alias("__least"), F.max("root").alias("__most"), F.count("*").alias("size"))
-    heads = stored(heads.where("__least != __most").select("bucket", "lead", "size"), "heads")
-    live = postings.join(few(heads), "bucket")
-    return live.join(keys.select("key", "n", "few", "many"), "key")
+    heads = _live(postings.withColumn("root", F.col("key")))
+    return postings.join(few(heads.drop("size")), "bucket").join(keys.select("key", "n", "few", "many"), "key")
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """`members` of buckets that hold keys that no link connects yet, with the root of each and the bucket's size."""
+    rooted = members.drop("lead").join(few(roots), "key", "left").withColumn("root", F.coalesce("component", "key")).drop("component")
+    return rooted.join(few(_live(rooted.select("bucket", "key", "root"))).drop("lead"), "bucket")
 
 
 def _by_leads(members: DataFrame, keys: DataFrame) -> DataFrame:
@@ -342,12 +355,11 @@ def links(docs: DataFrame, found: DataFrame, text: str, threshold: float = THRES
     one; blocks of too many of them, as of texts that are nearly alike enough, are compared whole in their task.
     """
     keys = stored(found.select("key", "n", "fp", "buckets", "few", "many").dropDuplicates(["key"]).where("n > 0"), "keys")
-    members = stored(_members(keys, None), "members")
+    members = stored(_members(keys), "members")
     first = _verified(docs, found, _likely(_by_simhash(keys).unionByName(_by_leads(members, keys)), threshold), text, threshold)
-    discard(members)
     roots = stored(components(first).withColumnRenamed("node", "key"), "roots")
-    members = stored(_members(keys, roots), "members")
-    dealt = stored(_blocks(members, block), "blocks")
+    dealt = stored(_blocks(_apart(members, roots), block), "blocks")
+    discard(members)
     likely = _by_blocks(dealt, threshold, listed)
     out = first.unionByName(_verified(docs, found, likely.where("not whole").select("a", "b").distinct(), text, threshold))
     dense = stored(likely.where("whole").select("bucket", "bi", "bj"), "dense")
