@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.exprs import ascii_lower, rounded
 
 # Extensions of files that belong to no set.
-NO_CONTENT = "vpx vpt directb2s txt nfo diz ini cfg nv pdf jpg jpeg png gif bmp wav mp3 ogg exe dll url htm html md csv zip 7z rar db".split()
+NO_CONTENT = ["vpx", "vpt", "directb2s", "txt", "nfo", "diz", "ini", "cfg", "nv", "pdf", "jpg", "jpeg", "png", "gif", "bmp", "wav", "mp3", "ogg", "exe", "dll", "url", "htm", "html", "md", "csv", "zip", "7z", "rar", "db"]
 
 
 def marked_kind(name: Column) -> Column:

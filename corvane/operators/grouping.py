@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import exprs as X
+from corvane.operators.spans import CHUNK, along, spread
 
 
 def fingerprint(items: DataFrame, keys: list[str], digest: str) -> DataFrame:
@@ -68,13 +69,15 @@ def gated(items: DataFrame, keys: list[str], energy: str) -> DataFrame:
 def order_statistics(items: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(keys, n, a column for each rank): the values at zero-based ranks of each group's sorted values.
 
-    `ranks` gives a rank from the group's count. Equal values are counted before the window, so what a group brings
-    to one task are its distinct values: levels of two decimals are some thousands, however many rows there are.
+    `ranks` gives a rank from the group's count. Equal values are counted first, so what a group brings to one task are
+    its distinct values; a group of more rows than a task should order is dealt by ranges of values, which pass on only
+    their counts.
     """
-    counts = items.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    of = W.partitionBy(*keys)
-    seen = counts.withColumn("__upto", F.sum("__c").over(of.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
-    seen = seen.withColumn("__n", F.sum("__c").over(of))
+    known = items.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    seen = along(spread(counts, keys, [value], sized=known), keys, [value], sums={"__upto": F.col("__c")})
+    total = known.groupBy(*keys).agg(F.count("*").alias("__n"))
+    seen = seen.join(total, keys) if CHUNK in seen.columns else seen.withColumn("__n", F.sum("__c").over(W.partitionBy(*keys)))
     at = lambda rank: F.min(F.when(F.col("__upto") > rank(F.col("__n")), F.col(value)))
     return seen.groupBy(*keys).agg(F.max("__n").alias("n"), *[at(rank).alias(name) for name, rank in ranks.items()])
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import discard, stored
+
 
 def candidates(members: DataFrame, files: DataFrame) -> DataFrame:
     """(unit, set): sets that share a file with a unit: by crc and size, or by name for files that were never dumped.
@@ -100,13 +101,15 @@ def universal(readers: DataFrame, entries: DataFrame, keys: list[str], value: st
 def band(items: DataFrame, keys: list[str], bands: list[tuple[str, float]], order: str) -> DataFrame:
     """(keys, a, b): pairs a < b by `order` of a group whose values differ by at most each band's width.
 
-    The first band's values fall in cells of its width; a row meets its own cell and the neighbours by an equi-join.
+    The values of each band fall in cells of its width; a row meets its own cells and the neighbours of all bands by one
+    equi-join, so what is close in one band alone makes no pair.
     """
-    value, width = bands[0]
-    cell = F.floor(F.col(value) / width)
-    left = items.withColumn("__cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    right = items.select(*keys, cell.alias("__cell"), F.col(order).alias("b"), *[F.col(v).alias(f"__r{i}") for i, (v, _) in enumerate(bands)])
-    pairs = left.join(right, [*keys, "__cell"]).where(F.col(order) < F.col("b"))
+    cells = {f"__cell{i}": F.floor(F.col(v) / w) for i, (v, w) in enumerate(bands)}
+    left = items
+    for name, cell in cells.items():
+        left = left.withColumn(name, F.explode(F.array(cell - 1, cell, cell + 1)))
+    right = items.select(*keys, *[c.alias(n) for n, c in cells.items()], F.col(order).alias("b"), *[F.col(v).alias(f"__r{i}") for i, (v, _) in enumerate(bands)])
+    pairs = left.join(right, [*keys, *cells]).where(F.col(order) < F.col("b"))
     near = reduce(lambda x, y: x & y, [F.abs(F.col(v) - F.col(f"__r{i}")) <= w for i, (v, w) in enumerate(bands)])
     return pairs.where(near).select(*keys, F.col(order).alias("a"), "b")
 
@@ -115,35 +118,40 @@ def leaders(pairs: DataFrame, block: list[str]) -> DataFrame:
     """(block, item, leader): each item that is a twin, and the first earlier item that is none and pairs with it.
 
     Pairs: block, a < b. An item with no such pair leads itself and is not listed. Order decides, so this is no
-    component: the pairs of a block, which are few and verified, are walked once in the order of b.
+    component. Rounds of joins settle the items: one whose earlier partners are all settled as twins is none, and what
+    pairs with such a one is a twin. All groups go on at once, and none of them is in one task; there are as many rounds
+    as the longest chain of items that wait for each other.
     """
-    kinds = dict(pairs.dtypes)
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        twin: dict[int, int] = {}
-        for b, those in part.sort_values(["b", "a"]).groupby("b", sort=True):
-            lead = next((a for a in those["a"] if a not in twin), None)
-            if lead is not None:
-                twin[b] = lead
-        head = part[block].iloc[0].to_dict()
-        return pd.DataFrame([head | {"item": b, "leader": a} for b, a in twin.items()], columns=[*block, "item", "leader"])
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in block) + f", item {kinds['a']}, leader {kinds['a']}"
-    return pairs.groupBy(*block).applyInPandas(walk, schema)
+    node = lambda df, side: df.select(*block, F.col(side).alias("__x")).distinct()
+    every = stored(pairs.select(*block, "a", "b").distinct(), "pairs")
+    twins, rest = [], every
+    while not rest.isEmpty():
+        first = node(rest, "a").join(node(rest, "b"), [*block, "__x"], "left_anti")
+        new = stored(node(rest.join(first.withColumnRenamed("__x", "a"), [*block, "a"], "left_semi"), "b"), "twins")
+        left = rest.join(new.withColumnRenamed("__x", "b"), [*block, "b"], "left_anti").join(new.withColumnRenamed("__x", "a"), [*block, "a"], "left_anti")
+        left = stored(left, "rest")
+        twins.append(new)
+        if rest is not every:
+            discard(rest)
+        rest = left
+    found = reduce(DataFrame.unionByName, twins) if twins else node(every, "b")
+    lead = every.join(found.withColumnRenamed("__x", "b"), [*block, "b"], "left_semi").join(found.withColumnRenamed("__x", "a"), [*block, "a"], "left_anti")
+    return lead.groupBy(*block, F.col("b").alias("item")).agg(F.min("a").alias("leader"))
 
 
 def without_subsets(sets: DataFrame, keys: list[str], name: str, element: str) -> DataFrame:
     """(keys, name, size): sets of a group that are no true part of another of the same group.
 
-    Sets: keys, name, element, distinct. Common elements are counted by an equi-join on the element: a set is part of
-    another if all its elements are common and the other has more.
+    Sets: keys, name, element, distinct. A set can only be part of one that holds its rarest element, so it meets those
+    alone, and only larger ones; for these pairs the common elements are counted.
     """
     sized = sets.groupBy(*keys, name).agg(F.count("*").alias("size"))
-    left = sets.withColumnRenamed(name, "__a")
-    right = sets.withColumnRenamed(name, "__b")
-    common = left.join(right, [*keys, element]).where("__a != __b").groupBy(*keys, "__a", "__b").agg(F.count("*").alias("__c"))
-    size_of = lambda n: sized.select(*keys, F.col(name).alias(n), F.col("size").alias(f"{n}_size"))
-    parts = common.join(size_of("__a"), [*keys, "__a"]).join(size_of("__b"), [*keys, "__b"]).where("__c = __a_size and __a_size < __b_size")
+    often = sets.groupBy(*keys, element).agg(F.count("*").alias("__n"))
+    rare = sets.join(often, [*keys, element]).groupBy(*keys, name).agg(F.min(F.struct("__n", element))[element].alias(element), F.count("*").alias("__a_size"))
+    large = sets.join(sized, [*keys, name]).select(*keys, element, F.col(name).alias("__b"), F.col("size").alias("__b_size"))
+    pairs = rare.withColumnRenamed(name, "__a").join(large, [*keys, element]).where("__a_size < __b_size").select(*keys, "__a", "__b", "__a_size")
+    common = pairs.join(sets.withColumnRenamed(name, "__a"), [*keys, "__a"]).join(sets.withColumnRenamed(name, "__b"), [*keys, "__b", element])
+    parts = common.groupBy(*keys, "__a", "__b", "__a_size").agg(F.count("*").alias("__c")).where("__c = __a_size")
     return sized.join(parts.select(*keys, F.col("__a").alias(name)).distinct(), [*keys, name], "left_anti")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators.signals import one_pole
 from corvane.operators.spans import CHUNK, along, spread
 
 
@@ -72,17 +74,53 @@ def blocks(items: DataFrame, keys: list[str], order: list[str], n: int, value: s
 
 
 def sliding(blocks: DataFrame, keys: list[str], block: str, value: str, width: int) -> DataFrame:
-    """(keys, block, mean): means over `width` steps that end at each block; the first ones, not yet full, left out."""
-    w = W.partitionBy(*keys).orderBy(block).rowsBetween(-(width - 1), 0)
-    return blocks.select(*keys, block, F.avg(value).over(w).alias("mean"), F.count("*").over(w).alias("c")).where(F.col("c") == width).drop("c")
+    """(keys, block, mean): means over `width` steps that end at each block; the first ones, not yet full, left out.
+
+    A block is part of the next `width` ones, numbers being whole and without gaps: partial sums, so a long series is no
+    single task.
+    """
+    parts = blocks.select(*keys, F.explode(F.sequence(F.col(block), F.col(block) + (width - 1))).alias(block), value)
+    return parts.groupBy(*keys, block).agg(F.avg(value).alias("mean"), F.count("*").alias("c")).where(F.col("c") == width).drop("c")
 
 
 def lag_difference(items: DataFrame, keys: list[str], at: str, value: str, lags: int) -> DataFrame:
-    """(keys, lag, n, diff): how much a series differs from itself `lag` places on, 1 to `lags`, by one equi-join."""
-    right = items.select(*keys, F.col(at).alias("__j"), F.col(value).alias("__w"))
-    left = items.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("__j", F.col(at) + F.col("lag"))
-    pairs = left.join(right, [*keys, "__j"])
-    return pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.sum(F.abs(F.col(value) - F.col("__w"))).alias("diff"))
+    """(keys, lag, n, diff): how much a series differs from itself `lag` places on, 1 to `lags`: each row looks back over
+    one window of its key, so rows are dealt once and not once for each lag."""
+    back = W.partitionBy(*keys).orderBy(at).rangeBetween(-lags, -1)
+    seen = items.select(*keys, at, value, F.collect_list(F.struct(F.col(at).alias("i"), F.col(value).alias("v"))).over(back).alias("__back"))
+    pairs = seen.select(*keys, at, value, F.explode("__back").alias("p"))
+    lag = (F.col(at) - F.col("p.i")).cast("int").alias("lag")
+    return pairs.groupBy(*keys, lag).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("p.v") - F.col(value))).alias("diff"))
+
+
+def next_distinct(items: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """(keys, at, name): each different place of a key and the next one; null for the last."""
+    places = items.select(*keys, at).distinct()
+    return along(spread(places, keys, [at]), keys, [at], leads={name: F.col(at)}).drop(CHUNK)
+
+
+def decayed(items: DataFrame, keys: list[str], order: list[str], value: str, r: float, part: int = 1 << 16) -> DataFrame:
+    """(keys, i, y): y[i] = x[i] - x[i-1] + r y[i-1] from y[0] = 0, by parts of `part` rows of a key.
+
+    A part is filtered by itself in its task; what goes on to the next part is its last value, of which r ** part is left
+    at its end. That is nothing in double precision, so no part waits for more than the one before it.
+    """
+    if r**part > 1e-20:
+        raise ValueError(f"of a part's state {r**part} is left at the end of the next: take longer parts")
+    placed = along(spread(items, keys, order), keys, order, lags={"__was": F.col(value)}, sums={"__at": F.lit(1).cast("long")})
+    rows = placed.select(*keys, (F.col("__at") - 1).alias("i"), F.coalesce(F.col(value) - F.col("__was"), F.lit(0.0)).alias("__d"))
+    rows = rows.withColumn("__part", F.expr(f"i div {part}"))
+    parts = rows.groupBy(*keys, "__part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "__d"))), lambda e: e["__d"]).alias("__d"))
+
+    def run(batches):
+        for batch in batches:
+            yield batch.drop(columns="__d").assign(y=[one_pole(np.asarray(d, float), r) for d in batch["__d"]])
+
+    kinds = dict(parts.dtypes)
+    alone = parts.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "__part")) + ", y array<double>")
+    carried = F.lag(F.element_at("y", -1)).over(W.partitionBy(*keys).orderBy("__part"))
+    out = alone.withColumn("__carry", F.coalesce(carried, F.lit(0.0))).select(*keys, "__part", "__carry", F.posexplode("y").alias("__k", "y"))
+    return out.select(*keys, (F.col("__part") * part + F.col("__k")).alias("i"), (F.col("y") + F.col("__carry") * F.pow(F.lit(r), F.col("__k") + 1)).alias("y"))
 
 
 def recurrence(items: DataFrame, keys: list[str], at: str, state: str) -> DataFrame:

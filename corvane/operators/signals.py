@@ -244,6 +244,8 @@ def best_lag(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(lags[np.argmax(cross[lags])])
 
 
+#: Bytes of codes that are decoded together.
+TOGETHER = 1 << 22
 # By how much a code of IMA ADPCM moves the index of its step.
 INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2)
 
@@ -271,13 +273,15 @@ def ima_decode(data: bytes, value: int = 0, index: int = 0) -> np.ndarray:
 
 
 def ima_decode_all(streams: list[bytes]) -> list[np.ndarray]:
-    """What ima_decode gives for each stream, all streams of about one length step by step together."""
+    """What ima_decode gives for each stream; streams of about one length go step by step together, as many as TOGETHER
+    bytes hold, so memory does not follow their number times the longest."""
     out: list[np.ndarray] = [np.zeros(0, "<i2")] * len(streams)
     classes: dict[int, list[int]] = {}
     for i, x in enumerate(streams):
         classes.setdefault(len(x).bit_length(), []).append(i)
     table, change = np.array(steps()), np.asarray(INDEX, np.int64)
-    for rows in classes.values():
+    parts = [rows[at : at + n] for size, rows in classes.items() for n in [max(8, TOGETHER >> size)] for at in range(0, len(rows), n)]
+    for rows in parts:
         if len(rows) < 8:
             for i in rows:
                 out[i] = ima_decode(streams[i])

@@ -13,11 +13,12 @@ ROWS_OF_A_KEY = 2_000_000
 CHUNK = "__chunk"
 
 
-def spread(items: DataFrame, keys: list[str], order: list[str], most: int | None = None) -> DataFrame:
+def spread(items: DataFrame, keys: list[str], order: list[str], most: int | None = None, sized: DataFrame | None = None) -> DataFrame:
     """`items` as they are where no key has over `most` rows, else dealt by ranges of (keys, order) and stored, with the
-    number of the range: ranges rise along the order, so a hot key is many of them. `order` has to be total."""
+    number of the range: ranges rise along the order, so a hot key is many of them. `order` has to be total. `sized`: rows to
+    count in place of `items`, where these are no more and cost less."""
     most = ROWS_OF_A_KEY if most is None else most
-    largest = items.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    largest = (items if sized is None else sized).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if (largest or 0) <= most:
         return items
     spark = items.sparkSession

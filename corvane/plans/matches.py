@@ -60,7 +60,7 @@ def closest_set(spark, sf_dir):
 @query("""
 WITH chain AS (SELECT c_custkey, s_suppkey AS unit, CASE WHEN s_nationkey = c_nationkey THEN 0 ELSE 1 END AS tier, s_suppkey FROM customer JOIN nation ON c_nationkey = n_nationkey
   JOIN (SELECT s_suppkey, s_nationkey, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey) ON r = n_regionkey),
-holds AS (SELECT DISTINCT l_suppkey AS unit, l_linenumber AS need FROM lineitem WHERE l_returnflag = 'R' AND l_discount = 0.1 AND l_tax = 0.08),
+holds AS (SELECT DISTINCT l_suppkey AS unit, l_linenumber AS need FROM lineitem),
 needs AS (SELECT c_custkey, unnest([1, 3, 5, 7]) AS need FROM customer)
 SELECT n.c_custkey, n.need, arg_min(h.unit, (tier, h.unit)) AS supplier FROM needs n LEFT JOIN (chain JOIN holds h USING (unit)) AS h ON h.c_custkey = n.c_custkey AND h.need = n.need GROUP BY ALL""")
 def ordered_cover(spark, sf_dir):
@@ -68,8 +68,7 @@ def ordered_cover(spark, sf_dir):
     nation = t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     suppliers = t(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_regionkey")
     customers = t(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
-    lines = t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount = 0.1 and l_tax = 0.08")
-    holds = lines.select(F.col("l_suppkey").alias("unit"), F.col("l_linenumber").alias("need")).distinct()
+    holds = t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("unit"), F.col("l_linenumber").alias("need")).distinct()
     # A chain is a place and not a customer: needs of a nation are looked up once.
     places = nation.join(suppliers, "n_regionkey").select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("s_suppkey").alias("unit"), F.struct((F.col("s_nationkey") != F.col("n_nationkey")).cast("int").alias("tier"), "s_suppkey").alias("ord"))
@@ -175,11 +174,12 @@ def plan_partition(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT event_id % 1000 AS doc_id, arg_max(event_type, event_id) AS source, max(event_id) AS line FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+WITH o AS (SELECT event_id * 7 % (SELECT count(*) FROM documents) AS doc_id, arg_max(event_type, event_id) AS source, max(event_id) AS line FROM events GROUP BY 1)
 SELECT d.doc_id, coalesce(o.source, d.source) AS source, o.doc_id IS NOT NULL AND coalesce(o.source <> d.source, true) AS changed FROM documents d LEFT JOIN o USING (doc_id)""")
 def override_merge(spark, sf_dir):
     """UPS1, UPS3, SRC13: the last override of an id replaces the row's value."""
-    over = t(spark, sf_dir, "events").where("event_id % 3 = 0").select((F.col("event_id") % 1000).alias("doc_id"), F.col("event_id").alias("line"), F.col("event_type").alias("new"))
+    n = t(spark, sf_dir, "documents").count()
+    over = t(spark, sf_dir, "events").select((F.col("event_id") * 7 % max(1, n)).alias("doc_id"), F.col("event_id").alias("line"), F.col("event_type").alias("new"))
     last = M.last_rows(over, ["doc_id"], "line")
     docs = t(spark, sf_dir, "documents").select("doc_id", "source").join(last, "doc_id", "left")
     return docs.select("doc_id", F.coalesce("new", "source").alias("source"), (F.col("line").isNotNull() & ~F.col("new").eqNullSafe(F.col("source"))).alias("changed"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from corvane.operators import grouping as G
+from corvane.operators import sequences as Q
 from corvane.operators import signals as S
 from corvane.plans.registry import query, t
 from corvane.streaming import progress, replay
@@ -50,7 +53,7 @@ def loop_find(spark, sf_dir):
 @query()
 def sound_twins(spark, sf_dir):
     """J18, K15, K16, UPS8: sounds that are an earlier one of their group once more, each sound being there twice."""
-    once = series(spark, sf_dir, 4, 2).withColumn("part", F.lit(0))
+    once = series(spark, sf_dir, 4, 2).withColumn("part", F.col("bucket") % 3)
     again = once.withColumn("bucket", F.col("bucket") + 1_000_000)
     return S.find_twins(once.unionByName(again), ["part"], "bucket")
 
@@ -62,14 +65,9 @@ y AS (SELECT user_id, i, value, CAST(0 AS DOUBLE) AS y FROM s WHERE i = 0
 SELECT user_id, i, round(y, 5) AS y FROM y""")
 def dc_block(spark, sf_dir):
     """K2: each user's series without its idle level."""
-    rows = t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("e"))
-
-    def run(batches):
-        for batch in batches:
-            yield batch[["user_id"]].assign(y=[S.dc_blocked(np.array([x["value"] for x in e], float)) for e in batch["e"]])
-
-    found = rows.mapInPandas(run, "user_id long, y array<double>")
-    return found.select("user_id", F.posexplode("y").alias("i", "y")).select("user_id", F.col("i").cast("long").alias("i"), F.round("y", 5).alias("y"))
+    rows = t(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    found = Q.decayed(rows, ["user_id"], ["event_id"], "value", math.exp(-2 * math.pi * S.DC_HZ / S.RATE))
+    return found.select("user_id", "i", F.round("y", 5).alias("y"))
 
 
 @query()

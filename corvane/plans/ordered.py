@@ -135,10 +135,7 @@ def voice_cut(spark, sf_dir):
 @query("""SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS boundary FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)""")
 def next_boundary(spark, sf_dir):
     """WIN18: each distinct offset and the next."""
-    from pyspark.sql import Window as W
-
-    offsets = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return offsets.withColumn("boundary", F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_partkey")))
+    return S.next_distinct(t(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_partkey", "boundary")
 
 
 @query("""
@@ -150,10 +147,9 @@ def sequence_match(spark, sf_dir):
     return S.first_after(found.where("event_type = 'signup'"), found.where("event_type = 'purchase'"), ["user_id"], "event_id")
 
 
-@query("""SELECT user_id, count(*) AS n, string_agg(CAST(event_id AS VARCHAR) || ':' || event_type, ' ' ORDER BY event_id) AS log FROM events WHERE event_type = 'error' GROUP BY 1""")
+@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, event_id || ':' || event_type AS line FROM events WHERE event_type = 'error'""")
 def boot_log(spark, sf_dir):
-    """REP1: a user's errors in order, as text."""
-    errors = t(spark, sf_dir, "events").where("event_type = 'error'")
-    rows = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    text = F.transform(rows, lambda x: F.concat_ws(":", x["event_id"].cast("string"), x["event_type"]))
-    return errors.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(text, " ").alias("log"))
+    """REP1: a user's errors as numbered lines in order."""
+    errors = t(spark, sf_dir, "events").where("event_type = 'error'").select("user_id", "event_id", "event_type")
+    placed = S.numbered(errors, ["user_id"], ["event_id"], "place")
+    return placed.select("user_id", "place", F.concat_ws(":", F.col("event_id").cast("string"), "event_type").alias("line"))
