@@ -127,6 +127,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embe
     """
     named = lambda df: df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
     points, asked = named(vectors), named(queries)
+    # As many pivots as shards are needed: cells of few points would only be many small trees.
+    pivots = min(pivots, max(1, -(-points.count() // shard)))
     lengths = [r[0] for r in points.select(F.size("embedding").alias("dim")).distinct().collect()]
     first = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding"))
     chosen = points.withColumn("dim", F.size("embedding")).withColumn("at", first).where(F.col("at") <= max(1, sample // max(1, len(lengths)))).collect()
