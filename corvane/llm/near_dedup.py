@@ -56,6 +56,10 @@ def _mixed(columns, start: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Which bytes are part of a word.
+_SOLID = ~np.isin(np.arange(256), [32, *range(9, 14)])
+
+
 class _Powers:
     """Powers of an odd number and of its inverse, to as many as a text has bytes."""
 
@@ -74,14 +78,14 @@ def word_hashes(text: str | None) -> np.ndarray:
     """A hash of each word of the text: of its bytes as a polynomial, A-Z lower-cased; words are runs of bytes other than
     blank and 9 to 13."""
     raw = np.frombuffer(text.encode().lower() if text else b"", np.uint8)
-    solid = np.zeros(len(raw) + 2, np.int8)
-    solid[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
-    edges = np.diff(solid)
-    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    solid = np.zeros(len(raw) + 2, bool)
+    np.take(_SOLID, raw, out=solid[1:-1])
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    start, end = edges[::2], edges[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = _Powers.of(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw * up, dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(raw.astype(np.uint64) * up)])
     return _finished((sums[end] - sums[start]) * down[start])
 
 
@@ -124,19 +128,24 @@ def _minima_many(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(found: np.ndarray) -> tuple[np.ndarray, bytes | None, bytes | None]:
-    """Bucket ids, and the low bytes of the minima of either kind; nothing for no shingles.
+def sketches(sets: list[np.ndarray]) -> tuple[list[np.ndarray], list[bytes | None], list[bytes | None]]:
+    """Bucket ids of each set of shingles, and the low bytes of its minima of either kind; nothing for no shingles.
 
     Sets of under `MANY` shingles have minima of the first kind, others of the second; those of up to MANY / THRESHOLD
     have both, so whatever is alike enough has one kind in common.
     """
-    ids, low = [np.zeros(0, np.int64)], [None, None]
-    for kind, able, minima in ((0, 0 < len(found) < MANY / THRESHOLD, _minima_few), (1, len(found) >= MANY, _minima_many)):
-        if able:
-            least = minima(found)
-            ids.append(_mixed(least.reshape(BANDS, ROWS).T, np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS)).view(np.int64))
-            low[kind] = (least >> np.uint64(17)).astype(np.uint8).tobytes()
-    return ids[-1] if len(ids) < 3 else np.concatenate(ids), *low
+    ids, low = [np.zeros(0, np.int64)] * len(sets), ([None] * len(sets), [None] * len(sets))
+    for kind, minima in enumerate((_minima_few, _minima_many)):
+        able = [i for i, x in enumerate(sets) if (len(x) >= MANY if kind else 0 < len(x) < MANY / THRESHOLD)]
+        if not able:
+            continue
+        least = np.array([minima(sets[i]) for i in able])
+        banded = np.moveaxis(least.reshape(-1, BANDS, ROWS), 2, 0)
+        buckets = _mixed(banded, np.arange(BANDS, dtype=np.uint64) + np.uint64(kind * BANDS)).view(np.int64)
+        for i, found, x in zip(able, buckets, (least >> np.uint64(17)).astype(np.uint8)):
+            ids[i] = np.concatenate([ids[i], found]) if len(ids[i]) else found
+            low[kind][i] = x.tobytes()
+    return ids, *low
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
@@ -145,15 +154,15 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
     def keys(texts: list) -> pa.Array:
         made = [shingles(x) for x in texts]
-        drawn = [sketch(found) for _, found in made]
-        ends = np.cumsum([0, *(len(ids) for ids, _, _ in drawn)]).astype(np.int32)
+        ids, of_few, of_many = sketches([found for _, found in made])
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         columns = [
             pa.array(np.array([k for k, _ in made], np.uint64).view(np.int64)),
             pa.array(np.array([len(found) for _, found in made], np.int32)),
             pa.array([simhash.majority(found) if len(found) else 0 for _, found in made], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(ids for ids, _, _ in drawn)]))),
-            pa.array([x for _, x, _ in drawn], pa.binary()),
-            pa.array([x for _, _, x in drawn], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))),
+            pa.array(of_few, pa.binary()),
+            pa.array(of_many, pa.binary()),
         ]
         return pa.StructArray.from_arrays(columns, fields=list(kind))
 

@@ -22,7 +22,9 @@ LONG_LIST = 4096
 QUADS = [at for at in combinations(range(8), 4) if at[0] ^ at[1] ^ at[2] ^ at[3] == 0]
 MOST_BITS = 3
 #: The bits of each byte value, lowest first.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+#: Where the counts of each position's byte values begin, and hashes that are counted at once.
+_PLACES, AT_ONCE = np.arange(8) * 256, 65_536
 
 
 def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -44,8 +46,10 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def majority(hashed: np.ndarray) -> int:
     """The fingerprint of 64-bit hashes: the bits that over half of them have, as a signed long."""
-    columns = hashed.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
-    ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS for i in range(8)])
+    columns, times = hashed.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), np.zeros(8 * 256, np.int64)
+    for at in range(0, len(columns), AT_ONCE):
+        times += np.bincount((columns[at : at + AT_ONCE] + _PLACES).ravel(), minlength=len(times))
+    ones = (times.reshape(8, 256).astype(np.float64) @ _BITS).ravel()
     return int(np.packbits(ones * 2 > len(hashed), bitorder="little").view("<i8")[0])
 
 
