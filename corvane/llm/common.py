@@ -1,9 +1,10 @@
 """What the operators of this subpackage share: stored intermediate tables and connected components."""
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.session import discard, stored
@@ -31,6 +32,20 @@ def text_udf(of: Callable[[list], list | pa.Array], ddl: str, kind: pa.DataType)
     return F.arrow_udf(run, ddl).asNondeterministic()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXTS) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what is stored inside, so that whole texts take little memory beside the
+    executor's heap. The session's own setting is put back at the end; no result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast where a count says that it is small."""
     return F.broadcast(df) if df.count() <= rows else df

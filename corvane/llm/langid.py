@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BROADCAST_ROWS, TEXTS, discard, stored, text_udf
+from corvane.llm.common import BROADCAST_ROWS, TEXTS, discard, small_batches, stored, text_udf
 
 #: Documents of each language that the model is fitted on at most, and documents of one machine's task at most; hashed
 #: n-grams; passes and cost of the machines.
@@ -165,7 +165,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     rows = sample.mapInArrow(profiles, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
     rows = rows.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).where(F.col("at") <= per_language)
-    rows = stored(rows, "sample")
+    with small_batches(docs.sparkSession):
+        rows = stored(rows, "sample")
     taken = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     wanted, total = machines(list(taken))[2], sum(taken.values())
     dealt = []

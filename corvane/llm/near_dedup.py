@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import simhash
-from corvane.llm.common import TEXTS, components, discard, few, stored, text_udf
+from corvane.llm.common import TEXTS, components, discard, few, small_batches, stored, text_udf
 
 #: Words of a shingle, least similarity of linked texts, seed.
 SHINGLE, THRESHOLD, SEED = 5, 0.8, 42
@@ -215,7 +215,8 @@ def _sets(docs: DataFrame, found: DataFrame, wanted: DataFrame, text: str) -> Da
                 keys = np.array([k for k, _ in new], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.view(np.int64) for _, s in new], pa.list_(pa.int64()))], ["key", "set"])
 
-    out = stored(texts.mapInArrow(sets, "key long, set array<long>").dropDuplicates(["key"]), "sets")
+    with small_batches(docs.sparkSession):
+        out = stored(texts.mapInArrow(sets, "key long, set array<long>").dropDuplicates(["key"]), "sets")
     discard(raws)
     return out
 
@@ -388,7 +389,8 @@ def grouped(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -
     """
     kept = [c for c in docs.columns if c not in (text, "root")]
     packed = docs.select(F.struct(*[F.col(c) for c in kept]).alias("row") if kept else F.lit(None).alias("row"), F.col(text).alias("text"))
-    found = stored(_keyed(packed, "text"), "keys")
+    with small_batches(docs.sparkSession):
+        found = stored(_keyed(packed, "text"), "keys")
     roots = components(links(packed, found, "text", threshold)).withColumnRenamed("node", "key")
     # Few keys have a link, and many rows may have one key: the rows stay where they are while the roots are few.
     out = found.select("row", "key").join(few(stored(roots, "roots")), "key", "left")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import components, few, stored, text_udf
+from corvane.llm.common import components, few, small_batches, stored, text_udf
 
 #: Words of a shingle, seed of its hash, and bits by which linked fingerprints may differ.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are ignored. Texts never leave the first, map-only pass: from there on only distinct fingerprints are indexed, so
     thousands of copies are one, and the links of a group grow with its size, not with its square.
     """
-    found = stored(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    with small_batches(docs.sparkSession):
+        found = stored(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     reps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = stored(components(links(reps.select("fp"), max_bits)).withColumnRenamed("node", "fp"), "roots")
     # Few fingerprints have a link: groups of those are joined on, and all others stand for themselves.

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from corvane.llm import langid, line_dedup, packing, quality
+from corvane.llm import common, langid, line_dedup, packing, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -86,3 +86,19 @@ def test_pack_of_one_shard_against_best_fit(spark):
         if r["n_tokens"] < 512:
             got[r["bin_id"]].add(r["doc_id"])
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
+def test_small_batches_put_the_setting_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    for own in ("0", "100", "5000"):
+        spark.conf.set(name, own)
+        try:
+            with common.small_batches(spark, 300):
+                seen.append(spark.conf.get(name))
+                raise KeyError
+        except KeyError:
+            pass
+        assert spark.conf.get(name) == own
+    spark.conf.set(name, before)
+    assert seen == ["300", "100", "300"]
