@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import langid, line_dedup, mixing, near_dedup, packing
+from corvane.llm.common import small_batches
 from corvane.session import stored
 from corvane.sources.tables import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that their text shows. Where the score is sure, the text overrules the tag, and it fills a
-    null one; documents without a letter or with too low a score for any learned language go.
+    null one; documents without a letter or with too low a score for any learned language go. The rows are stored here,
+    where texts go to Python in small Arrow batches.
 
     Null and empty texts have no letter and go. Repeated rows and ids are judged one by one, alike if their texts are. An
     empty table, and one that teaches no language, give an empty table. Very long texts count whole.
@@ -20,7 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     judged = langid.predict(docs.select(F.struct(*docs.columns).alias("doc"), "text"), langid.train(docs))
     judged = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.LEAST))
     lang = F.when(F.col("score") >= langid.SURE, F.col("lang_pred")).otherwise(F.coalesce("doc.lang", "lang_pred"))
-    return judged.select(*[lang.alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns])
+    with small_batches(spark):
+        return stored(judged.select(*[lang.alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns]), "language_id")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
