@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import embedding_dedup, langid, license_texts, licenses, line_dedup, mixing, near_dedup, packing, quality, simhash, url_filter, vptree
+from corvane.llm import decontaminate, embedding_dedup, langid, license_texts, licenses, line_dedup, mixing, near_dedup, packing, quality, simhash, url_filter, vptree
 from corvane.sources.tables import table
 
 
@@ -71,6 +71,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sized)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each document that stand in a passage of ten words that a benchmark item has too, and those items."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs, items)
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -78,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter, op7_quality, op8_mixing, op9_language_id, op10_best_fit_packing, pipeline)
+    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter, op7_quality, op8_mixing, op9_language_id, op10_best_fit_packing, op11_decontaminate, pipeline)
 }
 
 
@@ -219,6 +227,26 @@ SELECT doc_id, source, n_tokens, epoch, block, (epoch + turn / {mixing.SPAN}) *
 FROM summed LEFT JOIN stop USING (src, epoch)
 WHERE epoch < whole OR rest > 0 AND (turn, block, place, k) < stop.at"""
 
+_WORDS_SQL = f"regexp_extract_all(translate({{}}, '{licenses.UPPER}', '{licenses.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+DECONTAMINATE_SQL = f"""
+WITH item_words AS (SELECT item_id, {_WORDS_SQL.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+item_windows AS (
+  SELECT item_id, n, array_to_string(w[a:a + n - 1], ' ') AS words
+  FROM (SELECT item_id, w, least(len(w), {decontaminate.SPAN}) AS n, unnest(range(1, len(w) - least(len(w), {decontaminate.SPAN}) + 2)) AS a FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_words AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_WORDS_SQL.format("text")}, []) AS w FROM documents),
+doc_windows AS (
+  SELECT k, n, a, array_to_string(w[a:a + n - 1], ' ') AS words
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS a FROM doc_words, sizes WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT k, n, a, words FROM doc_windows SEMI JOIN item_windows USING (n, words)),
+places AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(a, a + n)) AS p FROM hits) GROUP BY k),
+items AS (
+  SELECT k, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items
+  FROM (SELECT DISTINCT k, n, words FROM hits) JOIN item_windows USING (n, words) WHERE item_id IS NOT NULL GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN places USING (k) LEFT JOIN items USING (k)"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op2_embedding_dedup": EMBEDDING_DEDUP_SQL,
@@ -226,4 +254,5 @@ ORACLES = {
     "op5_vptree_search": NEAREST_SQL,
     "op6_url_filter": URL_FILTER_SQL,
     "op8_mixing": MIXING_SQL,
+    "op11_decontaminate": DECONTAMINATE_SQL,
 }
