@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import decontaminate, embedding_dedup, langid, license_texts, licenses, line_dedup, mixing, near_dedup, packing, quality, simhash, url_filter, vptree
+from corvane.llm import decontaminate, embedding_dedup, langid, license_texts, licenses, line_dedup, mixing, near_dedup, packing, quality, simhash, spelling, url_filter, vptree
 from corvane.sources.tables import table
 
 
@@ -79,6 +79,11 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the near and much more frequent word that each is a variant of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -86,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter, op7_quality, op8_mixing, op9_language_id, op10_best_fit_packing, op11_decontaminate, pipeline)
+    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter, op7_quality, op8_mixing, op9_language_id, op10_best_fit_packing, op11_decontaminate, op12_spelling_variants, pipeline)
 }
 
 
@@ -247,6 +252,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN places USING (k) LEFT JOIN items USING (k)"""
 
+_CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+SPELLING_SQL = f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= {spelling.LEAST_LENGTH} GROUP BY doc_id, run),
+byted AS (
+  SELECT run, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS hexed FROM found),
+crc AS (
+  SELECT run, k, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(hexed), 2), lambda i: CAST('0x' || substr(hexed, CAST(i AS INT) + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM byted, (SELECT {_CRC_TABLE_SQL} AS t)),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT k, CASE WHEN h % {spelling.NOISE} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM crc)
+  WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY word HAVING sum(k) >= {spelling.LEAST_COUNT}),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word AS word, b.word AS near FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = cut.rest
+  UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = cut.rest),
+best AS (
+  SELECT near.word, count(*) AS n_near, max(n) AS m, min_by(near, (-n, near)) AS near
+  FROM near JOIN words ON words.word = near.near GROUP BY near.word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.RATIO} * n THEN near END AS form, CASE WHEN m >= {spelling.RATIO} * n THEN m END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+led AS (
+  SELECT word, word AS root, 0 AS steps FROM formed
+  UNION ALL SELECT led.word, formed.form, steps + 1 FROM led JOIN formed ON formed.word = led.root WHERE formed.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, max_by(root, steps) AS root FROM led GROUP BY word) USING (word)"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op2_embedding_dedup": EMBEDDING_DEDUP_SQL,
@@ -255,4 +293,5 @@ ORACLES = {
     "op6_url_filter": URL_FILTER_SQL,
     "op8_mixing": MIXING_SQL,
     "op11_decontaminate": DECONTAMINATE_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
 }
