@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import decontaminate, embedding_dedup, langid, license_texts, licenses, line_dedup, mixing, near_dedup, packing, quality, simhash, spelling, url_filter, vptree
+from corvane.llm import decontaminate, embedding_dedup, hard_negatives, langid, license_texts, licenses, line_dedup, mixing, near_dedup, packing, quality, simhash, spelling, url_filter, vptree
 from corvane.sources.tables import table
 
 
@@ -84,6 +84,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; every seventh row has the label after its own."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", noisy.alias("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -91,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter, op7_quality, op8_mixing, op9_language_id, op10_best_fit_packing, op11_decontaminate, op12_spelling_variants, pipeline)
+    for f in (op1_line_dedup, op2_embedding_dedup, op3_license_scan, op4_simhash_dedup, op5_vptree_search, op6_url_filter, op7_quality, op8_mixing, op9_language_id, op10_best_fit_packing, op11_decontaminate, op12_spelling_variants, op13_hard_negatives, pipeline)
 }
 
 
@@ -285,6 +292,24 @@ led AS (
   UNION ALL SELECT led.word, formed.form, steps + 1 FROM led JOIN formed ON formed.word = led.root WHERE formed.form IS NOT NULL)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, max_by(root, steps) AS root FROM led GROUP BY word) USING (word)"""
 
+HARD_NEGATIVES_SQL = f"""
+WITH able AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hard_negatives.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND {hard_negatives.LEAST} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.MOST} * positive_score
+QUALIFY rank <= {hard_negatives.NEGATIVES}"""
+
 ORACLES = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op2_embedding_dedup": EMBEDDING_DEDUP_SQL,
@@ -294,4 +319,5 @@ ORACLES = {
     "op8_mixing": MIXING_SQL,
     "op11_decontaminate": DECONTAMINATE_SQL,
     "op12_spelling_variants": SPELLING_SQL,
+    "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }
