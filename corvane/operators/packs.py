@@ -107,30 +107,6 @@ def merged_files(files: DataFrame) -> DataFrame:
     return one.select("set", "name", "crc", F.array_join("r", "+").alias("region"), "sound")
 
 
-def held_start(frames: DataFrame, keys: list[str], at: str, level: str, gap: int, hold: int) -> DataFrame:
-    """(keys, cut): where a sound that ends on held levels really ends: walked back from its end over bursts of change
-    that each follow a level held for over `hold`; null where the last burst is none.
-
-    Frames: keys, at, level, of whole series. Changes at most `gap` apart are one burst. The walk back ends at the first
-    burst that is no step: the least flag over all later ones, so no row waits for another.
-    """
-    by = W.partitionBy(*keys)
-    moved = frames.withColumn("__was", F.lag(level).over(by.orderBy(at))).where(F.col("__was").isNotNull() & (F.col(level) != F.col("__was")))
-    new = F.coalesce(F.col(at) - F.lag(at).over(by.orderBy(at)) > gap, F.lit(True)).cast("int")
-    bursts = moved.withColumn("__new", new).withColumn("__k", F.sum("__new").over(by.orderBy(at))).groupBy(*keys, "__k").agg(F.min(at).alias("start"), F.max(at).alias("last"))
-    bursts = bursts.withColumn("__before", F.lag("last").over(by.orderBy("__k")))
-    step = F.coalesce(F.col("start") - F.col("__before") > hold, F.lit(False)).cast("int")
-    held = bursts.withColumn("__ok", F.min(step).over(by.orderBy(F.desc("__k")).rowsBetween(W.unboundedPreceding, 0)))
-    return held.groupBy(*keys).agg(F.min(F.when(F.col("__ok") == 1, F.col("__before"))).alias("cut"))
-
-
-def strongest(levels: DataFrame, keys: list[str], at: str, level: str, last: int) -> DataFrame:
-    """(keys, at): the loudest of the `last` places of each series; of equals the latest."""
-    end = levels.groupBy(*keys).agg(F.max(at).alias("__end"))
-    tail = levels.join(end, keys).where(F.col(at) > F.col("__end") - last)
-    return tail.groupBy(*keys).agg(F.max(F.struct(level, at)).alias("b")).select(*keys, F.col("b")[at].alias(at))
-
-
 def whole_cycles(period: Column, most: int, within: float) -> Column:
     """The least number of periods, up to `most`, whose length is a whole number but for `within`; null for none."""
     near = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: F.abs(n * period - F.floor(n * period + 0.5)) <= within)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators.series import lag_pairs
 from corvane.operators.signals import one_pole
 from corvane.operators.spans import CHUNK, along, spread
 
@@ -84,13 +85,9 @@ def sliding(blocks: DataFrame, keys: list[str], block: str, value: str, width: i
 
 
 def lag_difference(items: DataFrame, keys: list[str], at: str, value: str, lags: int) -> DataFrame:
-    """(keys, lag, n, diff): how much a series differs from itself `lag` places on, 1 to `lags`: each row looks back over
-    one window of its key, so rows are dealt once and not once for each lag."""
-    back = W.partitionBy(*keys).orderBy(at).rangeBetween(-lags, -1)
-    seen = items.select(*keys, at, value, F.collect_list(F.struct(F.col(at).alias("i"), F.col(value).alias("v"))).over(back).alias("__back"))
-    pairs = seen.select(*keys, at, value, F.explode("__back").alias("p"))
-    lag = (F.col(at) - F.col("p.i")).cast("int").alias("lag")
-    return pairs.groupBy(*keys, lag).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("p.v") - F.col(value))).alias("diff"))
+    """(keys, lag, n, diff): how much a series differs from itself `lag` places on, 1 to `lags`; a key is dealt in blocks."""
+    pairs = lag_pairs(items, keys, at, value, lags)
+    return pairs.groupBy(*keys, "lag").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("before") - F.col("value"))).alias("diff"))
 
 
 def next_distinct(items: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:

@@ -258,17 +258,3 @@ def framing(spark, sf_dir):
     byte = (F.col("event_id") % 256).cast("int")
     text = lambda a: F.concat(F.lit("["), F.array_join(a.cast("array<string>"), ","), F.lit("]"))
     return t(spark, sf_dir, "events").select("event_id", text(X.framed(byte, 170, 85)).alias("frame"), text(X.split_nibbles(byte)).alias("nibbles"))
-
-
-@query("""
-WITH s AS (SELECT l_suppkey, sum(l_quantity * l_quantity) AS qq, sum(l_discount * l_discount) AS dd, sum(l_quantity * l_discount) AS qd, sum(l_quantity * l_extendedprice) AS qp, sum(l_discount * l_extendedprice) AS dp FROM lineitem GROUP BY 1)
-SELECT l_suppkey, round((qp * dd - dp * qd) / (qq * dd - qd * qd), 4) AS first_gain, round((dp * qq - qp * qd) / (qq * dd - qd * qd), 2) AS second_gain FROM s WHERE abs(qq * dd - qd * qd) > 1e-9""")
-def least_squares_windows(spark, sf_dir):
-    """Two gains that explain a mix, in closed form from sums."""
-    q, d, p = map(F.col, ("l_quantity", "l_discount", "l_extendedprice"))
-    s = t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(q * q).alias("qq"), F.sum(d * d).alias("dd"), F.sum(q * d).alias("qd"), F.sum(q * p).alias("qp"), F.sum(d * p).alias("dp"))
-    det = F.col("qq") * F.col("dd") - F.col("qd") * F.col("qd")
-    s = s.where(F.abs(det) > 1e-9)
-    first = (F.col("qp") * F.col("dd") - F.col("dp") * F.col("qd")) / det
-    second = (F.col("dp") * F.col("qq") - F.col("qp") * F.col("qd")) / det
-    return s.select("l_suppkey", F.round(first, 4).alias("first_gain"), F.round(second, 2).alias("second_gain"))

@@ -132,28 +132,6 @@ def merged_files(spark, sf_dir):
     return P.merged_files(t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("set"), name.alias("name"), F.col("l_linenumber").alias("crc"), F.col("l_returnflag").alias("region"), (F.col("l_quantity") > 45).alias("sound")))
 
 
-@query("""
-WITH f AS (SELECT user_id, event_id, CAST(floor(value / 60) AS BIGINT) AS level FROM events),
-m AS (SELECT user_id, event_id FROM (SELECT *, lag(level) OVER w AS was FROM f WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE was IS NOT NULL AND was <> level),
-k AS (SELECT *, sum(CASE WHEN event_id - prev <= 40 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM m)),
-b AS (SELECT user_id, k, min(event_id) AS start, max(event_id) AS last FROM k GROUP BY ALL),
-p AS (SELECT *, lag(last) OVER (PARTITION BY user_id ORDER BY k) AS before FROM b),
-o AS (SELECT *, min(CASE WHEN coalesce(start - before > 60, false) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS ok FROM p)
-SELECT user_id, min(before) FILTER (ok = 1) AS cut FROM o GROUP BY 1""")
-def held_start(spark, sf_dir):
-    """WIN2: where a series that ends on held levels really ends."""
-    frames = t(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") / 60).alias("level"))
-    return P.held_start(frames, ["user_id"], "event_id", "level", 40, 60)
-
-
-@query("""
-WITH e AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY 1)
-SELECT user_id, arg_max(event_id, (floor(value), event_id)) AS event_id FROM events JOIN e USING (user_id) WHERE event_id > e - 500 GROUP BY 1""")
-def strongest_place(spark, sf_dir):
-    """TOP10: the loudest place near the end of each series, the latest of equals."""
-    return P.strongest(t(spark, sf_dir, "events").select("user_id", "event_id", F.floor("value").alias("level")), ["user_id"], "event_id", "level", 500)
-
-
 @query("""
 WITH s AS (SELECT p_partkey, p_retailprice / 100 AS seconds, p_size / 8.0 AS period, p_size FROM part),
 c AS (SELECT *, least(greatest(period * 4, 20), 60) AS need FROM s)

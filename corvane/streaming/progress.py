@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +18,14 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     """A job's state is its pass, the pass's size, the least left and the last order seen: a few numbers."""
     now, total, least, at = state.get if state.exists else (None, 0, 0, -1)
     for batch in batches:
-        for row in batch.sort_values("ord").itertuples():
-            if row.ord <= at:
-                continue
-            left = int(row.left)
-            # Another pass, or more left than before, starts the count anew.
-            if row.stage != now or left > least:
-                now, total = row.stage, left
-            least, at = left, int(row.ord)
+        rows = batch.sort_values("ord", kind="stable").drop_duplicates("ord")
+        rows = rows[rows["ord"] > at]
+        if len(rows):
+            # Another pass, or more left than before, starts the count anew: the last start says how much there is.
+            stage, left = rows["stage"].to_numpy(object), rows["left"].to_numpy(np.int64)
+            starts = np.flatnonzero((stage != np.concatenate([[now], stage[:-1]])) | (left > np.concatenate([[least], left[:-1]])))
+            total = left[starts[-1]] if len(starts) else total
+            now, least, at = stage[-1], left[-1], rows["ord"].iloc[-1]
     state.update((now, int(total), int(least), int(at)))
     done = total - least
     yield pd.DataFrame({"job": [key[0]], "pass": [now], "total": [total], "done": [done], "percent": [100.0 * done / total if total else 100.0]})

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.session import scratch
 
+#: The state store that typed states and timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """RocksDB as the state store of the streams that are started inside; the session's own setting is put back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def replay(spark: SparkSession, path: str) -> DataFrame:
     """The Parquet files under `path`, or the file that it is, as a stream of the same schema."""
@@ -26,6 +44,8 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch}")
 
-    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/log").foreachBatch(write).start()
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}/log").foreachBatch(write)
+    with rocks(spark):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows")

@@ -82,12 +82,6 @@ def test_pack_formats(spark):
     assert tuple(one(spark, P.search_cap(F.lit(1.0), F.lit(3.0)))) == (20.0, 26.0, True)
 
 
-def test_held_levels_are_walked_back(spark):
-    level = [5] * 3 + [7, 9, 8] + [4] * 100 + [3] * 100 + [2] * 50
-    df = spark.createDataFrame([(0, i, v) for i, v in enumerate(level)] + [(1, i, 1) for i in range(9)], "k int, i int, v int")
-    assert rows(P.held_start(df, ["k"], "i", "v", 5, 60)) == [(0, 6)]
-
-
 def plain_leaders(pairs):
     twin = {}
     for a, b in sorted(pairs, key=lambda p: (p[1], p[0])):
