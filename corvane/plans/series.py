@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.operators import loops as L
 from corvane.operators import series as S
+from corvane.plans.measured import series
 from corvane.plans.registry import query, t
 from corvane.session import scratch, stored
 from corvane.streaming import chunks, replay, tail
@@ -141,3 +143,9 @@ def tailed_lines(spark, sf_dir):
     found = replay.run_to_end(tail.tail(spark, folder, part=1 << 18), "append")
     parsed = found.select(F.from_json("line", "user_id long, v long, event_type string").alias("e")).select("e.*")
     return parsed.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.length("event_type")).alias("letters"))
+
+
+@query()
+def loop_seams(spark, sf_dir):
+    """Each sound's loop with its exact period, its body of whole cycles and how its seam sounds."""
+    return L.refined_loops(series(spark, sf_dir, 60, 6), confirm=0.5)
