@@ -121,21 +121,33 @@ def search_cap(intro: Column, period: Column, least: float = 20.0, most: float =
     return F.struct(need.alias("need"), ready.alias("ready"), (ready <= longest).alias("usable"))
 
 
-def unresolved_reason(seconds: Column, note: Column, program: Column, repeats: Column, reason: Column) -> Column:
-    """Why a sound that went on to its cap has no loop, from what is known of it; parts that are not are left out."""
+def unresolved_reason(seconds: Column, note: Column, program: Column, repeats: Column, length: Column, reason: Column, confirm: float = 20.0) -> Column:
+    """Why a sound that went on to its cap has no loop, from what is known of it; parts that are not known are left out. A
+    program that loops may have a period, which the audio then did not confirm, and a reason of its own beside it."""
+    figure = lambda x: F.format_string("%.3f", x)
+    loops = F.coalesce(program == "loops", F.lit(False))
+    told = F.when(loops & repeats.isNotNull(), F.concat(F.lit("the program repeats every "), figure(repeats), F.lit(" s, which the audio did not confirm")))
+    told = told.when(program == "ends", F.concat(F.lit("the program ends after "), figure(F.coalesce(length, F.lit(0.0))), F.lit(" s"))).when(program.isNotNull(), F.concat(F.lit("program: "), reason))
     parts = F.array(
-        F.concat(F.lit("no exact repetition within "), F.format_string("%.0f", F.rint(seconds)), F.lit(" s")),
+        F.concat(F.lit("no exact repetition within "), F.format_string("%.0f", F.rint(seconds)), F.lit(f" s (the period must hold over two cycles and at least {confirm:.0f} s)")),
         note,
-        F.when((program == "loops") & repeats.isNotNull(), F.concat(F.lit("the program repeats every "), F.format_string("%.3f", repeats), F.lit(" s"))).when(program == "ends", "the program ends"),
-        F.when(F.coalesce(program, F.lit("")).isin("loops", "ends"), F.lit(None)).otherwise(reason),
+        told,
     )
-    return F.array_join(F.array_compact(parts), "; ")
+    return F.concat(F.array_join(F.array_compact(parts), "; "), F.when(loops & reason.isNotNull(), F.concat(F.lit(" ("), reason, F.lit(")"))).otherwise(""))
 
 
 def human_bytes(n: Column) -> Column:
-    """A size as pages show it: whole bytes, else tenths of the unit that leaves less than 1024 of it."""
-    tenths = lambda unit, name: F.concat(F.format_string("%.1f", rounded(n / unit, 1)), F.lit(name))
-    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, tenths(1 << 10, " KiB")).otherwise(tenths(1 << 20, " MiB"))
+    """A size as pages show it: whole bytes, tenths of KiB or hundredths of MiB, without decimals where it is whole."""
+    def shown(unit: int, name: str, digits: int) -> Column:
+        part = F.when(n % unit == 0, F.format_string("%d", F.floor(n / unit))).otherwise(F.format_string(f"%.{digits}f", rounded(n / unit, digits)))
+        return F.concat(part, F.lit(name))
+
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, shown(1 << 10, " KiB", 1)).otherwise(shown(1 << 20, " MiB", 2))
+
+
+def grouped_digits(n: Column, between: str = ",") -> Column:
+    """A whole number with its digits in groups of three."""
+    return F.replace(F.format_number(n, 0), F.lit(","), F.lit(between))
 
 
 def byte_list(text: Column, strict: bool = False) -> Column:

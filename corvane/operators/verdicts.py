@@ -23,10 +23,17 @@ def unit_verdicts(units: DataFrame, sets: DataFrame, extras: DataFrame) -> DataF
 
     Units: unit, stem, support (whether it holds a known support file). Sets, those it matches: unit, ord, set, parent,
     system, status (good, split, bad-dump, incomplete), unverified (names of its files that nobody dumped, or null),
-    renamed (files under another name, or null). Extras: unit, member, kind, other (a set that has it, or null). A unit of
-    no set is support or unknown; one of complete sets is split, misnamed or ok; else it is a bad dump or incomplete. The
-    sets and extras of a unit are as many as an archive has.
+    folders (those its files are in, the top one being empty, or null), renamed (files under another name, or null). Extras:
+    unit, member, kind, other (a set that has it, or null). A unit of no set is support or unknown; one of complete sets is
+    split, misnamed or ok; else it is a bad dump or incomplete. What is to be said of a set stands together, set after set.
+    The sets and extras of a unit are as many as an archive has.
     """
+    within = F.filter("folders", lambda f: f != "")
+    notes = F.array_compact(F.array(
+        F.concat(F.lit("not verifiable: "), "unverified"),
+        F.when(F.size(within) > 0, F.concat(F.lit("subfolder: "), "set", F.lit(" is in "), F.array_join(within, "/, "), F.lit("/"))),
+        F.concat(F.lit("files under another name: "), "renamed")))
+    sets = sets.withColumn("notes", notes)
     named = ascii_lower(F.col("set")) == ascii_lower(F.col("stem"))
     done = F.col("status").isin(COMPLETE)
     found = sets.join(units.select("unit", "stem"), "unit").groupBy("unit").agg(
@@ -40,8 +47,7 @@ def unit_verdicts(units: DataFrame, sets: DataFrame, extras: DataFrame) -> DataF
         F.max(F.coalesce("parent", "set")).alias("family_to"),
         F.min(F.struct("ord", "set"))["set"].alias("first"),
         listed(["ord", "set"], F.col("set"), F.lit(True)).alias("sets"),
-        listed(["ord", "set"], F.col("unverified"), F.col("unverified").isNotNull()).alias("unverified"),
-        listed(["ord", "set"], F.col("renamed"), F.col("renamed").isNotNull()).alias("renamed"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "set", "notes"))), lambda r: r["notes"])).alias("notes"),
     )
     other = F.concat("member", F.lit(" ("), F.coalesce("other", "kind"), F.lit(")"))
     more = extras.groupBy("unit").agg(
@@ -54,21 +60,15 @@ def unit_verdicts(units: DataFrame, sets: DataFrame, extras: DataFrame) -> DataF
     misnamed = ~F.col("named") & ((F.col("n") == 1) | ~of_family)
     misnamed_text = F.concat(F.lit("misnamed: named "), "stem", F.lit(", holds "), "first")
     note = lambda c, lead: F.when(F.col(c) != "", F.concat(F.lit(lead), F.col(c)))
-    issues = F.array(
-        F.when(F.col("n") > 1, F.concat(F.lit("merged: holds "), F.col("n").cast("string"), F.lit(" sets ("), "sets", F.lit(")"))),
-        F.when(misnamed, misnamed_text),
-        note("unverified", "not verifiable: "),
-        note("renamed", "files under another name: "),
-        note("no_content", "no content: "),
-        note("unknown", "unknown files: "),
-        note("others", "extra files: "),
-    )
+    merged = F.when(F.col("n") > 1, F.concat(F.lit("merged: holds "), F.col("n").cast("string"), F.lit(" sets ("), "sets", F.lit(")")))
+    after = F.array(note("no_content", "no content: "), note("unknown", "unknown files: "), note("others", "extra files: "))
+    issues = F.concat(F.array_compact(F.array(merged, F.when(misnamed, misnamed_text))), F.col("notes"), F.array_compact(after))
     system = F.array(F.concat(F.lit("system files: "), "first"), F.when(~F.col("named"), misnamed_text))
     none = F.array(F.when(F.col("support"), "support file, no set").otherwise("no file of any set"))
     of = F.when(F.col("split"), "split").when(misnamed, "misnamed").otherwise("ok")
     status = F.when(F.col("n").isNull(), F.when(F.col("support"), "support").otherwise("unknown")).when(F.col("all_system"), "support")
     status = status.when(F.col("complete"), of).when(F.col("bad"), "bad-dump").otherwise("incomplete")
-    issues = F.when(F.col("n").isNull(), none).when(F.col("all_system"), F.array_compact(system)).otherwise(F.array_compact(issues))
+    issues = F.when(F.col("n").isNull(), none).when(F.col("all_system"), F.array_compact(system)).otherwise(issues)
     return out.select("unit", status.alias("status"), issues.alias("issues"))
 
 
@@ -129,30 +129,41 @@ def measured_sets(sets: DataFrame, runs: DataFrame, entry: str) -> DataFrame:
 
 
 def loudness_slots(rows: DataFrame, level: str) -> DataFrame:
-    """`rows` with main, static, at_reference and caveat: where a level belongs. A decoded one is static, one that could
-    not be scaled is at the reference volume, and the main figure is null then, so that nobody takes them for one.
+    """`rows` with main, static, at_reference and caveat: where a level belongs. A decoded one is static; one that could
+    not be scaled, or whose volume is stepped and was left where it stood at power-on, is at the reference volume; the main
+    figure is null then, so that nobody takes them for one.
 
-    Rows: decoded, complete, volume_mode, dead_from (a dead board's first silent id, or null), borrowed, unscaled.
+    Rows: decoded, complete, volume_mode, dead_from (a dead board's first silent id, or null), borrowed, unscaled, stepped.
+    The offset's caveat is left out where the steps' says more.
     """
-    scaled_late = F.col("unscaled") & ~F.col("decoded")
+    scaled_late, stepped = F.col("unscaled") & ~F.col("decoded"), F.coalesce("stepped", F.lit(False))
     caveats = F.array(
         F.when(F.col("decoded"), "decoded, not measured in a game"),
         F.when(~F.col("complete"), "a partial run"),
         F.when((F.col("volume_mode") != "factory") & ~F.col("decoded"), F.concat(F.lit("not at the factory volume (volume_mode "), "volume_mode", F.lit(")"))),
         F.when(F.col("dead_from").isNotNull(), F.concat(F.lit("incomplete: silent from "), F.col("dead_from").cast("string"), F.lit(" on"))),
         F.when(F.col("borrowed"), "approximate: another set's sounds"),
-        F.when(scaled_late, "the factory offset could not be measured"),
+        F.when(stepped, "not at the game's level: the step volume stands where it was at power-on"),
+        F.when(scaled_late & ~stepped, "the factory offset could not be measured"),
     )
-    text = F.array_join(F.array_compact(caveats), "; ")
+    text, kept_apart = F.array_join(F.array_compact(caveats), "; "), (scaled_late | stepped) & ~F.col("decoded")
     return rows.select(
         *rows.columns,
-        F.when(~F.col("decoded") & ~scaled_late, F.col(level)).alias("main"),
+        F.when(~F.col("decoded") & ~kept_apart, F.col(level)).alias("main"),
         F.when(F.col("decoded"), F.col(level)).alias("static"),
-        F.when(scaled_late, F.col(level)).alias("at_reference"),
+        F.when(kept_apart, F.col(level)).alias("at_reference"),
         F.when(text != "", text).alias("caveat"),
     )
 
 
+def recorded_volumes(recorded: DataFrame, by: str) -> DataFrame:
+    """(by, texts): at which volume each board was recorded and where that is known from, in their order. Recorded: by,
+    ord, board, family, volume, origin; a row without any of them says nothing."""
+    text = F.concat(F.lit("board "), F.col("board").cast("string"), F.lit(" ("), "family", F.lit("): "), "volume", F.lit(": "), "origin")
+    rows = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("ord", text.alias("t")))))
+    return recorded.groupBy(by).agg(F.transform(rows, lambda r: r["t"]).alias("texts"))
+
+
 def is_current(measurement: Column, current: str) -> Column:
     """Whether a measurement, a JSON object, has the settings of `current`, the version aside; false for null."""
     bare = lambda text: F.array_sort(F.map_entries(F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: k != "version")))

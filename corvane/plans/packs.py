@@ -43,10 +43,11 @@ def pack_totals(spark, sf_dir):
     return P.pack_totals(rows_of(spark, sf_dir), ["p_brand"]).withColumn("duck_values", F.array_join(F.col("duck_values").cast("array<string>"), ","))
 
 
-@query(_ROWS + " SELECT id, printf('0x%04X', id) || ',' || gtype || ',100,' || (duck // 10) || ',f' || id || '.wav' AS value FROM w")
+@query(_ROWS + """, p AS (SELECT gtype, duck, dense_rank() OVER (PARTITION BY gtype ORDER BY duck DESC) AS profile FROM (SELECT DISTINCT gtype, duck FROM w WHERE gtype <> 'MUSIC' AND duck < 100))
+SELECT id, printf('0x%04X', id) || ',' || gtype || ',100,' || coalesce(profile, 0) || ',f' || id || '.wav' AS value FROM w LEFT JOIN p USING (gtype, duck) UNION ALL SELECT -1, 'ID,TYPE,GAIN,DUCKING_PROFILE,FNAME'""")
 def gsound_lines(spark, sf_dir):
-    """SNK2: the lines of the second pack format."""
-    rows = rows_of(spark, sf_dir).select("id", "gtype", F.expr("duck div 10").alias("profile"), F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".wav")).alias("fname"))
+    """SNK2: the second pack format, its header and its lines."""
+    rows = rows_of(spark, sf_dir).select("id", "gtype", "duck", F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".wav")).alias("fname"))
     return sinks.gsound_lines(rows)
 
 
@@ -144,19 +145,21 @@ def loop_plans(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, concat_ws('; ', 'no exact repetition within ' || printf('%.0f', round_even(p_retailprice / 10, 0)) || ' s', CASE WHEN p_size % 3 = 0 THEN 'the state repeats' END,
-  CASE WHEN p_size % 4 = 0 AND p_size % 5 > 0 THEN 'the program repeats every ' || printf('%.3f', p_size / 8.0) || ' s' WHEN p_size % 4 = 1 THEN 'the program ends' END, CASE WHEN p_size % 4 > 1 AND p_size % 7 = 0 THEN 'unknown opcode' END) AS reason FROM part""")
+SELECT p_partkey, concat_ws('; ', 'no exact repetition within ' || printf('%.0f', round_even(p_retailprice / 10, 0)) || ' s (the period must hold over two cycles and at least 20 s)', CASE WHEN p_size % 3 = 0 THEN 'the state repeats' END,
+  CASE WHEN p_size % 4 = 0 AND p_size % 5 > 0 THEN 'the program repeats every ' || printf('%.3f', p_size / 8.0) || ' s, which the audio did not confirm' WHEN p_size % 4 = 1 THEN 'the program ends after ' || printf('%.3f', p_size / 4.0) || ' s'
+    WHEN p_size % 4 IN (0, 2) AND p_size % 7 = 0 THEN 'program: unknown opcode' END) || CASE WHEN p_size % 4 = 0 AND p_size % 7 = 0 THEN ' (unknown opcode)' ELSE '' END AS reason FROM part""")
 def unresolved_reasons(spark, sf_dir):
     """REP3: why a sound that went on has no loop."""
     size = F.col("p_size")
-    program = F.when(size % 4 == 0, "loops").when(size % 4 == 1, "ends")
-    reason = P.unresolved_reason(F.col("p_retailprice") / 10, F.when(size % 3 == 0, "the state repeats"), program, F.when(size % 5 > 0, size / 8.0), F.when(size % 7 == 0, "unknown opcode"))
+    program = F.when(size % 4 == 0, "loops").when(size % 4 == 1, "ends").when(size % 4 == 2, "unknown")
+    reason = P.unresolved_reason(F.col("p_retailprice") / 10, F.when(size % 3 == 0, "the state repeats"), program, F.when(size % 5 > 0, size / 8.0), size / 4.0, F.when(size % 7 == 0, "unknown opcode"))
     return t(spark, sf_dir, "part").select("p_partkey", reason.alias("reason"))
 
 
 @query("""
 WITH d AS (SELECT doc_id, n_chars * n_chars AS n FROM documents)
-SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', floor(n / 1024.0 * 10 + 0.5) / 10) || ' KiB' ELSE printf('%.1f', floor(n / 1048576.0 * 10 + 0.5) / 10) || ' MiB' END AS size,
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CASE WHEN n % 1024 = 0 THEN CAST(n // 1024 AS VARCHAR) ELSE printf('%.1f', floor(n / 1024.0 * 10 + 0.5) / 10) END || ' KiB'
+    ELSE CASE WHEN n % 1048576 = 0 THEN CAST(n // 1048576 AS VARCHAR) ELSE printf('%.2f', floor(n / 1048576.0 * 100 + 0.5) / 100) END || ' MiB' END AS size, format('{:,}', n) AS digits,
   upper(CASE WHEN len(printf('%x', doc_id)) % 2 = 1 THEN '0' ELSE '' END || printf('%x', doc_id)) AS bytes, CASE WHEN len(printf('%x', doc_id)) % 2 = 0 THEN printf('%X', doc_id) END AS strict,
   CASE WHEN doc_id % 65536 BETWEEN 16384 AND 32767 THEN doc_id % 7 * 16384 + doc_id % 65536 - 16384 END AS place, doc_id % 5 * 65536 + doc_id % 256 * 256 + doc_id % 3 AS pointer FROM d""")
 def small_formats(spark, sf_dir):
@@ -164,7 +167,7 @@ def small_formats(spark, sf_dir):
     key = F.col("doc_id")
     text = F.concat(F.lit("0x"), F.format_string("%x", key))
     return t(spark, sf_dir, "documents").select(
-        "doc_id", P.human_bytes(F.col("n_chars") * F.col("n_chars")).alias("size"), P.byte_list(text).alias("bytes"), P.byte_list(text, True).alias("strict"),
+        "doc_id", P.human_bytes(F.col("n_chars") * F.col("n_chars")).alias("size"), P.grouped_digits(F.col("n_chars") * F.col("n_chars")).alias("digits"), P.byte_list(text).alias("bytes"), P.byte_list(text, True).alias("strict"),
         P.banked(key % 7, key % 65536).alias("place"), P.pointer24(key % 5, key % 256, key % 3).alias("pointer"))
 
 

@@ -17,9 +17,10 @@ def scanned(spark, sf_dir):
     sets = orders.where("o_totalprice < 150000").select(
         F.col("o_custkey").alias("unit"), key.alias("ord"), name.alias("set"), F.when(key % 2 == 0, F.concat(F.lit("s"), F.expr("o_orderkey div 4").cast("string"))).alias("parent"),
         F.col("o_orderpriority").startswith("5").alias("system"), status.alias("status"), F.when(key % 7 == 0, F.concat(F.lit("u"), key.cast("string"))).alias("unverified"),
+        F.when(key % 6 == 0, F.array(F.lit(""), F.concat(F.lit("d"), (key % 10).cast("string")))).when(key % 9 == 0, F.array(F.lit("a"), F.lit("b"))).when(key % 4 == 0, F.array(F.lit(""))).alias("folders"),
         F.when(key % 5 == 0, F.concat(F.lit("r"), key.cast("string"))).alias("renamed"), F.concat(F.lit("f"), (key % 50).cast("string")).alias("fingerprint"))
     kind = F.element_at(F.array(*map(F.lit, ("not-a-rom", "unknown", "rom-of-other-set", "duplicate"))), (key % 4 + 1).cast("int"))
-    extras = orders.where("o_totalprice > 200000").select(F.col("o_custkey").alias("unit"), F.concat(F.lit("m"), key.cast("string")).alias("member"), kind.alias("kind"), F.when(key % 4 == 2, F.concat(F.lit("s"), F.expr("o_orderkey div 8").cast("string"))).alias("other"))
+    extras = orders.where("o_totalprice >= 150000").select(F.col("o_custkey").alias("unit"), F.concat(F.lit("m"), key.cast("string")).alias("member"), kind.alias("kind"), F.when(key % 4 == 2, F.concat(F.lit("s"), F.expr("o_orderkey div 8").cast("string"))).alias("other"))
     first = sets.groupBy("unit").agg(F.min("ord").alias("least"))
     customer = F.col("unit")
     stem = F.when(customer % 3 == 0, F.concat(F.lit("S"), F.col("least").cast("string"))).when(customer % 3 == 1, F.concat(F.lit("s"), F.expr("least div 4").cast("string"))).otherwise("x")
@@ -31,18 +32,20 @@ _SCAN = """
 WITH sets AS (
   SELECT o_custkey AS unit, o_orderkey AS ord, 's' || o_orderkey AS set, CASE WHEN o_orderkey % 2 = 0 THEN 's' || (o_orderkey // 4) END AS parent, o_orderpriority LIKE '5%' AS system,
     CASE o_orderstatus WHEN 'F' THEN 'good' WHEN 'O' THEN 'split' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'bad-dump' ELSE 'incomplete' END END AS status,
-    CASE WHEN o_orderkey % 7 = 0 THEN 'u' || o_orderkey END AS unverified, CASE WHEN o_orderkey % 5 = 0 THEN 'r' || o_orderkey END AS renamed, 'f' || (o_orderkey % 50) AS fingerprint
+    CASE WHEN o_orderkey % 7 = 0 THEN 'u' || o_orderkey END AS unverified, CASE WHEN o_orderkey % 5 = 0 THEN 'r' || o_orderkey END AS renamed,
+    CASE WHEN o_orderkey % 6 = 0 THEN 'd' || (o_orderkey % 10) || '/' WHEN o_orderkey % 9 = 0 THEN 'a/, b/' END AS folders, 'f' || (o_orderkey % 50) AS fingerprint
   FROM orders WHERE o_totalprice < 150000),
 units AS (
   SELECT c_custkey AS unit, coalesce(CASE c_custkey % 3 WHEN 0 THEN 'S' || least WHEN 1 THEN 's' || (least // 4) ELSE 'x' END, 'x') AS stem, c_custkey % 5 = 0 AS support
   FROM customer LEFT JOIN (SELECT unit, min(ord) AS least FROM sets GROUP BY 1) ON unit = c_custkey),
 extras AS (
   SELECT o_custkey AS unit, 'm' || o_orderkey AS member, ['not-a-rom', 'unknown', 'rom-of-other-set', 'duplicate'][o_orderkey % 4 + 1] AS kind, CASE WHEN o_orderkey % 4 = 2 THEN 's' || (o_orderkey // 8) END AS other
-  FROM orders WHERE o_totalprice > 200000),
+  FROM orders WHERE o_totalprice >= 150000),
 found AS (
   SELECT unit, any_value(stem) AS stem, count(*) AS n, bool_or(lower(set) = lower(stem)) AS named, bool_and(system AND status = 'good') AS all_system, bool_or(status IN ('good', 'split')) AS complete,
     bool_or(status = 'split') AS split, bool_and(status = 'bad-dump') AS bad, count(DISTINCT coalesce(parent, set)) AS families, min(coalesce(parent, set)) AS family, arg_min(set, ord) AS first,
-    string_agg(set, ', ' ORDER BY ord, set) AS sets, string_agg(unverified, ', ' ORDER BY ord, set) AS unverified, string_agg(renamed, ', ' ORDER BY ord, set) AS renamed
+    string_agg(set, ', ' ORDER BY ord, set) AS sets,
+    string_agg(nullif(concat_ws(' | ', 'not verifiable: ' || unverified, 'subfolder: ' || set || ' is in ' || folders, 'files under another name: ' || renamed), ''), ' | ' ORDER BY ord, set) AS notes
   FROM sets JOIN units USING (unit) GROUP BY unit),
 more AS (
   SELECT unit, string_agg(member, ', ' ORDER BY member) FILTER (kind = 'not-a-rom') AS no_content, string_agg(member, ', ' ORDER BY member) FILTER (kind = 'unknown') AS unknown,
@@ -56,8 +59,8 @@ verdicts AS (
       WHEN complete THEN CASE WHEN split THEN 'split' WHEN misnamed THEN 'misnamed' ELSE 'ok' END WHEN bad THEN 'bad-dump' ELSE 'incomplete' END AS status,
     CASE WHEN n IS NULL THEN CASE WHEN support THEN 'support file, no set' ELSE 'no file of any set' END
       WHEN all_system THEN concat_ws(' | ', 'system files: ' || first, CASE WHEN NOT named THEN misname END)
-      ELSE concat_ws(' | ', CASE WHEN n > 1 THEN 'merged: holds ' || n || ' sets (' || sets || ')' END, CASE WHEN misnamed THEN misname END, 'not verifiable: ' || unverified,
-        'files under another name: ' || renamed, 'no content: ' || no_content, 'unknown files: ' || unknown, 'extra files: ' || others) END AS issues
+      ELSE concat_ws(' | ', CASE WHEN n > 1 THEN 'merged: holds ' || n || ' sets (' || sets || ')' END, CASE WHEN misnamed THEN misname END, notes,
+        'no content: ' || no_content, 'unknown files: ' || unknown, 'extra files: ' || others) END AS issues
   FROM judged)"""
 
 
@@ -134,18 +137,26 @@ def measured_sets(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT event_id, value, event_id % 11 = 0 AS decoded, event_id % 3 > 0 AS complete, event_type AS volume_mode, CASE WHEN event_id % 5 = 0 THEN user_id END AS dead_from, event_id % 13 = 0 AS borrowed, event_id % 4 = 0 AS unscaled FROM events)
-SELECT event_id, CASE WHEN NOT decoded AND NOT unscaled THEN value END AS main, CASE WHEN decoded THEN value END AS static, CASE WHEN NOT decoded AND unscaled THEN value END AS at_reference,
+WITH r AS (SELECT event_id, value, event_id % 11 = 0 AS decoded, event_id % 3 > 0 AS complete, event_type AS volume_mode, CASE WHEN event_id % 5 = 0 THEN user_id END AS dead_from, event_id % 13 = 0 AS borrowed, event_id % 4 = 0 AS unscaled, event_id % 7 = 0 AS stepped FROM events)
+SELECT event_id, CASE WHEN NOT decoded AND NOT unscaled AND NOT stepped THEN value END AS main, CASE WHEN decoded THEN value END AS static, CASE WHEN NOT decoded AND (unscaled OR stepped) THEN value END AS at_reference,
   nullif(concat_ws('; ', CASE WHEN decoded THEN 'decoded, not measured in a game' END, CASE WHEN NOT complete THEN 'a partial run' END,
-    CASE WHEN NOT decoded THEN 'not at the factory volume (volume_mode ' || volume_mode || ')' END, 'incomplete: silent from ' || dead_from || ' on',
-    CASE WHEN borrowed THEN 'approximate: another set''s sounds' END, CASE WHEN NOT decoded AND unscaled THEN 'the factory offset could not be measured' END), '') AS caveat FROM r""")
+    CASE WHEN NOT decoded THEN 'not at the factory volume (volume_mode ' || volume_mode || ')' END, 'incomplete: silent from ' || dead_from || ' on', CASE WHEN borrowed THEN 'approximate: another set''s sounds' END,
+    CASE WHEN stepped THEN 'not at the game''s level: the step volume stands where it was at power-on' END, CASE WHEN NOT decoded AND unscaled AND NOT stepped THEN 'the factory offset could not be measured' END), '') AS caveat FROM r""")
 def loudness_slots(spark, sf_dir):
     """PRJ18: where a level belongs, and what has to be said with it."""
     key = F.col("event_id")
-    rows = t(spark, sf_dir, "events").select("event_id", "value", (key % 11 == 0).alias("decoded"), (key % 3 > 0).alias("complete"), F.col("event_type").alias("volume_mode"), F.when(key % 5 == 0, F.col("user_id")).alias("dead_from"), (key % 13 == 0).alias("borrowed"), (key % 4 == 0).alias("unscaled"))
+    rows = t(spark, sf_dir, "events").select("event_id", "value", (key % 11 == 0).alias("decoded"), (key % 3 > 0).alias("complete"), F.col("event_type").alias("volume_mode"), F.when(key % 5 == 0, F.col("user_id")).alias("dead_from"), (key % 13 == 0).alias("borrowed"), (key % 4 == 0).alias("unscaled"), (key % 7 == 0).alias("stepped"))
     return V.loudness_slots(rows, "value").select("event_id", "main", "static", "at_reference", "caveat")
 
 
+@query("""
+SELECT o_custkey, coalesce(string_agg('board ' || (o_orderkey % 3) || ' (' || o_orderstatus || '): ' || o_orderpriority || ': ' || o_clerk, ' | ' ORDER BY o_orderkey), '') AS texts FROM (SELECT *, 'boot ' || (o_orderkey % 50) AS o_clerk FROM orders) GROUP BY 1""")
+def recorded_volumes(spark, sf_dir):
+    """PRJ24: at which volume boards were recorded, and where that is known from."""
+    rows = t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 3).alias("board"), F.col("o_orderstatus").alias("family"), F.col("o_orderpriority").alias("volume"), F.concat(F.lit("boot "), (F.col("o_orderkey") % 50).cast("string")).alias("origin"))
+    return V.recorded_volumes(rows, "o_custkey").select("o_custkey", F.array_join("texts", " | ").alias("texts"))
+
+
 @query("""
 WITH r AS (SELECT event_id, event_id % 3 AS version, event_id % 4 AS k, event_type <> 'error' AS known, CASE WHEN event_id % 6 = 0 THEN 'n' END AS reason, CAST(floor(value / 20) AS BIGINT) AS written FROM events)
 SELECT event_id, known AND k = 1 AS current, known AND k = 1 AND version = 2 AND (reason IS NOT NULL OR written > 0) AS done FROM r""")

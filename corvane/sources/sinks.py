@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import exprs as X
+from corvane.operators.sequences import profiles
 
 
 def pack_lines(rows: DataFrame) -> DataFrame:
@@ -43,8 +44,15 @@ def merged_settings(existing: DataFrame, generated: DataFrame, forced: list[tupl
 
 
 def gsound_lines(rows: DataFrame) -> DataFrame:
-    """(id, value): the CSV line of each row of the second pack format: id, type, gain, ducking profile, file."""
-    return rows.select("id", F.concat_ws(",", X.id_text(F.col("id")), "gtype", F.lit("100"), F.col("profile").cast("string"), "fname").alias("value"))
+    """(id, value): the second pack format: its header, under id -1, and the CSV line of each row (id, gtype, duck, fname):
+    id, type, gain, ducking profile, file. Music has no profile; another type's depths below 100 are numbered from one, the
+    lightest first."""
+    ducking = rows.where("gtype != 'MUSIC'")
+    numbers = profiles(ducking, "gtype", "duck", 100)
+    out = rows.join(numbers, ["gtype", "duck"], "left").withColumn("profile", F.coalesce("profile", F.lit(0)))
+    lines = out.select("id", F.concat_ws(",", X.id_text(F.col("id")), "gtype", F.lit("100"), F.col("profile").cast("string"), "fname").alias("value"))
+    header = rows.sparkSession.range(1).select(F.lit(-1).cast(dict(rows.dtypes)["id"]).alias("id"), F.lit("ID,TYPE,GAIN,DUCKING_PROFILE,FNAME").alias("value"))
+    return header.unionByName(lines)
 
 
 def replacement_lines(rows: DataFrame, key: str) -> DataFrame:

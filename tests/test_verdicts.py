@@ -27,19 +27,19 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()[0]
 
 
-SETS = "unit int, ord int, set string, parent string, system boolean, status string, unverified string, renamed string"
+SETS = "unit int, ord int, set string, parent string, system boolean, status string, unverified string, renamed string, folders array<string>"
 
 
 def test_unit_verdicts(spark):
     units = spark.createDataFrame([(1, "Abc", False), (2, "zz", True), (3, "x", False), (4, "sys", False), (5, "fam", False), (6, "one", False)], "unit int, stem string, support boolean")
-    sets = [(1, 1, "abc", None, False, "good", None, None), (4, 1, "sys", None, True, "good", None, None), (5, 2, "a", "fam", False, "split", "u1", None), (5, 1, "b", "fam", False, "bad-dump", None, "r1"), (6, 1, "two", None, False, "bad-dump", None, None)]
+    sets = [x + (["", "in"] if x[2] == "a" else None,) for x in [(1, 1, "abc", None, False, "good", None, None), (4, 1, "sys", None, True, "good", None, None), (5, 2, "a", "fam", False, "split", "u1", None), (5, 1, "b", "fam", False, "bad-dump", None, "r1"), (6, 1, "two", None, False, "bad-dump", "u6", "r6")]]
     extras = spark.createDataFrame([(1, "m2", "unknown", None), (1, "m1", "unknown", None), (1, "m3", "duplicate", None)], "unit int, member string, kind string, other string")
     got = {u: (s, i) for u, s, i in rows(V.unit_verdicts(units, spark.createDataFrame(sets, SETS), extras), "unit")}
     assert got[1] == ("ok", ["unknown files: m1, m2", "extra files: m3 (duplicate)"])
     assert got[2] == ("support", ["support file, no set"]) and got[3] == ("unknown", ["no file of any set"])
     assert got[4] == ("support", ["system files: sys"])
-    assert got[5] == ("split", ["merged: holds 2 sets (b, a)", "not verifiable: u1", "files under another name: r1"])
-    assert got[6] == ("bad-dump", ["misnamed: named one, holds two"])
+    assert got[5] == ("split", ["merged: holds 2 sets (b, a)", "files under another name: r1", "not verifiable: u1", "subfolder: a is in in/"])
+    assert got[6] == ("bad-dump", ["misnamed: named one, holds two", "not verifiable: u6", "files under another name: r6"])
     none = spark.createDataFrame([], SETS)
     assert V.unit_verdicts(units.limit(0), none, extras.limit(0)).count() == 0
     assert V.best_sets(units, none, V.unit_verdicts(units, none, extras)).count() == 0
@@ -77,7 +77,14 @@ def test_marks_are_idempotent(spark):
 
 def test_pack_formats(spark):
     assert [one(spark, P.byte_list(F.lit(x))) for x in ("0xabc", "ff", "", "g")] == ["0ABC", "FF", None, None] and one(spark, P.byte_list(F.lit("abc"), True)) is None
-    assert [one(spark, P.human_bytes(F.lit(n))) for n in (1023, 1536, 5 << 20)] == ["1023 B", "1.5 KiB", "5.0 MiB"]
+    assert [one(spark, P.human_bytes(F.lit(n))) for n in (0, 1023, 1024, 1536, 1025, 5 << 20, (5 << 20) + 1, 1_179_648, 3 << 30)] == ["0 B", "1023 B", "1 KiB", "1.5 KiB", "1.0 KiB", "5 MiB", "5.00 MiB", "1.13 MiB", "3072 MiB"]
+    assert [one(spark, P.grouped_digits(F.lit(n), " ")) for n in (0, 999, 1000, 1234567)] == ["0", "999", "1 000", "1 234 567"]
+    base = "no exact repetition within 31 s (the period must hold over two cycles and at least 20 s)"
+    told = lambda *x: one(spark, P.unresolved_reason(F.lit(31.2), *[F.lit(v).cast(k) for v, k in zip(x, ("string", "string", "double", "double", "string"))]))
+    assert told(None, None, None, None, None) == base and told("n", None, None, None, "r") == base + "; n"
+    assert told(None, "loops", 2.5, None, "r") == base + "; the program repeats every 2.500 s, which the audio did not confirm (r)"
+    assert told(None, "loops", None, None, "r") == base + "; program: r (r)" and told(None, "ends", None, 1.0, "r") == base + "; the program ends after 1.000 s"
+    assert told(None, "unreadable", None, None, "r") == base + "; program: r"
     assert one(spark, P.whole_cycles(F.lit(2.5), 9, 0.05)) == 2 and one(spark, P.whole_cycles(F.lit(0.37), 2, 0.01)) is None
     assert tuple(one(spark, P.search_cap(F.lit(1.0), F.lit(3.0)))) == (20.0, 26.0, True)
 
@@ -156,3 +163,15 @@ def test_no_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_levels_of_a_stepped_volume_are_kept_apart(spark):
+    schema = "k int, decoded boolean, complete boolean, volume_mode string, dead_from string, borrowed boolean, unscaled boolean, stepped boolean, v double"
+    given = [(1, False, True, "factory", None, False, False, False, 1.0), (2, False, True, "factory", None, False, True, True, 2.0), (3, True, True, "factory", None, False, True, None, 3.0), (4, False, True, "factory", None, False, True, None, 4.0), (5, True, False, "x", None, False, False, True, 5.0)]
+    got = {r["k"]: (r["main"], r["static"], r["at_reference"], r["caveat"]) for r in V.loudness_slots(spark.createDataFrame(given, schema), "v").collect()}
+    step = "not at the game's level: the step volume stands where it was at power-on"
+    assert got[1] == (1.0, None, None, None) and got[2] == (None, None, 2.0, step) and got[4] == (None, None, 4.0, "the factory offset could not be measured")
+    assert got[3] == (None, 3.0, None, "decoded, not measured in a game") and got[5] == (None, 5.0, None, f"decoded, not measured in a game; a partial run; {step}")
+    rows_ = [("a", 2, 0, "f", "v", "o"), ("a", 1, 1, "g", "w", "p"), ("b", 1, None, "f", "v", "o")]
+    texts = {r[0]: r[1] for r in V.recorded_volumes(spark.createDataFrame(rows_, "k string, ord int, board int, family string, volume string, origin string"), "k").collect()}
+    assert texts == {"a": ["board 1 (g): w: p", "board 0 (f): v: o"], "b": []}
