@@ -9,7 +9,7 @@ from corvane.operators import gains
 from corvane.plans.measured import series
 from corvane.plans.registry import query, t
 from corvane.session import scratch
-from corvane.sources import archives, dictionaries, wave
+from corvane.sources import archives, dictionaries, reports, wave
 
 
 @query("""
@@ -56,3 +56,25 @@ def dictionary_round_trip(spark, sf_dir):
     found = dictionaries.exact_entries(dictionaries.buffered_lines(text))
     games = nations.select(F.concat("heading", F.lit(":")).alias("game"), F.lit(None).cast("string").alias("parent"))
     return dictionaries.listed(found, games).select("heading", "key", "name")
+
+
+@query("""
+WITH o AS (SELECT *, o_orderkey % 3 AS place, 'f' || (o_custkey % 40) AS folder, CASE WHEN o_orderkey % 2 = 0 THEN 'manifest' ELSE 'boot' END AS kind FROM orders),
+f AS (SELECT place, folder, kind, max(o_orderkey) AS k FROM o GROUP BY ALL),
+r AS (SELECT place, folder, max(k) FILTER (kind = 'manifest') AS m, max(k) FILTER (kind = 'boot') AS b FROM f GROUP BY ALL),
+n AS (SELECT *, CASE WHEN coalesce(m, b) % 7 = 0 THEN folder ELSE 's' || (coalesce(m, b) % 50) END AS set FROM r),
+l AS (SELECT set, arg_max(m, (place, folder)) FILTER (m IS NOT NULL) AS m, arg_max(b, (place, folder)) FILTER (b IS NOT NULL) AS b FROM n GROUP BY set)
+SELECT set, m AS manifest, b AS boot, CASE m % 8 WHEN 0 THEN '0:SAM:E' || (m % 10) || 'E8' WHEN 2 THEN '0:SAM:E' || (m % 10) WHEN 4 THEN '0:B:02,1:A:01' WHEN 6 THEN '' END AS volumes FROM l""")
+def run_reports(spark, sf_dir):
+    """SRC11, PRJ17: the last report of each kind of each set, and the volumes in it."""
+    key = F.col("k")
+    orders = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 3).alias("place"), F.concat(F.lit("f"), (F.col("o_custkey") % 40).cast("string")).alias("folder"), F.when(F.col("o_orderkey") % 2 == 0, "manifest").otherwise("boot").alias("kind"))
+    files = orders.groupBy("place", "folder", "kind").agg(F.max("k").alias("k"))
+    rom = F.when(key % 7 > 0, F.format_string('"rom": "s%d", ', key % 50)).otherwise("")
+    commands = '"factory_volume": {"commands": [{"kind": "master", "board": 1, "family": "X", "bytes": "00"}, {"kind": "master", "family": "B", "bytes": "02"}, {"kind": "mixer", "board": 2}, {"kind": "master", "board": 1, "family": "A", "bytes": "01"}]}'
+    shape = F.when(key % 8 == 0, F.format_string('"factory_offset": {"factory_volume": "E%d E8"}', key % 10)).when(key % 8 == 2, F.format_string('"factory_volume": {"attenuation": {"left": "E%d"}}', key % 10)).when(key % 8 == 4, commands).otherwise('"factory_volume": {"commands": []}')
+    texts = files.select("place", "folder", "kind", F.concat(F.lit("{"), rom, shape, F.format_string(', "k": %d}', key)).alias("value"))
+    volumes = F.transform(reports.factory_volumes(F.col("manifest")), lambda v: F.concat_ws(":", v["board"].cast("string"), v["family"], v["bytes"]))
+    number = lambda c: F.get_json_object(c, "$.k").cast("long")
+    found = reports.runs(texts).withColumn("volumes", F.array_join(volumes, ","))
+    return found.withColumns({"manifest": number("manifest"), "boot": number("boot")}).drop("bad")
