@@ -15,6 +15,8 @@ from corvane.llm.embedding_dedup import unit, usable
 K, SHARD, LEAF, FACTOR = 5, 4096, 128, 1.0
 #: Vectors that come to the driver: what they are near to bounds a query's search, and the first are pivots of shards.
 SAMPLE, PIVOTS = 4096, 256
+#: Different vectors of one id in a shard up to which they are points of the tree.
+OF_ONE_ID = 8
 #: Cosines this near are a tie until scores and ids decide; an angle's rounding error near zero.
 TIE, SLACK = 1e-12, 1e-7
 
@@ -84,27 +86,55 @@ def search(tree, units: np.ndarray, queries: np.ndarray, k: int, factor: float =
     return query[kept], row[kept]
 
 
+def cosines(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The cosine of each row of `one` with the same row of `two`, from the vectors as they are, in double precision; of
+    their unit vectors where squares overflow or vanish."""
+    with np.errstate(all="ignore"):
+        size = np.sqrt(np.einsum("ij,ij->i", one, one) * np.einsum("ij,ij->i", two, two))
+        out = np.einsum("ij,ij->i", one, two) / size
+    odd = np.flatnonzero(~((size > 1e-140) & (size < 1e140)))
+    if len(odd):
+        out[odd] = np.einsum("ij,ij->i", unit(one[odd])[0], unit(two[odd])[0])
+    return np.clip(out, -1, 1)
+
+
 class Shard:
-    """The points of a shard, each different vector once, with its ids, and their tree."""
+    """The points of a shard, each different vector once, with its ids, and their tree. Ids of over `OF_ONE_ID` different
+    vectors are aside: their vectors are compared one by one, so that no such id widens the search for the others."""
 
     def __init__(self, rows: pd.DataFrame, k: int, leaf: int):
         rows = rows.sort_values("vec_id", kind="stable")
-        units = unit(rows["embedding"])[0] + 0.0
-        point, _ = pd.factorize(np.array([x.tobytes() for x in units], object))
-        self.units = units[pd.Series(point).drop_duplicates().index]
+        vectors = np.array([np.asarray(v, np.float64) for v in rows["embedding"]]) + 0.0
+        point, _ = pd.factorize(np.array([x.tobytes() for x in vectors], object))
         members = pd.DataFrame({"point": point, "vec_id": rows["vec_id"].to_numpy()}).drop_duplicates()
+        vectors = vectors[pd.Series(point).drop_duplicates().index]
+        times = members["vec_id"].map(members["vec_id"].value_counts())
+        aside = members[times > OF_ONE_ID].sort_values("vec_id", kind="stable")
+        members = members[times <= OF_ONE_ID]
+        self.many, self.of = vectors[aside["point"]], aside["vec_id"].to_numpy()
+        used = np.unique(members["point"])
+        self.vectors = vectors[used]
+        self.units = unit(self.vectors)[0] if len(used) else self.vectors
+        members = members.assign(point=np.searchsorted(used, members["point"]))
         # An id may stand at several points: so many more are looked for, one of them for the query's own id.
-        self.k, self.wanted = k, (k + 1) * int(members["vec_id"].value_counts().iloc[0])
+        self.k, self.wanted = k, (k + 1) * int(times[times <= OF_ONE_ID].max() if len(members) else 1)
         # Of equal vectors, the smallest ids are enough.
         self.members = members.groupby("point").head(k + 1)
-        self.tree = build(self.units, leaf)
+        self.tree = build(self.units, leaf) if len(used) else None
 
     def ask(self, rows: pd.DataFrame, factor: float) -> pd.DataFrame:
         """(query_id, vec_id, score): the shard's nearest of each row, ties to smaller ids."""
-        queries = unit(rows["embedding"])[0]
-        query, row = search(self.tree, self.units, queries, self.wanted, factor, rows["floor"].to_numpy(float))
-        ours = pd.DataFrame({"query_id": rows["vec_id"].to_numpy()[query], "point": row, "score": np.einsum("ij,ij->i", queries[query], self.units[row])})
-        ours = ours.merge(self.members, on="point")
+        asked, names, found = np.array([np.asarray(v, np.float64) for v in rows["embedding"]]), rows["vec_id"].to_numpy(), []
+        if self.tree is not None:
+            query, row = search(self.tree, self.units, unit(asked)[0], self.wanted, factor, rows["floor"].to_numpy(float))
+            score = np.concatenate([np.zeros(0), *[cosines(asked[query[at : at + 8192]], self.vectors[row[at : at + 8192]]) for at in range(0, len(query), 8192)]])
+            found.append(pd.DataFrame({"query_id": names[query], "point": row, "score": score}).merge(self.members, on="point")[["query_id", "vec_id", "score"]])
+        for at in range(0, len(self.of), 8192):
+            ids, first = np.unique(self.of[at : at + 8192], return_index=True)
+            for i, x in enumerate(asked):
+                near = cosines(np.broadcast_to(x, self.many[at : at + 8192].shape), self.many[at : at + 8192])
+                found.append(pd.DataFrame({"query_id": names[i], "vec_id": ids, "score": np.maximum.reduceat(near, first)}))
+        ours = pd.concat(found)
         ours = ours.loc[ours["vec_id"] != ours["query_id"], ["query_id", "vec_id", "score"]]
         ours = ours.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
         return ours.groupby("query_id").head(self.k)
@@ -129,9 +159,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embe
     points, asked = named(vectors), named(queries)
     # As many pivots as shards are needed: cells of few points would only be many small trees.
     pivots = min(pivots, max(1, -(-points.count() // shard)))
-    lengths = [r[0] for r in points.select(F.size("embedding").alias("dim")).distinct().collect()]
-    first = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding"))
-    chosen = points.withColumn("dim", F.size("embedding")).withColumn("at", first).where(F.col("at") <= max(1, sample // max(1, len(lengths)))).collect()
+    sizes = {r["dim"]: r["n"] for r in points.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    lengths = list(sizes)
+    each = max(1, sample // max(1, len(lengths)))
+    # The smallest hashes of each length: a threshold leaves about twice as many as wanted before any row moves, and equal
+    # rows are one.
+    cuts = points.sparkSession.createDataFrame([(d, min(1.0, 2.0 * each / n) * (1 << 30)) for d, n in sizes.items()], "dim int, cut double")
+    hashed = points.withColumns({"dim": F.size("embedding"), "h": F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30))})
+    few_ = hashed.join(F.broadcast(cuts), "dim").where("h < cut").drop("cut").distinct()
+    first = F.row_number().over(W.partitionBy("dim").orderBy("h", "vec_id", "embedding"))
+    chosen = few_.withColumn("at", first).where(F.col("at") <= each).collect()
     chosen = {d: [r for r in chosen if r["dim"] == d] for d in lengths}
     ids = {d: np.array([r["vec_id"] for r in rows]) for d, rows in chosen.items()}
     near = {d: unit([r["embedding"] for r in rows])[0] for d, rows in chosen.items()}
@@ -168,7 +205,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embe
 
     parts = F.broadcast(parts)
     key = F.xxhash64("dim", "cell", "part").alias("shard")
-    here = placed.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    here = placed.join(parts, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("parts")).cast("int"))
     here = here.select("vec_id", "embedding", F.lit(False).alias("asks"), F.lit(None).cast("double").alias("floor"), key)
     routed = asked.mapInPandas(route, f"vec_id long, embedding {dict(asked.dtypes)['embedding']}, dim int, cell int, floor double")
     there = routed.join(parts, ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -183,7 +220,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embe
                 points, asks = rows[~rows["asks"]], rows[rows["asks"]]
                 if len(points):
                     waiting.append(points[["vec_id", "embedding"]])
-                if len(asks):
+                # A part whose hash no point has can still be asked.
+                if len(asks) and (waiting or ready is not None):
                     if ready is None:
                         ready, waiting = Shard(pd.concat(waiting), k, leaf), []
                     yield ready.ask(asks, factor)

@@ -4,6 +4,7 @@ import collections
 import math
 
 import numpy as np
+import pytest
 
 from corvane.llm import embedding_dedup, vptree
 
@@ -89,3 +90,40 @@ def test_nearest_of_repeated_ids(spark):
     for r in vptree.nearest(df, df.where("vec_id % 10 = 0"), shard=40, leaf=8).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
     assert got == {i: sorted(b, key=lambda j: (-b[j], j))[:5] for i, b in best.items()}
+
+
+def plain_nearest(rows, k=5):
+    out = []
+    for q, x in {(i, v) for i, v in rows if i % 50 == 0}:
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -2.0), vptree.cosines(np.array([x]), np.array([v]))[0])
+        out += [(q, i, s) for i, s in best.items()]
+    best = {}
+    for q, i, s in out:
+        best[q, i] = max(best.get((q, i), -2.0), s)
+    found = []
+    for q in {q for q, _ in best}:
+        ranked = sorted(((s, i) for (p, i), s in best.items() if p == q), key=lambda x: (-x[0], x[1]))[:k]
+        found += [(q, at, i) for at, (_, i) in enumerate(ranked, 1)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("kind", ["equal", "different", "parallel"])
+def test_thousands_of_rows_of_one_id(spark, kind):
+    rng = np.random.default_rng(11)
+    same = [0.25, 0.5, -0.75]
+    of_one = {"equal": [same] * 9000, "different": rng.normal(size=(3000, 3)).tolist(), "parallel": [[x * c for x in same] for c in (1.0, 2.0, 3.0, 0.1)] * 5}[kind]
+    rows = [(1, v) for v in of_one] + [(i, rng.normal(size=3).tolist()) for i in (50, 100, 100, *range(150, 400, 7))]
+    rows = [(i, tuple(v)) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vptree.nearest(df, df.where("vec_id % 50 = 0"), shard=500).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == plain_nearest(list(set(rows)))
+
+
+def test_scores_come_from_the_vectors_as_they_are(spark):
+    rows = [(0, [0.2, 0.6]), (8, [0.3, 0.9]), (50, [0.2, 0.6]), (51, [1e200, 3e200]), (52, [3e-300, 9e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in vptree.nearest(df, df.where("vec_id = 0")).collect()}
+    assert len(got) == 4 and got[50] == vptree.cosines(np.array([[0.2, 0.6]]), np.array([[0.2, 0.6]]))[0] and all(abs(s - 1) < 1e-12 for s in got.values())
