@@ -19,11 +19,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts have no letter and go. Repeated rows and ids are judged one by one, alike if their texts are. An
     empty table, and one that teaches no language, give an empty table. Very long texts count whole.
     """
-    judged = langid.predict(docs.select(F.struct(*docs.columns).alias("doc"), "text"), langid.train(docs))
+    # Names of its own keep a table's columns apart from the judgement's; each text is in a row once.
+    own = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    judged = langid.predict(docs.withColumnsRenamed(own), langid.train(docs), own["text"])
     judged = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.LEAST))
-    lang = F.when(F.col("score") >= langid.SURE, F.col("lang_pred")).otherwise(F.coalesce("doc.lang", "lang_pred"))
+    lang = F.when(F.col("score") >= langid.SURE, F.col("lang_pred")).otherwise(F.coalesce(own["lang"], "lang_pred"))
     with small_batches(spark):
-        return stored(judged.select(*[lang.alias(c) if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns]), "language_id")
+        return stored(judged.select(*[(lang if c == "lang" else F.col(of)).alias(c) for c, of in own.items()]), "language_id")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
