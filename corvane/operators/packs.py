@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.functions.exprs import ascii_lower, rounded
+from corvane.functions.exprs import ascii_lower, id_text, rounded
 
 
 def plain_rows(rows: DataFrame) -> DataFrame:
@@ -76,11 +76,73 @@ def counted(with_loops: bool) -> Column:
     return kept if with_loops else kept & ~F.col("loops")
 
 
-def channel_summary(events: DataFrame, by: str, channel: str) -> DataFrame:
-    """(by, channel, commands, stops, unread): of each channel how many commands play on it, stop it, or could not be
-    read; from rows of kind play, stop or unread."""
-    count = lambda k: F.count_if(F.col("kind") == k)
-    return events.groupBy(by, channel).agg(count("play").alias("commands"), count("stop").alias("stops"), count("unread").alias("unread"))
+#: The factor of a level for each unit that a program lowers it by, and the types of programs that play and that wait.
+UNIT_FACTOR, PLAYS, WAITS = 0.9733, 1, 2
+
+
+def duck_units(ducks: str, channel: int) -> Column:
+    """The units of the first duck of a channel in an array of (channel, units); null for none."""
+    return F.get(F.filter(ducks, lambda d: d["channel"] == channel), F.lit(0))["units"]
+
+
+def duck_percent(units: Column) -> Column:
+    """What a level change of `units` leaves of a level, in percent; 100 where nothing is lowered or known."""
+    percent = F.floor(100 * F.pow(F.lit(UNIT_FACTOR), -F.least(units, F.lit(0.0))) + 0.5)
+    return F.coalesce(F.least(F.greatest(percent, F.lit(0)), F.lit(100)), F.lit(100)).cast("int")
+
+
+def program_rows(rows: DataFrame, programs: DataFrame, voices: DataFrame, pack: str) -> DataFrame:
+    """`rows` as `plain_rows` makes them, changed by what their programs do, with lost_stop. Rows: pack, id. Programs:
+    pack, id, type, channel, streams (the channels it plays on), ducks (channel, units), stops (channels), error (null where
+    it was read); one for an id at most. Voices: pack, voice, the elected channel.
+
+    Rows whose program is not known or was not read stay. One that plays a stream on its home channel 0 is music, on the
+    first channel, undamped; only music that goes on is music to a player that loops all of it. Others are callouts on the
+    second channel if their home is the elected one, else effects on any. They duck the music as much as their program
+    does, and those on the voice channel stop it if theirs does; another that does has a lost stop.
+    """
+    read = programs.where("error is null").select(pack, "id", F.struct("type", "channel", "streams", "ducks", "stops").alias("__p"))
+    out = rows.join(read, [pack, "id"], "left").join(voices.select(pack, F.col("voice").alias("__voice")), pack, "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    known = F.col("__p").isNotNull()
+    music = yes((F.col("__p.type") == PLAYS) & (F.col("__p.channel") == 0) & F.array_contains("__p.streams", 0))
+    voice = known & ~music & yes(F.col("__p.channel") == F.col("__voice"))
+    stopping = known & ~music & yes(F.array_contains("__p.stops", 0))
+    new = {
+        "channel": F.when(music, 0).when(voice, 1).when(known, -1).otherwise(F.col("channel")),
+        "duck": F.when(music, 100).when(known, duck_percent(duck_units("__p.ducks", 0))).otherwise(F.col("duck")),
+        "gtype": F.when(music, F.when(F.col("looped") | F.col("continuous"), "MUSIC").otherwise("SFX")).when(voice, "CALLOUT").when(known, "SFX").otherwise(F.col("gtype")),
+        "stop": F.when(known, voice & stopping).otherwise(F.col("stop")) if "stop" in rows.columns else voice & stopping,
+        "lost_stop": stopping & ~voice,
+    }
+    new["stop"] = F.when(music, F.col("stop")).otherwise(new["stop"])
+    return out.withColumns(new).drop("__p", "__voice")
+
+
+def pack_limits(rows: DataFrame, pack: str) -> DataFrame:
+    """(pack, lost): the ids, in order, of rows with a lost stop as one text; only packs that have any."""
+    lost = rows.where("lost_stop").groupBy(pack).agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    return lost.select(pack, F.array_join(F.transform("ids", id_text), " ").alias("lost"))
+
+
+def channel_summary(programs: DataFrame, by: str) -> DataFrame:
+    """(by, channel, tracks, with_stream, ducking): of each channel how many programs that play have it as their home, how
+    many of those have a stream, and how many lower the music. Programs: as of `program_rows`."""
+    lowers = F.coalesce(duck_units("ducks", 0) < 0, F.lit(False))
+    return programs.where(F.col("type") == PLAYS).groupBy(by, "channel").agg(F.count("*").alias("tracks"), F.count_if(F.size("streams") > 0).alias("with_stream"), F.count_if(lowers).alias("ducking"))
+
+
+def program_lists(programs: DataFrame, by: str, stop_id: int) -> DataFrame:
+    """(by, id, list, channels, note): what has to be said of single programs, a row for each list that one is on: those
+    that only stop (their stops, and whether the player does it: it knows `stop_id` alone), those that wait (their home),
+    and those that could not be read."""
+    stops = F.col("list") == "stop"
+    only = (F.size("streams") == 0) & (F.size("stops") > 0)
+    lists = F.array_compact(F.array(F.when(only, F.lit("stop")), F.when(F.col("type") == WAITS, F.lit("deferred")), F.when(F.col("error").isNotNull(), F.lit("unreadable"))))
+    found = programs.select(by, "id", "channel", "stops", F.explode(lists).alias("list"))
+    note = F.when(stops & (F.col("id") == stop_id), "built in").when(stops & F.array_contains("stops", 0), "lost: only one id stops the music").when(stops, "lost: a voice or an effect cannot be stopped")
+    channels = F.when(stops, F.col("stops")).when(F.col("list") == "deferred", F.array("channel"))
+    return found.select(by, "id", "list", channels.alias("channels"), note.alias("note"))
 
 
 def song_roles(samples: DataFrame, song: str) -> DataFrame:

@@ -98,12 +98,61 @@ def counted_median(spark, sf_dir):
     return median(rows.where(P.counted(False)), ["user_id"], "lufs").select("user_id", "n", "median")
 
 
-@query("""
-SELECT l_suppkey, l_linenumber, count(*) FILTER (l_returnflag = 'N') AS commands, count(*) FILTER (l_returnflag = 'R') AS stops, count(*) FILTER (l_returnflag = 'A') AS unread FROM lineitem GROUP BY ALL""")
+_PROGRAMS = """
+WITH p AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS id, max(l_partkey) AS k FROM lineitem GROUP BY ALL),
+g AS (SELECT l_suppkey, id, CASE WHEN k % 9 = 0 THEN 2 ELSE 1 END AS type, k % 4 AS channel, CASE WHEN k % 5 > 0 THEN [CAST(k % 4 AS BIGINT)] ELSE [] END AS streams, CASE WHEN k % 3 = 0 THEN -CAST(k % 40 AS DOUBLE) END AS units,
+  CASE WHEN k % 7 = 0 THEN [CAST(0 AS BIGINT)] WHEN k % 7 = 1 THEN [CAST(2 AS BIGINT), CAST(3 AS BIGINT)] ELSE [] END AS stops, CASE WHEN k % 11 = 0 THEN 'x' END AS error, k FROM p)"""
+
+
+def programs(spark, sf_dir):
+    """Programs of track commands, a game's being a supplier's."""
+    lines = t(spark, sf_dir, "lineitem").groupBy("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")).agg(F.max("l_partkey").alias("k"))
+    k, none = F.col("k"), F.array().cast("array<bigint>")
+    number = lambda *x: F.array(*[F.lit(v).cast("long") for v in x])
+    ducks = F.when(k % 3 == 0, F.array(F.struct(F.lit(1).cast("long").alias("channel"), F.lit(-50.0).alias("units")), F.struct(F.lit(0).cast("long").alias("channel"), (-(k % 40).cast("double")).alias("units")))).otherwise(F.array().cast("array<struct<channel:bigint,units:double>>"))
+    return lines.select("l_suppkey", "id", F.when(k % 9 == 0, 2).otherwise(1).alias("type"), (k % 4).alias("channel"), F.when(k % 5 > 0, F.array(k % 4)).otherwise(none).alias("streams"), ducks.alias("ducks"), F.when(k % 7 == 0, number(0)).when(k % 7 == 1, number(2, 3)).otherwise(none).alias("stops"), F.when(k % 11 == 0, "x").alias("error"), "k")
+
+
+@query(_PROGRAMS + " SELECT l_suppkey, channel, count(*) AS tracks, count(*) FILTER (len(streams) > 0) AS with_stream, count(*) FILTER (units < 0) AS ducking FROM g WHERE type = 1 GROUP BY ALL")
 def channel_summary(spark, sf_dir):
-    """AGG28: what the commands of a game do to each channel."""
-    kind = F.when(F.col("l_returnflag") == "N", "play").when(F.col("l_returnflag") == "R", "stop").otherwise("unread")
-    return P.channel_summary(t(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", kind.alias("kind")), "l_suppkey", "l_linenumber")
+    """AGG28: what plays on each channel of a game, and how much of it lowers the music."""
+    return P.channel_summary(programs(spark, sf_dir), "l_suppkey")
+
+
+@query(_PROGRAMS + """
+SELECT l_suppkey, id, 'stop' AS list, array_to_string(stops, ',') AS channels, CASE WHEN id = 99 THEN 'built in' WHEN list_contains(stops, 0) THEN 'lost: only one id stops the music' ELSE 'lost: a voice or an effect cannot be stopped' END AS note FROM g WHERE len(streams) = 0 AND len(stops) > 0
+UNION ALL SELECT l_suppkey, id, 'deferred', CAST(channel AS VARCHAR), NULL FROM g WHERE type = 2 UNION ALL SELECT l_suppkey, id, 'unreadable', NULL, NULL FROM g WHERE error IS NOT NULL""")
+def program_lists(spark, sf_dir):
+    """AGG28: programs that only stop, that wait, and that could not be read."""
+    return P.program_lists(programs(spark, sf_dir), "l_suppkey", 99).withColumn("channels", F.array_join(F.col("channels").cast("array<string>"), ","))
+
+
+@query(_PROGRAMS + """,
+m AS (SELECT *, type = 1 AND channel = 0 AND list_contains(streams, 0) AS music, channel = l_suppkey % 4 AND l_suppkey % 5 > 0 AS of_voice, error IS NULL AND id % 13 > 0 AS known, k % 2 = 0 AS looped FROM g)
+SELECT l_suppkey, id, CASE WHEN NOT known THEN CASE WHEN id % 3 = 0 THEN 0 ELSE -1 END WHEN music THEN 0 WHEN of_voice THEN 1 ELSE -1 END AS channel,
+  CASE WHEN NOT known OR music OR units IS NULL THEN 100 ELSE CAST(least(greatest(floor(100 * pow(0.9733, -units) + 0.5), 0), 100) AS INTEGER) END AS duck,
+  CASE WHEN NOT known THEN CASE WHEN id % 3 = 0 AND looped THEN 'MUSIC' ELSE 'SFX' END WHEN music THEN CASE WHEN looped THEN 'MUSIC' ELSE 'SFX' END WHEN of_voice THEN 'CALLOUT' ELSE 'SFX' END AS gtype,
+  known AND NOT music AND of_voice AND list_contains(stops, 0) AS stop, known AND NOT music AND NOT of_voice AND list_contains(stops, 0) AS lost_stop FROM m""")
+def program_rows(spark, sf_dir):
+    """UPS7: channel, type, duck and stop of each row, from what its program does; and the stops that are lost."""
+    found = programs(spark, sf_dir)
+    key = F.col("id")
+    rows = P.plain_rows(found.select("l_suppkey", "id", F.when(key % 3 == 0, "music").otherwise("sfx").alias("kind"), (F.col("k") % 2 == 0).alias("looped"), F.lit(False).alias("continuous")))
+    voices = found.select("l_suppkey").distinct().where("l_suppkey % 5 > 0").select("l_suppkey", (F.col("l_suppkey") % 4).alias("voice"))
+    out = P.program_rows(rows, found.where("id % 13 > 0"), voices, "l_suppkey")
+    return out.select("l_suppkey", "id", "channel", "duck", "gtype", "stop", "lost_stop")
+
+
+@query(_PROGRAMS + """
+SELECT l_suppkey, string_agg('0x' || printf('%04X', id), ' ' ORDER BY id) AS lost FROM g
+WHERE error IS NULL AND list_contains(stops, 0) AND NOT (type = 1 AND channel = 0 AND list_contains(streams, 0)) AND channel <> l_suppkey % 4 GROUP BY l_suppkey""")
+def lost_stops(spark, sf_dir):
+    """UPS7: the commands of each game whose stop the player cannot do."""
+    found = programs(spark, sf_dir)
+    rows = P.plain_rows(found.select("l_suppkey", "id", F.lit("sfx").alias("kind"), F.lit(False).alias("looped"), F.lit(False).alias("continuous")))
+    voices = found.select("l_suppkey", (F.col("l_suppkey") % 4).alias("voice")).distinct()
+    return P.pack_limits(P.program_rows(rows, found, voices, "l_suppkey"), "l_suppkey")
+
 
 
 @query("""

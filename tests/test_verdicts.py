@@ -175,3 +175,25 @@ def test_levels_of_a_stepped_volume_are_kept_apart(spark):
     rows_ = [("a", 2, 0, "f", "v", "o"), ("a", 1, 1, "g", "w", "p"), ("b", 1, None, "f", "v", "o")]
     texts = {r[0]: r[1] for r in V.recorded_volumes(spark.createDataFrame(rows_, "k string, ord int, board int, family string, volume string, origin string"), "k").collect()}
     assert texts == {"a": ["board 1 (g): w: p", "board 0 (f): v: o"], "b": []}
+
+
+def test_rows_from_programs(spark):
+    rows_ = P.plain_rows(spark.createDataFrame([("g", i, "music" if i == 7 else "sfx", i == 1, False) for i in range(1, 9)], "pack string, id int, kind string, looped boolean, continuous boolean"))
+    shape = "pack string, id int, type int, channel int, streams array<int>, ducks array<struct<channel:int,units:double>>, stops array<int>, error string"
+    given = [
+        ("g", 1, 1, 0, [0], [(0, -9.0)], [0], None), ("g", 2, 1, 0, [0], [], [], None), ("g", 3, 1, 2, [2], [(1, -90.0), (0, -20.0)], [0], None), ("g", 4, 1, 3, [3], [(0, 5.0)], [0], None),
+        ("g", 5, 2, 2, [], [], [3], None), ("g", 6, 1, 2, [2], [(0, -4.0)], [0], "unknown opcode"), ("g", 8, 1, 0, [4], None, None, None),
+    ]
+    programs = spark.createDataFrame(given, shape)
+    out = P.program_rows(rows_, programs, spark.createDataFrame([("g", 2)], "pack string, voice int"), "pack")
+    got = {r["id"]: (r["channel"], r["duck"], r["gtype"], r["stop"], r["lost_stop"]) for r in out.collect()}
+    assert got == {
+        1: (0, 100, "MUSIC", False, False), 2: (0, 100, "SFX", False, False), 3: (1, round(100 * 0.9733**20), "CALLOUT", True, False), 4: (-1, 100, "SFX", False, True),
+        5: (1, 100, "CALLOUT", False, False), 6: (-1, 100, "SFX", False, False), 7: (0, 100, "SFX", False, False), 8: (-1, 100, "SFX", False, False),
+    }
+    assert rows(P.pack_limits(out, "pack")) == [("g", "0x0004")]
+    none = P.program_rows(rows_, programs, spark.createDataFrame([], "pack string, voice int"), "pack")
+    assert {r["channel"] for r in none.where("gtype = 'SFX' and id > 2 and id != 7").collect()} == {-1}
+    assert rows(P.channel_summary(programs, "pack")) == [("g", 0, 3, 3, 1), ("g", 2, 2, 2, 2), ("g", 3, 1, 1, 0)]
+    assert {(r["id"], r["list"]): (r["channels"], r["note"]) for r in P.program_lists(programs, "pack", 5).collect()} == {(5, "stop"): ([3], "built in"), (5, "deferred"): ([2], None), (6, "unreadable"): (None, None)}
+    assert P.program_lists(programs, "pack", 9).where("list = 'stop'").first()["note"] == "lost: a voice or an effect cannot be stopped"
