@@ -31,7 +31,7 @@ def parse_id(text: Column) -> Column:
 
 
 def id_text(x: Column) -> Column:
-    return F.format_string("0x%04X", x)
+    return F.when(x.isNotNull(), F.format_string("0x%04X", x))
 
 
 def csv_name(text: Column, otherwise: Column | None = None) -> Column:
@@ -47,6 +47,18 @@ def file_name(text: Column, most: int = 80) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}-]+", "_"), "^_|_$", ""), F.lit(most))
 
 
+def kept_name(path: Column, most: int = 80) -> Column:
+    """The last piece of a path as a name that a pack can hold: letters and digits of any script, blanks and `_.()+-`;
+    other characters are underscores. No blank or dot leads, no blank ends."""
+    plain = F.trim(F.regexp_replace(base_name(path), r"[^\p{IsAlphabetic}\p{N} _.()+-]", "_"))
+    return F.left(F.trim(F.regexp_replace(plain, r"^\.+", "")), F.lit(most))
+
+
+def normal_id(text: Column) -> Column:
+    """An id as it is written in files; a text that is none stays, without blanks at its ends."""
+    return F.coalesce(id_text(parse_id(text)), F.trim(text))
+
+
 def kebab(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?<=.)([A-Z])", "-$1"))
 

@@ -106,3 +106,40 @@ def confidence(residual_db: Column) -> Column:
 def edit_offset(lufs: Column, gain: Column, level: Column) -> Column:
     """By how much a replaced sound is louder than the original, in dB; null without a gain or a level."""
     return F.when(gain > 0, lufs + 20 * F.log10(gain / 100) - level)
+
+
+# Boards without a volume stage, or with one that is not emulated, and why a family reports no volume.
+NO_STAGE, NOT_EMULATED = "full_scale (no volume stage)", "full_scale (volume lines not emulated in PinMAME)"
+FULL_SCALE = {"BY45": NO_STAGE, "BYTCS": NO_STAGE, "BSMT (Data East)": NO_STAGE, "BY32": NO_STAGE, "BY51": NO_STAGE, "BY56": NO_STAGE, "BY51N": NO_STAGE, "BYSNT": NOT_EMULATED}
+SILENT_ON_VOLUME = {
+    "DCS": "the game sent no 55 AA vv ~vv during boot (the board keeps its reset default, 67)",
+    "DCSP2K": "the game sent no 55AA vv ~vv during boot",
+    "WPCS": "the game sent no 79 vv ~vv during boot",
+    "BSMT": "no FE 10..2F seen (Whitestar's master volume command)",
+    "AT91": "no FE 10..2F seen (Whitestar's master volume command)",
+    "BSMT (Data East)": "Data East sets the master volume with a hardware pot",
+    "BY45": "Cheap Squeak boards have no volume stage",
+    "BYTCS": "Cheap Squeak boards have no volume stage",
+    "BY32": "the early Bally sound boards have no volume stage",
+    "BY51": "the early Bally sound boards have no volume stage",
+    "BY56": "the early Bally sound boards have no volume stage",
+    "BY51N": "the early Bally sound boards have no volume stage",
+    "BYSNT": "the Squawk & Talk's volume lines are not emulated in PinMAME (its commands DF..FE)",
+}
+SYSTEM_11, SYSTEM_11_SILENT = "WMSS11", "System 11 sound boards have no volume stage"
+UNKNOWN_SILENT = "no known volume command for this board family"
+
+
+def _by_family(family: Column, texts: dict[str, str], system_11: str, otherwise: Column) -> Column:
+    named = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+    return F.when(F.startswith(family, F.lit(SYSTEM_11)), system_11).otherwise(F.coalesce(F.try_element_at(named, family), otherwise))
+
+
+def full_scale(family: Column) -> Column:
+    """What a board without a volume that could be set plays at; null for a family that has one, or a null one."""
+    return _by_family(family, FULL_SCALE, NO_STAGE, F.lit(None).cast("string"))
+
+
+def no_volume_reason(family: Column) -> Column:
+    """Why a board of a family reported no volume."""
+    return _by_family(family, SILENT_ON_VOLUME, SYSTEM_11_SILENT, F.lit(UNKNOWN_SILENT))

@@ -199,3 +199,7 @@ def reference_of(items: DataFrame, median: DataFrame, keys: list[str], level: st
     near = items.join(median, keys).groupBy(*keys).agg(F.min(F.struct(F.abs(F.col(level) - F.col("median")).alias("d"), F.col(order))).alias("b"))
     return near.select(*keys, F.col("b")[order].alias("reference"))
 
+
+def required(files: DataFrame) -> DataFrame:
+    """`files` (no_dump, crc) that a complete set must hold: dumped ones whose checksum is known. A null no_dump is false."""
+    return files.where(~F.coalesce("no_dump", F.lit(False)) & F.col("crc").isNotNull())

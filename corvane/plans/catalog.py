@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import catalogue, files, frames, matches, measured, naming, ordered, packs, rules, series, verdicts  # noqa: F401
+from corvane.plans import catalogue, files, frames, matches, measured, naming, ordered, packs, records, rules, series, verdicts  # noqa: F401
 from corvane.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

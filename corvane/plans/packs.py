@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import exprs as X
+from corvane.functions import rules as R
 from corvane.operators import packs as P
 from corvane.operators.grouping import median
 from corvane.plans.registry import query, t
@@ -239,12 +240,13 @@ def plan_lines(spark, sf_dir):
     return sinks.plan_lines(orders).select("o_orderkey", "plan", "file", "value")
 
 
-@query("""
-SELECT p_partkey, printf('0x%04X', p_partkey) || ',f.wav,' || p_size || ',"' || p_name || '",' || printf('%.2f', CAST(floor(p_retailprice) / 4 AS DOUBLE)) || ',' || CASE WHEN p_size % 2 = 0 THEN '0.50' ELSE '' END AS value FROM part WHERE contains(p_name, ',')
-UNION ALL SELECT p_partkey, printf('0x%04X', p_partkey) || ',f.wav,' || p_size || ',' || p_name || ',' || printf('%.2f', CAST(floor(p_retailprice) / 4 AS DOUBLE)) || ',' || CASE WHEN p_size % 2 = 0 THEN '0.50' ELSE '' END FROM part WHERE NOT contains(p_name, ',')""")
+@query(r"""
+SELECT p_partkey, printf('0x%04X', p_partkey) || ',f.wav,' || p_size || ',' || trim(regexp_replace(n, '[^A-Za-z0-9 _.()+-]', '_', 'g')) || ',' || printf('%.2f', CAST(floor(p_retailprice) / 4 AS DOUBLE)) || ',' || CASE WHEN p_size % 2 = 0 THEN '0.50' ELSE '' END AS value
+FROM (SELECT *, p_name || CASE WHEN p_size % 3 = 0 THEN ', "take" #' || p_size ELSE '.wav ' END AS n FROM part)""")
 def replacement_lines(spark, sf_dir):
-    """SNK9: the lines of a record of replaced files, figures with two decimals, unknown ones empty."""
-    rows = t(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("id"), F.lit("f.wav").alias("fname"), F.col("p_size").alias("gain"), F.col("p_name").alias("source"), (F.floor("p_retailprice") / 4).alias("lufs"), F.when(F.col("p_size") % 2 == 0, 0.5).alias("offset"))
+    """SNK9: the lines of a record of replaced files, sources as plain names, figures with two decimals, unknown ones empty."""
+    source = F.concat(F.lit("C:\\my/"), "p_name", F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(', "take" #'), F.col("p_size").cast("string"))).otherwise(".wav "))
+    rows = t(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("id"), F.lit("f.wav").alias("fname"), F.col("p_size").alias("gain"), source.alias("source"), (F.floor("p_retailprice") / 4).alias("lufs"), F.when(F.col("p_size") % 2 == 0, 0.5).alias("offset"))
     return sinks.replacement_lines(rows, "p_partkey")
 
 
@@ -264,3 +266,40 @@ def id_round_trip(spark, sf_dir):
     """FN1: an id as text and back."""
     text = X.id_text(F.col("s_suppkey"))
     return t(spark, sf_dir, "supplier").select("s_suppkey", text.alias("id_text"), X.parse_id(text).alias("parsed"))
+
+
+SILENT = ["DCS", "WPCS", "AT91", "BSMT (Data East)", "WMSS11C", "BY45", "BYSNT", "BY32", "GTS80"]
+
+
+@query("""
+SELECT c_custkey, family, CASE WHEN family IN ('WMSS11C', 'BY45', 'BY32', 'BSMT (Data East)') THEN 'full_scale (no volume stage)' WHEN family = 'BYSNT' THEN 'full_scale (volume lines not emulated in PinMAME)' END AS plays_at,
+  CASE family WHEN 'DCS' THEN 'the game sent no 55 AA vv ~vv during boot (the board keeps its reset default, 67)' WHEN 'WPCS' THEN 'the game sent no 79 vv ~vv during boot' WHEN 'AT91' THEN 'no FE 10..2F seen (Whitestar''s master volume command)'
+    WHEN 'BSMT (Data East)' THEN 'Data East sets the master volume with a hardware pot' WHEN 'WMSS11C' THEN 'System 11 sound boards have no volume stage' WHEN 'BY45' THEN 'Cheap Squeak boards have no volume stage'
+    WHEN 'BYSNT' THEN 'the Squawk & Talk''s volume lines are not emulated in PinMAME (its commands DF..FE)' WHEN 'BY32' THEN 'the early Bally sound boards have no volume stage' ELSE 'no known volume command for this board family' END AS reason
+FROM (SELECT c_custkey, ['DCS', 'WPCS', 'AT91', 'BSMT (Data East)', 'WMSS11C', 'BY45', 'BYSNT', 'BY32', 'GTS80'][c_custkey % 9 + 1] AS family FROM customer)""")
+def silent_boards(spark, sf_dir):
+    """PRJ10: what boards without a reported volume play at, and why they report none."""
+    family = F.element_at(F.array(*map(F.lit, SILENT)), (F.col("c_custkey") % len(SILENT) + 1).cast("int"))
+    rows = t(spark, sf_dir, "customer").select("c_custkey", family.alias("family"))
+    return rows.withColumns({"plays_at": R.full_scale(F.col("family")), "reason": R.no_volume_reason(F.col("family"))})
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_retailprice / 10.0 AS intro, p_size * 10.0 AS period, p_size % 4 > 0 AS loops FROM part),
+r AS (SELECT *, intro + period + least(greatest(period, 20), 60) + 2 AS ready FROM p)
+SELECT p_partkey, CAST(CASE WHEN loops AND ready <= 300 THEN greatest(120, ready + 5) ELSE 120 END AS DOUBLE) AS cap, CAST(CASE WHEN loops AND ready <= 300 THEN period END AS DOUBLE) AS hint, CASE WHEN loops AND ready > 300 THEN 'too long to confirm' END AS reason FROM r""")
+def search_caps(spark, sf_dir):
+    """SEL6: how long each sound is recorded, and the period to look for, by what its program says."""
+    size = F.col("p_size")
+    plan = F.when(size % 4 > 0, P.search_cap(F.col("p_retailprice") / 10.0, size * 10.0, longest=300.0))
+    return t(spark, sf_dir, "part").select("p_partkey", P.recorded_until(F.lit(120.0), plan).alias("r")).select("p_partkey", "r.*")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag <> 'N' AND l_quantity % 2 = 0""")
+def required_files(spark, sf_dir):
+    """PRJ1: the files that a complete set must hold."""
+    from corvane.operators.matching import required
+
+    crc = F.when(F.col("l_quantity") % 2 == 0, F.col("l_partkey"))
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_returnflag") == "N").alias("no_dump"), crc.alias("crc"))
+    return required(rows).select("l_orderkey", "l_linenumber", "l_partkey")

@@ -41,6 +41,17 @@ def zip_members(archives: DataFrame, inflate: bool = False) -> DataFrame:
     return archives.select("path", "content").mapInPandas(read, "path string, ord int, member_path string, size long, crc long, content binary, error string")
 
 
+def named_members(archives: DataFrame, names: DataFrame) -> DataFrame:
+    """`zip_members` with their contents, of each archive (path, content) the first whose last piece is its wanted name in
+    any case of A-Z. Names: path, name. An archive without such a member, or that cannot be read, has no row."""
+    found = zip_members(archives.join(names.select("path").distinct(), "path", "left_semi"), inflate=True).where("error is null")
+    wanted = names.select("path", X.ascii_lower(F.col("name")).alias("__n")).distinct()
+    same = found.withColumn("__n", X.ascii_lower(X.base_name(F.col("member_path")))).join(wanted, ["path", "__n"])
+    columns = [c for c in found.columns if c not in ("path", "ord")]
+    first = same.groupBy("path", "__n").agg(F.min("ord").alias("ord"))
+    return same.join(first, ["path", "__n", "ord"]).select("path", "ord", *columns)
+
+
 def folder_members(loose: DataFrame) -> DataFrame:
     """(path, ord, member_path, size, crc): loose files (path, size, content) as members of their folder, by name."""
     from pyspark.sql import Window as W

@@ -20,6 +20,19 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return parts.select("path", (F.col("line") + 1).alias("line"), "value")
 
 
+def saved_bases(numbered: DataFrame) -> DataFrame:
+    """(path, file, id, row): the saved base rows of files of lines (path, line, value): a file's name, an id and the row,
+    quoted or not. The first line is a header; lines of fewer fields or without an id are left out; of one file and id the
+    last counts."""
+    field = lambda i: F.regexp_extract("value", r"^([^,]*),([^,]*),(.*)$", i)
+    raw = field(3)
+    quoted = (F.length(raw) > 1) & F.startswith(raw, F.lit('"')) & F.endswith(raw, F.lit('"'))
+    row = F.when(quoted, F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+    found = numbered.where((F.col("line") > 1) & F.regexp_like("value", F.lit(r"^[^,]*,[^,]*,")))
+    found = found.select("path", "line", field(1).alias("file"), X.parse_id(field(2)).alias("id"), row.alias("row")).where("id is not null")
+    return found.groupBy("path", "file", "id").agg(F.max_by("row", "line").alias("row"))
+
+
 def commented_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """(path, line, columns..., meta): records of CSV files whose `# key: value` lines are metadata.
 
