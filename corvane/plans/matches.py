@@ -110,12 +110,12 @@ def prefix_readers(spark, sf_dir):
 
 
 @query("""
-SELECT l_suppkey FROM (SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_discount = 0.1) GROUP BY 1
+SELECT l_suppkey, l_discount FROM (SELECT DISTINCT l_suppkey, l_discount, l_returnflag FROM lineitem) GROUP BY ALL
 HAVING count(*) = (SELECT count(DISTINCT l_returnflag) FROM lineitem)""")
 def universal_match(spark, sf_dir):
-    """Suppliers whose discounted lines show every flag."""
+    """Suppliers and discounts whose lines show every flag."""
     lines = t(spark, sf_dir, "lineitem")
-    return M.universal(lines.select("l_returnflag"), lines.where("l_discount = 0.1"), ["l_suppkey"], "l_returnflag")
+    return M.universal(lines.select("l_returnflag"), lines, ["l_suppkey", "l_discount"], "l_returnflag")
 
 
 @query("""
@@ -166,10 +166,10 @@ def multiset_diff(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'measure' WHEN o_orderpriority LIKE '1%' THEN 'boot' ELSE 'differs' END AS plan FROM orders WHERE o_totalprice > 1000""")
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'measure' WHEN o_orderpriority LIKE '1%' THEN 'boot' ELSE 'differs' END AS plan FROM orders""")
 def plan_partition(spark, sf_dir):
     """SET9: what has to be measured, only booted, or compared."""
-    orders = t(spark, sf_dir, "orders").where("o_totalprice > 1000")
+    orders = t(spark, sf_dir, "orders")
     return orders.select("o_orderkey", G.reasons(orders, [("measure", F.col("o_orderstatus") == "O"), ("boot", F.col("o_orderpriority").startswith("1"))], "differs").alias("plan"))
 
 
@@ -226,13 +226,15 @@ def median_reference(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, coalesce(CASE WHEN p_size < 5 THEN p_size END, n, 255) AS level, CASE WHEN p_size < 5 THEN 'ours' WHEN n IS NOT NULL THEN 'reference' ELSE 'default' END AS origin
-FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_discount = 0.1 GROUP BY 1) ON l_partkey = p_partkey""")
+SELECT p_partkey, coalesce(CASE WHEN p_size < 5 THEN p_size END, r, n, 255) AS level, CASE WHEN p_size < 5 THEN 'ours' WHEN r IS NOT NULL THEN 'reference' WHEN n IS NOT NULL THEN 'report' ELSE 'default' END AS origin
+FROM part LEFT JOIN (SELECT l_partkey, nullif(count(*) FILTER (l_returnflag = 'R' AND l_discount = 0.1), 0) AS r, count(*) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
 def effective_value(spark, sf_dir):
-    """VOL1, VOL2: the value that holds, and where it comes from."""
-    used = t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount = 0.1").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("level"))
+    """VOL1, VOL2: the value that holds, and where it comes from: ours, the reference's, a report's, else the default."""
+    lines = t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("level"), F.count_if((F.col("l_returnflag") == "R") & (F.col("l_discount") == 0.1)).alias("used"))
+    used = lines.where("used > 0").select("p_partkey", F.col("used").alias("level"))
     ours = t(spark, sf_dir, "part").where("p_size < 5").select("p_partkey", F.col("p_size").cast("long").alias("level"))
-    found = M.first_tier(t(spark, sf_dir, "part").select("p_partkey"), [("ours", ours, ["p_partkey"]), ("reference", used, ["p_partkey"])], "level")
+    tiers = [("ours", ours, ["p_partkey"]), ("reference", used, ["p_partkey"]), ("report", lines.select("p_partkey", "level"), ["p_partkey"])]
+    found = M.first_tier(t(spark, sf_dir, "part").select("p_partkey"), tiers, "level")
     return found.select("p_partkey", F.coalesce("level", F.lit(255)).alias("level"), F.coalesce("tier", F.lit("default")).alias("origin"))
 
 

@@ -120,14 +120,14 @@ def ordered_selection(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT user_id AS id, event_id AS ord, CASE WHEN event_type IN ('click', 'view') THEN 'base' ELSE 'extra' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'off' ELSE 'on' END AS state, value FROM events WHERE value > 100 OR event_type IN ('click', 'view')),
+WITH r AS (SELECT user_id AS id, event_id AS ord, CASE WHEN event_type IN ('click', 'view') THEN 'base' ELSE 'extra' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'off' ELSE 'on' END AS state, value FROM events),
 e AS (SELECT id, coalesce(arg_max(state = 'off', ord) FILTER (kind = 'base'), false) AS base_off,
   string_agg('f' || (ord % 9) || ',' || CAST(least(greatest(floor(value + 0.5), 0), 100) AS INTEGER) || ',' || state, ' ' ORDER BY ord) FILTER (kind = 'extra') AS extras FROM r GROUP BY 1)
 SELECT id, base_off, coalesce(extras, '') AS extras FROM e WHERE base_off OR extras IS NOT NULL""")
 def line_edits(spark, sf_dir):
     """SRC14: the edits of each sound's line: its base off, and further lines."""
     basic = F.col("event_type").isin("click", "view")
-    rows = t(spark, sf_dir, "events").where(basic | (F.col("value") > 100)).select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.when(basic, "base").otherwise("extra").alias("kind"), F.when(F.col("event_id") % 3 == 0, "off").otherwise("on").alias("state"), F.concat(F.lit("f"), (F.col("event_id") % 9).cast("string")).alias("fname"), F.col("value").alias("gain"))
+    rows = t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.when(basic, "base").otherwise("extra").alias("kind"), F.when(F.col("event_id") % 3 == 0, "off").otherwise("on").alias("state"), F.concat(F.lit("f"), (F.col("event_id") % 9).cast("string")).alias("fname"), F.col("value").alias("gain"))
     return N.line_edits(rows).withColumn("extras", F.array_join("extras", " "))
 
 

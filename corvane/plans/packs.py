@@ -232,11 +232,11 @@ def catalogue_lines(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, plan, plan || '.txt' AS file, 'o' || o_orderkey AS value FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'measure' WHEN o_orderpriority LIKE '1%' THEN 'boot' ELSE 'differs' END AS plan FROM orders WHERE o_totalprice > 1000)""")
+SELECT o_orderkey, plan, plan || '.txt' AS file, 'o' || o_orderkey AS value FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'measure' WHEN o_orderpriority LIKE '1%' THEN 'boot' ELSE 'differs' END AS plan FROM orders)""")
 def plan_lines(spark, sf_dir):
     """SNK14: the lines of each plan's file."""
     plan = F.when(F.col("o_orderstatus") == "O", "measure").when(F.col("o_orderpriority").startswith("1"), "boot").otherwise("differs")
-    orders = t(spark, sf_dir, "orders").where("o_totalprice > 1000").select("o_orderkey", plan.alias("plan"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"))
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", plan.alias("plan"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"))
     return sinks.plan_lines(orders).select("o_orderkey", "plan", "file", "value")
 
 
