@@ -33,8 +33,9 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
 
 
 def pattern_rule(verdict: str, pattern: str) -> Rule:
-    """Fits urls that hold `pattern` in any case of A-Z; `^` is a separator or an end, `*` any text."""
-    parts = {"^": r"(?:^|[^A-Za-z0-9%_]|$)", "*": r"[\s\S]*"}
+    """Fits urls that hold `pattern` in any case of A-Z; `^` is an end or a separator, which is neither a letter or digit
+    nor one of `_-.%`; `*` is any text."""
+    parts = {"^": r"(?:^|[^A-Za-z0-9_.%-]|$)", "*": r"[\s\S]*"}
     regex = "(?i)" + "".join(parts.get(c, re.escape(c)) for c in pattern)
     tokens = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", pattern.lower())
     if pattern[:1].isalnum():
@@ -44,6 +45,11 @@ def pattern_rule(verdict: str, pattern: str) -> Rule:
     return Rule(pattern, verdict, regex, tuple(tokens), len(pattern))
 
 
+def label_rule(verdict: str, label: str) -> Rule:
+    """Fits urls of hosts one of whose labels, the last one aside, is `label`."""
+    return Rule(label + ".", verdict, r"(?i)^(?:[^/?#]*\.)?" + re.escape(label) + r"\.", tuple(WORD.findall(label)), len(label) + 1)
+
+
 # The host rules that the query judges by.
 HOST_RULES = [
     host_rule("allow", "com", "/"),
@@ -57,7 +63,7 @@ PATTERN_RULES = [
     pattern_rule("block", x)
     for x in (
         "/wp-admin/",
-        "/wp-login^",
+        "/wp-login.php^",
         "/wp-json/",
         "/xmlrpc.php^",
         "/login^",
@@ -82,7 +88,7 @@ PATTERN_RULES = [
         "/trackback/",
         "/feed/",
         "/rss^",
-        "/sitemap^",
+        "/sitemap.xml^",
         "/robots.txt^",
         "/calendar/*^month=",
         "/print/",
@@ -117,7 +123,7 @@ PATTERN_RULES = [
         "^linkfarm^",
         "^spam^",
     )
-]
+] + [label_rule("block", x) for x in ("porn", "xxx", "escorts", "casino", "viagra", "cialis", "warez", "keygen", "payday-loans")]
 
 
 def _host(url: Column) -> Column:

@@ -207,6 +207,15 @@ def test_url_rules(spark):
     }
 
 
+def test_url_separators_and_labels(spark):
+    blocked = ["http://a.org/casino/", "http://a.org/x?casino", "http://casino.a.org/x", "http://www.Casino.com", "http://a.org/wp-login.php?x=1", "http://a.org/i.jpg", "http://payday-loans.a.org/", "http://a.org/login"]
+    allowed = ["http://a.org/essay-on-casino-history", "http://a.org/casino.html", "http://mycasino.org/", "http://a.org/x/casino_1", "http://a.org/i.jpg.html", "http://a.casino/", "http://a.org/login-help", "http://a.org/100%casino%20"]
+    urls = spark.createDataFrame([(u,) for u in blocked + allowed], "url string")
+    got = {r["url"]: r["verdict"] for r in url_filter.filter_urls(urls).collect()}
+    assert got == dict.fromkeys(blocked, "block") | dict.fromkeys(allowed, "allow")
+    assert url_filter.filter_urls(urls.limit(0)).count() == 0
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = quality.classify(docs, labels.where("doc_id % 3 != 0"))
