@@ -180,16 +180,16 @@ def search_cap(intro: Column, period: Column, least: float = 20.0, most: float =
     within the longest recording."""
     need = F.least(F.greatest(period, F.lit(least)), F.lit(most))
     ready = intro + period + need + spare
-    return F.struct(need.alias("need"), ready.alias("ready"), (ready <= longest).alias("usable"), period.alias("period"))
+    return F.struct(need.alias("need"), ready.alias("ready"), (ready <= longest).alias("usable"))
 
 
-def recorded_until(base: Column, plan: Column, check: float = 5.0) -> Column:
+def recorded_until(base: Column, plan: Column, period: Column, check: float = 5.0) -> Column:
     """struct(cap, hint, reason): the seconds a sound is recorded at most, the period to look for, and why there is none.
-    `plan` is a `search_cap`'s struct with the period, null where no loop is known: a loop that can be confirmed in time
+    `plan` is the `search_cap` of the period, null where no loop is known: a loop that can be confirmed in time
     lengthens the recording to one check after that."""
     usable = F.coalesce(plan["usable"], F.lit(False))
     reason = F.when(plan.isNotNull() & ~usable, "too long to confirm")
-    return F.struct(F.when(usable, F.greatest(base, plan["ready"] + check)).otherwise(base).alias("cap"), F.when(usable, plan["period"]).alias("hint"), reason.alias("reason"))
+    return F.struct(F.when(usable, F.greatest(base, plan["ready"] + check)).otherwise(base).alias("cap"), F.when(usable, period).alias("hint"), reason.alias("reason"))
 
 
 def unresolved_reason(seconds: Column, note: Column, program: Column, repeats: Column, length: Column, reason: Column, confirm: float = 20.0) -> Column:

@@ -292,7 +292,7 @@ def search_caps(spark, sf_dir):
     """SEL6: how long each sound is recorded, and the period to look for, by what its program says."""
     size = F.col("p_size")
     plan = F.when(size % 4 > 0, P.search_cap(F.col("p_retailprice") / 10.0, size * 10.0, longest=300.0))
-    return t(spark, sf_dir, "part").select("p_partkey", P.recorded_until(F.lit(120.0), plan).alias("r")).select("p_partkey", "r.*")
+    return t(spark, sf_dir, "part").select("p_partkey", P.recorded_until(F.lit(120.0), plan, size * 10.0).alias("r")).select("p_partkey", "r.*")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag <> 'N' AND l_quantity % 2 = 0""")
