@@ -145,6 +145,7 @@ def without_subsets(sets: DataFrame, keys: list[str], name: str, element: str) -
     Sets: keys, name, element, distinct. A set can only be part of one that holds its rarest element, so it meets those
     alone, and only larger ones; for these pairs the common elements are counted.
     """
+    sets = stored(sets, "sets")
     sized = sets.groupBy(*keys, name).agg(F.count("*").alias("size"))
     often = sets.groupBy(*keys, element).agg(F.count("*").alias("__n"))
     rare = sets.join(often, [*keys, element]).groupBy(*keys, name).agg(F.min(F.struct("__n", element))[element].alias(element), F.count("*").alias("__a_size"))
