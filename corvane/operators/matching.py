@@ -10,15 +10,72 @@ from pyspark.sql import functions as F
 from corvane.session import discard, stored
 
 
+#: Members of a unit and files of a set up to which they travel as a list; beyond, pairs are told apart by a shuffle.
+LISTED = 32
+
+
+def _name_token() -> Column:
+    return F.concat(F.lit("n"), F.lower("name"))
+
+
+def _content_token() -> Column:
+    return F.concat(F.lit("x"), F.col("size").cast("string"), F.lit(":"), F.col("crc").cast("string"))
+
+
+def _of_member() -> Column:
+    """What a file of a set may be found by: the name and the content of a member."""
+    return F.array(_name_token(), _content_token())
+
+
+def _of_file() -> Column:
+    """What a file is found by: its content or, if it was never dumped, its name."""
+    return F.array(F.when(F.col("no_dump"), _name_token()).when(~F.col("no_dump"), _content_token()))
+
+
+def _tokens(rows: DataFrame, key: str, of: Column) -> DataFrame:
+    return rows.select(key, F.explode(of).alias("token")).where("token is not null")
+
+
+def _parted(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """`rows` of keys with up to LISTED rows, and those of larger keys, if any."""
+    sizes = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows")).where(F.col("__rows") > LISTED)
+    if sizes.isEmpty():
+        return rows, None
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return rows.join(sizes, same, "left_anti"), rows.join(sizes, same, "left_semi")
+
+
+def _before(rows: DataFrame, key: str, of: Column, **lists: Column) -> DataFrame:
+    """(key, lists, token, before of `key`): each token of a key with the smaller ones, and lists of values of all its rows."""
+    every = F.sort_array(F.array_distinct(F.array_compact(F.flatten(F.collect_list(of)))))
+    found = rows.groupBy(key).agg(every.alias("__all"), *[F.collect_list(c).alias(n) for n, c in lists.items()])
+    found = found.select(key, *lists, "__all", F.posexplode("__all").alias("__at", "token"))
+    return found.select(key, *lists, "token", F.slice("__all", F.lit(1), F.col("__at")).alias(f"__{key}_before"))
+
+
+def _first_met(units: DataFrame, sets: DataFrame) -> DataFrame:
+    """Units and sets (by `_before`) that share a token, each pair once: where no smaller token is shared as well. Pairs can
+    be many times the rows of both, so none is shuffled to be told from its repeats."""
+    return units.join(sets, "token").where(~F.arrays_overlap("__unit_before", "__set_before"))
+
+
+def _shuffled(few: DataFrame, many: DataFrame | None, files: DataFrame, many_files: DataFrame | None) -> DataFrame | None:
+    """(unit, set): the pairs with a unit or a set that is too large for a list; None if there is none."""
+    sides = [(many, files), (few, many_files)]
+    parts = [_tokens(u, "unit", _of_member()).join(_tokens(s, "set", _of_file()), "token") for u, s in sides if u is not None and s is not None]
+    return reduce(DataFrame.unionByName, [p.select("unit", "set").distinct() for p in parts]) if parts else None
+
+
 def candidates(members: DataFrame, files: DataFrame) -> DataFrame:
     """(unit, set): sets that share a file with a unit: by crc and size, or by name for files that were never dumped.
 
-    Members: unit, name, crc, size. Files: set, name, crc, size, no_dump. Two equi-joins, not one with OR.
+    Members: unit, name, crc, size. Files: set, name, crc, size, no_dump. One equi-join on what files are found by; its
+    rows are the result, as a pair that shares several is listed at the first of them.
     """
-    by_hash = members.join(files.where("not no_dump").select("set", "crc", "size"), ["crc", "size"]).select("unit", "set")
-    undumped = files.where("no_dump").select("set", F.lower("name").alias("__name"))
-    by_name = members.withColumn("__name", F.lower("name")).join(undumped, "__name").select("unit", "set")
-    return by_hash.unionByName(by_name).distinct()
+    (few, many), (few_files, many_files) = _parted(members, "unit"), _parted(files, "set")
+    pairs = _first_met(_before(few, "unit", _of_member()), _before(few_files, "set", _of_file())).select("unit", "set")
+    rest = _shuffled(few, many, files, many_files)
+    return pairs if rest is None else pairs.unionByName(rest)
 
 
 def match_files(pairs: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
