@@ -97,27 +97,32 @@ def match_files(pairs: DataFrame, members: DataFrame, files: DataFrame) -> DataF
 def closest(matched: DataFrame) -> DataFrame:
     """(unit, set, found, bad): the set of most found files, then of fewest wrong or missing ones, then by name."""
     found = matched.groupBy("unit", "set").agg(F.count_if(F.col("status").isin("good", "renamed")).alias("found"), F.count_if(F.col("status").isin("wrong", "missing")).alias("bad"))
-    return _first_set(found)
-
-
-def _first_set(found: DataFrame) -> DataFrame:
     best = found.groupBy("unit").agg(F.min(F.struct((-F.col("found")).alias("o"), "bad", "set", "found")).alias("b"))
     return best.select("unit", "b.set", "b.found", "b.bad")
 
 
 def closest_sets(members: DataFrame, files: DataFrame) -> DataFrame:
-    """What `closest` gives for all candidate sets, without matching their files one by one.
+    """What `closest` gives for all candidate sets, without matching their files one by one or listing all pairs.
 
-    A file is found by crc and size or, if it was never dumped, by name. Files are counted by content and by name before
-    the join, and what is bad is what a set has beyond that: no set is spread out into its files for every unit.
+    A file is found by one token, its content or its name; a set's found files are those of the tokens it shares. A set
+    that shares only its most frequent token has the same figures for each unit, so the best of these sets is one row a
+    token. A set that shares others too is met by one of those, which few units have, and is counted whole. Where it is also listed by
+    its most frequent token alone, that is less than it has and cannot come first.
     """
-    by_hash = files.where("not no_dump").groupBy("crc", "size", "set").agg(F.count("*").alias("n"))
-    by_hash = members.select("unit", "crc", "size").distinct().join(by_hash, ["crc", "size"]).select("unit", "set", "n")
-    by_name = files.where("no_dump").groupBy(F.lower("name").alias("__n"), "set").agg(F.count("*").alias("n"))
-    by_name = members.select("unit", F.lower("name").alias("__n")).distinct().join(by_name, "__n").select("unit", "set", "n")
-    found = by_hash.unionByName(by_name).groupBy("unit", "set").agg(F.sum("n").alias("found"))
+    have = _tokens(members, "unit", _of_member()).distinct()
+    often = have.groupBy("token").agg(F.count("*").alias("__often"))
     sizes = files.groupBy("set").agg(F.count("*").alias("__size"))
-    return _first_set(found.join(sizes, "set").withColumn("bad", F.col("__size") - F.col("found")))
+    want = _tokens(files, "set", _of_file()).groupBy("set", "token").agg(F.count("*").alias("n")).join(often, "token").join(sizes, "set")
+    top = want.groupBy("set", "__size").agg(F.max(F.struct("__often", "token", "n")).alias("t")).select("set", "__size", "t.token", "t.n")
+    rank = lambda found: F.struct((-found).alias("o"), (F.col("__size") - found).alias("bad"), "set", found.alias("found"))
+    alone = have.join(top.groupBy("token").agg(F.min(rank(F.col("n"))).alias("b")), "token").select("unit", "b")
+    light = want.join(top, ["set", "token"], "left_anti").select("set", "token", "n")
+    some = have.join(light, "token").groupBy("unit", "set").agg(F.sum("n").alias("__light")).join(top, "set")
+    held = have.select(F.col("unit").alias("__u"), F.col("token").alias("__t"))
+    some = some.join(held, F.col("unit").eqNullSafe(F.col("__u")) & (F.col("token") == F.col("__t")), "left")
+    several = some.select("unit", rank(F.col("__light") + F.when(F.col("__t").isNotNull(), F.col("n")).otherwise(0)).alias("b"))
+    best = alone.unionByName(several).groupBy("unit").agg(F.min("b").alias("b"))
+    return best.select("unit", "b.set", "b.found", "b.bad")
 
 
 def supplier_of(needs: DataFrame, chain: DataFrame, holds: DataFrame, keys: list[str], need: str) -> DataFrame:
