@@ -46,6 +46,7 @@ def test_against_a_walk(spark, monkeypatch, listed):
         pairs, matched, best = walk(members, files)
         rows = lambda df: sorted(tuple(r) for r in df.collect())
         assert rows(M.candidates(members, files)) == pairs
+        assert rows(M.match_candidates(members, files)) == matched
         assert rows(M.closest_sets(members, files)) == best
 
 
@@ -79,6 +80,11 @@ def test_pairs_are_not_shuffled_to_be_told_apart(spark):
     assert found.count() == 40_000 and "Aggregate" not in above_first_join(found)
 
 
+def test_files_of_pairs_are_not_shuffled(spark):
+    found = M.match_candidates(*hot(spark))
+    assert found.count() == 80_000 and found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_closest_sets_lists_no_pairs_of_a_common_name(spark):
     found = M.closest_sets(*hot(spark))
     jdf = found._jdf
