@@ -60,15 +60,25 @@ class Ingest(StatefulProcessor):
         now = tuple(self.levels.get()) if self.levels.exists() else NEW
         latest = -1
         for batch in rows:
-            for place, samples in zip(batch["ord"].tolist(), batch["samples"]):
-                if place >= now[0] and not self.early.containsKey((place,)):
-                    self.early.updateValue((place,), ([int(x) for x in samples],))
+            came = dict(zip(reversed(batch["ord"].tolist()), reversed(batch["samples"].tolist())))
             latest = max(latest, int(batch["at_ms"].max()))
-            while self.early.containsKey((now[0],)):
+            # State is asked only for chunks that were held back: each question goes to the store and back.
+            held = self.early.exists()
+            while True:
                 place = now[0]
-                samples = np.asarray(self.early.getValue((place,))[0], np.int64)
-                self.early.removeKey((place,))
+                if held and self.early.containsKey((place,)):
+                    samples = self.early.getValue((place,))[0]
+                    self.early.removeKey((place,))
+                    came.pop(place, None)
+                elif place in came:
+                    samples = came.pop(place)
+                else:
+                    break
+                samples = np.asarray(samples, np.int64)
                 now = absorb(now, samples[: len(samples) // self.channels * self.channels].reshape(-1, self.channels), self.silence)
+            for place, samples in came.items():
+                if place >= now[0] and not (held and self.early.containsKey((place,))):
+                    self.early.updateValue((place,), ([int(x) for x in samples],))
         self.levels.update(now)
         due = self.due.get()[0] if self.due.exists() else -1
         if latest + self.quiet > due:

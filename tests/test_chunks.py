@@ -79,3 +79,45 @@ def test_a_stream_in_any_order_with_restarts_and_closing(spark, tmp_path):
         closed = [x for x in got if x["board"] == b and x["closed"]]
         assert len(closed) == 1 and closed[0]["frames"] == w[1]
     assert not [x for x in got if x["board"] == "last" and x["closed"]]
+
+
+class Kept(dict):
+    """A map state that counts what it is asked to hold."""
+
+    asked = 0
+
+    def exists(self):
+        return bool(self)
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self
+
+    def getValue(self, key):
+        self.asked += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.asked += 1
+        del self[key]
+
+
+def test_chunks_in_turn_do_not_go_through_the_state():
+    from unittest import mock
+
+    import pandas as pd
+
+    for order, most in ((range(50), 0), ([*range(1, 50), 0, 3], 400)):
+        ingest, early, now = chunks.Ingest(1, 2, 1000), Kept(), []
+        ingest.early, ingest.handle = early, mock.Mock()
+        ingest.levels, ingest.due = (mock.Mock(exists=lambda: False) for _ in range(2))
+        ingest.levels.update = now.append
+        parts = [[i, 3 * i, 7] for i in range(50)]
+        # The first of a place counts; two rows go to a batch.
+        rows = [pd.DataFrame({"ord": list(order[at : at + 2]), "samples": [np.array(parts[i]) for i in order[at : at + 2]], "at_ms": 5}) for at in range(0, len(order), 2)]
+        assert len(list(ingest.handleInputRows(("b",), iter(rows), None))) == 1
+        assert now[0] == walk(parts, 1) and early.asked <= most and not early
