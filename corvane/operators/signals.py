@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE, SILENCE, DC_HZ, CLIP_GAP = 44_100, 2, 10.0, 0.010
+#: Sounds that a kernel hands on together.
+SOUNDS = 16
 
 
 def per_sound(sounds: DataFrame, pcm: str, schema: str, kernel: Callable[[np.ndarray], dict]) -> DataFrame:

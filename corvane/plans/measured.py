@@ -14,6 +14,15 @@ from corvane.plans.registry import query, t
 from corvane.streaming import progress, replay
 
 
+def sounds(batches, hold: int, times: int):
+    """The sounds of rows of values, a few at a time, as they are far longer than the rows that they are made of."""
+    for batch in batches:
+        for at in range(0, len(batch), S.SOUNDS):
+            part = batch.iloc[at : at + S.SOUNDS]
+            body = [np.repeat(np.asarray(v, "<i2"), hold) for v in part["v"]]
+            yield part[["bucket"]].assign(pcm=[np.concatenate([b[: len(b) // 3][::-1], *[b] * times]).tobytes() for b in body])
+
+
 def series(spark, sf_dir, hold: int, times: int):
     """(bucket, pcm): the values of 200 events each as samples, held and repeated, with a first part of its own."""
     cents = (F.col("value") * 100 - 8000).cast("int")
@@ -22,12 +31,7 @@ def series(spark, sf_dir, hold: int, times: int):
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
     rows = rows.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["v"]).alias("v"))
 
-    def sounds(batches):
-        for batch in batches:
-            body = [np.repeat(np.asarray(v, "<i2"), hold) for v in batch["v"]]
-            yield batch[["bucket"]].assign(pcm=[np.concatenate([b[: len(b) // 3][::-1], *[b] * times]).tobytes() for b in body])
-
-    return rows.mapInPandas(sounds, "bucket long, pcm binary")
+    return rows.mapInPandas(lambda batches: sounds(batches, hold, times), "bucket long, pcm binary")
 
 
 @query()
