@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import spans
 from corvane.session import discard, stored
 
 
@@ -188,17 +190,22 @@ def universal(readers: DataFrame, entries: DataFrame, keys: list[str], value: st
 def band(items: DataFrame, keys: list[str], bands: list[tuple[str, float]], order: str) -> DataFrame:
     """(keys, a, b): pairs a < b by `order` of a group whose values differ by at most each band's width.
 
-    The values of each band fall in cells of its width; a row meets its own cells and the neighbours of all bands by one
-    equi-join, so what is close in one band alone makes no pair.
+    Rows without a neighbour within the first band are left out before anything is copied. The values of each band fall in
+    cells of its width; a row meets its own cells and the following of its neighbours by one equi-join over all bands, so what
+    is close in one band alone makes no pair.
     """
+    value, width = bands[0]
+    rows = spans.spread(items.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*keys, value)])), keys, [value, order])
+    rows = spans.along(rows, keys, [value, order], lags={"__lag": F.col(value)}, leads={"__lead": F.col(value)})
+    rows = rows.where((F.col(value) - F.col("__lag") <= width) | (F.col("__lead") - F.col(value) <= width)).select(*items.columns)
     cells = {f"__cell{i}": F.floor(F.col(v) / w) for i, (v, w) in enumerate(bands)}
-    left = items
-    for name, cell in cells.items():
-        left = left.withColumn(name, F.explode(F.array(cell - 1, cell, cell + 1)))
-    right = items.select(*keys, *[c.alias(n) for n, c in cells.items()], F.col(order).alias("b"), *[F.col(v).alias(f"__r{i}") for i, (v, _) in enumerate(bands)])
-    pairs = left.join(right, [*keys, *cells]).where(F.col(order) < F.col("b"))
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=len(bands)) if s >= (0,) * len(bands)]
+    near_cells = F.array(*[F.struct(*[(c + by).alias(n) for (n, c), by in zip(cells.items(), s)], F.lit(any(s)).alias("__on")) for s in steps])
+    left = rows.select("*", F.inline(near_cells))
+    right = rows.select(*keys, *[c.alias(n) for n, c in cells.items()], F.col(order).alias("b"), *[F.col(v).alias(f"__r{i}") for i, (v, _) in enumerate(bands)])
+    pairs = left.join(right, [*keys, *cells]).where(F.when(F.col("__on"), F.col(order) != F.col("b")).otherwise(F.col(order) < F.col("b")))
     near = reduce(lambda x, y: x & y, [F.abs(F.col(v) - F.col(f"__r{i}")) <= w for i, (v, w) in enumerate(bands)])
-    return pairs.where(near).select(*keys, F.col(order).alias("a"), "b")
+    return pairs.where(near).select(*keys, F.least(order, "b").alias("a"), F.greatest(order, "b").alias("b"))
 
 
 def leaders(pairs: DataFrame, block: list[str]) -> DataFrame:
