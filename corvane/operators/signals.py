@@ -209,13 +209,25 @@ def aligned_residual(a: np.ndarray, b: np.ndarray, most: int = 3, half: int = 24
 
 def find_twins(sounds: DataFrame, keys: list[str], sound: str = "sound", pcm: str = "pcm", most_db: float = -60.0) -> DataFrame:
     """(keys, item, leader): sounds that are an earlier one of their group once more: lengths within a sample, levels
-    within 0.01 LU, and a residual of at most `most_db`. A band join proposes pairs, the kernel verifies them."""
+    within 0.01 LU, and a residual of at most `most_db`. A band join proposes pairs, the kernel verifies them.
+
+    Of equal sounds only the first is compared with others: it is what leads the rest, or it has their leader. That holds
+    where a sound is found in itself; one that is not (silent but for its ends, or too short) stands for itself alone.
+    """
     from corvane.operators.matching import band, leaders
+    from corvane.session import stored
 
     kinds = dict(sounds.dtypes)
     levels = loudness(measure(sounds, pcm), [*keys, sound]).select(*keys, sound, "lufs")
-    sized = sounds.select(*keys, sound, (F.length(pcm) / 2).alias("frames")).join(levels, [*keys, sound])
-    pairs = band(sized, keys, [("frames", 1.0), ("lufs", 0.01)], sound)
+    sized = sounds.select(*keys, sound, (F.length(pcm) / 2).alias("frames"), F.sha2(pcm, 256).alias("__same")).join(levels, [*keys, sound])
+    sized = stored(sized, "sized")
+    equal = sized.where("lufs is not null").groupBy(*keys, "__same").agg(F.min(sound).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    firsts = sounds.join(equal.select(*keys, F.col("__first").alias(sound)), [*keys, sound], "left_semi").select(*keys, sound, pcm)
+    whole = per_sound(firsts, pcm, "db double", lambda x: {"db": aligned_residual(x, x)}).where((F.col("db") <= most_db) & ~F.isnan("db"))
+    equal = equal.join(whole.select(*keys, F.col(sound).alias("__first")), [*keys, "__first"])
+    copies = sized.join(equal, [*keys, "__same"]).where(F.col(sound) != F.col("__first")).select(*keys, sound, "__first")
+    copies = stored(copies, "copies")
+    pairs = band(sized.join(copies, [*keys, sound], "left_anti").drop("__same"), keys, [("frames", 1.0), ("lufs", 0.01)], sound)
     both = pairs.join(sounds.select(*keys, F.col(sound).alias("a"), F.col(pcm).alias("pa")), [*keys, "a"]).join(sounds.select(*keys, F.col(sound).alias("b"), F.col(pcm).alias("pb")), [*keys, "b"])
 
     def verify(batches):
@@ -224,7 +236,10 @@ def find_twins(sounds: DataFrame, keys: list[str], sound: str = "sound", pcm: st
             yield batch.loc[near, [*keys, "a", "b"]]
 
     found = both.select(*keys, "a", "b", "pa", "pb").mapInPandas(verify, ", ".join(f"{c} {kinds[c]}" for c in keys) + f", a {kinds[sound]}, b {kinds[sound]}")
-    return leaders(found, keys)
+    led = leaders(found, keys)
+    behind = led.select(*keys, F.col("item").alias("__first"), "leader")
+    behind = copies.join(behind, [*keys, "__first"], "left").select(*keys, F.col(sound).alias("item"), F.coalesce("leader", "__first").alias("leader"))
+    return led.unionByName(behind)
 
 
 def mix_gains(mix: np.ndarray, music: np.ndarray, other: np.ndarray, window: int) -> np.ndarray:
