@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import spans
@@ -15,6 +15,12 @@ from corvane.session import discard, stored
 #: Members of a unit and files of a set up to which they travel as a list; beyond, pairs are told apart by a shuffle.
 LISTED = 32
 
+#: Rows that a task should sort or hold at once, about a page of Spark's memory.
+ROWS_OF_A_TASK = 500_000
+
+#: Counted rows up to which a side is broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def _name_token() -> Column:
     return F.concat(F.lit("n"), F.lower("name"))
@@ -233,21 +239,45 @@ def leaders(pairs: DataFrame, block: list[str]) -> DataFrame:
     return lead.groupBy(*block, F.col("b").alias("item")).agg(F.min("a").alias("leader"))
 
 
+def dealt(rows: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """`rows`, of which there are about `n`, dealt by `keys` to tasks of about ROWS_OF_A_TASK. Spark merges the partitions of
+    its own shuffles into a few for each core, so that a task, and its memory, grows with the table; it leaves these alone."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_OF_A_TASK))
+    return rows.repartition(tasks, *keys)
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
 def without_subsets(sets: DataFrame, keys: list[str], name: str, element: str) -> DataFrame:
     """(keys, name, size): sets of a group that are no true part of another of the same group.
 
-    Sets: keys, name, element, distinct. A set can only be part of one that holds its rarest element, so it meets those
-    alone, and only larger ones; for these pairs the common elements are counted.
+    Sets: keys, name, element, distinct. A set can only be part of one that holds its rarest element: one with an element that
+    no other has is part of none. What is left meets the larger holders of its rarest element, and for these pairs the
+    common elements are counted. A null element counts in the size, and no other set needs to hold it.
     """
-    sets = stored(sets, "sets")
-    sized = sets.groupBy(*keys, name).agg(F.count("*").alias("size"))
-    often = sets.groupBy(*keys, element).agg(F.count("*").alias("__n"))
-    rare = sets.join(often, [*keys, element]).groupBy(*keys, name).agg(F.min(F.struct("__n", element))[element].alias(element), F.count("*").alias("__a_size"))
-    large = sets.join(sized, [*keys, name]).select(*keys, element, F.col(name).alias("__b"), F.col("size").alias("__b_size"))
-    pairs = rare.withColumnRenamed(name, "__a").join(large, [*keys, element]).where("__a_size < __b_size").select(*keys, "__a", "__b", "__a_size")
-    common = pairs.join(sets.withColumnRenamed(name, "__a"), [*keys, "__a"]).join(sets.withColumnRenamed(name, "__b"), [*keys, "__b", element])
-    parts = common.groupBy(*keys, "__a", "__b", "__a_size").agg(F.count("*").alias("__c")).where("__c = __a_size")
-    return sized.join(parts.select(*keys, F.col("__a").alias(name)).distinct(), [*keys, name], "left_anti")
+    over = lambda *by: F.count("*").over(Window.partitionBy(*by))
+    sets = stored(sets.withColumn("__size", over(*keys, name)), "sets")
+    n = sets.count()
+    held = dealt(sets, n, [*keys, element]).withColumn("__n", over(*keys, element))
+    rare = F.min(F.when(F.col(element).isNotNull(), F.struct("__n", element)))
+    whole = dealt(held, n, [*keys, name]).groupBy(*keys, name, "__size").agg(rare.alias("__rare"), F.count(element).alias("__known"))
+    whole = stored(whole, "whole")
+    shared, bare = whole.agg(F.count_if(F.col("__rare.__n") > 1), F.count_if(F.col("__rare").isNull())).first()
+
+    side = lambda to, *more: sets.select(*keys, F.col(name).alias(to), element, *more)
+    doubt = whole.where("__rare.__n > 1").select(*keys, F.col(name).alias("__a"), F.col("__size").alias("__a_size"), "__known", f"__rare.{element}")
+    pairs = _few(doubt, shared).join(side("__b", F.col("__size").alias("__b_size")), [*keys, element]).where("__a_size < __b_size")
+    pairs = stored(pairs.select(*keys, "__a", "__b", "__known"), "pairs")
+    met, asked = pairs.agg(F.count("*"), F.coalesce(F.sum("__known"), F.lit(0))).first()
+    wanted = _few(pairs, met).join(side("__a"), [*keys, "__a"])
+    common = _few(wanted, asked).join(side("__b"), [*keys, "__b", element])
+    parts = common.groupBy(*keys, "__a", "__b", "__known").agg(F.count("*").alias("__c")).where("__c = __known").select(*keys, F.col("__a").alias(name))
+    if bare:  # sets of nulls alone
+        largest = whole.groupBy(*keys).agg(F.max("__size").alias("__largest"))
+        parts = parts.unionByName(whole.where("__rare is null").join(largest, keys).where("__size < __largest").select(*keys, name))
+    return whole.join(_few(parts.distinct(), met + bare), [*keys, name], "left_anti").select(*keys, name, F.col("__size").alias("size"))
 
 
 def inherit(items: DataFrame, keys: list[str], own: str, order: Column) -> DataFrame:

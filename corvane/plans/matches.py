@@ -142,8 +142,10 @@ n AS (SELECT o_custkey, o_orderkey, count(*) AS size, list_sort(list(l_suppkey))
 SELECT o_custkey, o_orderkey, size FROM n a WHERE NOT EXISTS (SELECT 1 FROM n b WHERE a.o_custkey = b.o_custkey AND a.size < b.size AND list_has_all(b.e, a.e))""")
 def subset_elimination(spark, sf_dir):
     """SET1: a customer's orders whose suppliers are no true part of another order's."""
-    orders = t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
-    sets = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey").distinct().withColumnRenamed("l_orderkey", "o_orderkey")
+    orders = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    lines = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    n = max(lines.count(), orders.count())
+    sets = M.dealt(lines, n, ["o_orderkey"]).join(M.dealt(orders, n, ["o_orderkey"]), "o_orderkey").distinct()
     return M.without_subsets(sets, ["o_custkey"], "o_orderkey", "l_suppkey")
 
 
