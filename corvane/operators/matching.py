@@ -250,6 +250,13 @@ def _few(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
+def _looked_up(rows: DataFrame, n: int, table: DataFrame, of: int, keys: list[str]) -> DataFrame:
+    """`rows`, `n` of them, joined by `keys` to a table of `of` rows: broadcast if they are few, else both are dealt."""
+    if n <= BROADCAST_ROWS:
+        return F.broadcast(rows).join(table, keys)
+    return dealt(rows, max(n, of), keys).join(dealt(table, max(n, of), keys), keys)
+
+
 def without_subsets(sets: DataFrame, keys: list[str], name: str, element: str) -> DataFrame:
     """(keys, name, size): sets of a group that are no true part of another of the same group.
 
@@ -267,12 +274,13 @@ def without_subsets(sets: DataFrame, keys: list[str], name: str, element: str) -
     shared, bare = whole.agg(F.count_if(F.col("__rare.__n") > 1), F.count_if(F.col("__rare").isNull())).first()
 
     side = lambda to, *more: sets.select(*keys, F.col(name).alias(to), element, *more)
+    # An element that many sets hold makes a large partition of pairs, so this shuffle stays Spark's own, which may split it.
     doubt = whole.where("__rare.__n > 1").select(*keys, F.col(name).alias("__a"), F.col("__size").alias("__a_size"), "__known", f"__rare.{element}")
     pairs = _few(doubt, shared).join(side("__b", F.col("__size").alias("__b_size")), [*keys, element]).where("__a_size < __b_size")
     pairs = stored(pairs.select(*keys, "__a", "__b", "__known"), "pairs")
     met, asked = pairs.agg(F.count("*"), F.coalesce(F.sum("__known"), F.lit(0))).first()
-    wanted = _few(pairs, met).join(side("__a"), [*keys, "__a"])
-    common = _few(wanted, asked).join(side("__b"), [*keys, "__b", element])
+    wanted = _looked_up(pairs, met, side("__a"), n, [*keys, "__a"])
+    common = _looked_up(wanted, asked, side("__b"), n, [*keys, "__b", element])
     parts = common.groupBy(*keys, "__a", "__b", "__known").agg(F.count("*").alias("__c")).where("__c = __known").select(*keys, F.col("__a").alias(name))
     if bare:  # sets of nulls alone
         largest = whole.groupBy(*keys).agg(F.max("__size").alias("__largest"))
