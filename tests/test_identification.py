@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.operators import matching as M
 
@@ -89,3 +90,21 @@ def test_closest_sets_lists_no_pairs_of_a_common_name(spark):
     found = M.closest_sets(*hot(spark))
     jdf = found._jdf
     assert len(jdf.collectAsList()) == 200 and joined(jdf.queryExecution().executedPlan()) <= 2_000
+
+
+@pytest.mark.parametrize("find", [M.candidates, M.match_candidates])
+def test_no_side_of_the_pairs_is_broadcast(spark, find):
+    found = find(*hot(spark))
+    jdf = found._jdf
+    assert len(jdf.collectAsList()) >= 40_000 and "Broadcast" not in jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_common_tokens_meet_in_many_tasks(spark, monkeypatch):
+    for name, n in (("UNITS_OF_A_TASK", 7), ("SETS_OF_A_TASK", 3), ("BUCKETS", 4)):
+        monkeypatch.setattr(M, name, n)
+    members, files = tables(spark, 2)
+    pairs, matched, _ = walk(members, files)
+    assert sorted(tuple(r) for r in M.candidates(members, files).collect()) == pairs
+    assert sorted(tuple(r) for r in M.match_candidates(members, files).collect()) == matched
+    found = M.candidates(*hot(spark)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in found) == 40_000 and max(r["count"] for r in found) < 4_000
