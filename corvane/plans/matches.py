@@ -33,7 +33,7 @@ pairs AS (SELECT unit, set FROM members m JOIN files f ON m.crc = f.crc AND m.si
 @query(_ID + " SELECT * FROM pairs")
 def candidate_match(spark, sf_dir):
     """Sets that share a file with a unit by content, or by name where it was never dumped."""
-    return M.candidates(*identification(spark, sf_dir))
+    return M.candidates(*identification(spark, sf_dir, by_unit=True))
 
 
 _MATCHED = _ID + """,
