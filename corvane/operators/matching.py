@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -227,8 +228,9 @@ def universal(readers: DataFrame, entries: DataFrame, keys: list[str], value: st
     return has.join(F.broadcast(total), F.col("__n") == F.col("__all")).select(*keys)  # one row
 
 
-def band(items: DataFrame, keys: list[str], bands: list[tuple[str, float]], order: str) -> DataFrame:
-    """(keys, a, b): pairs a < b by `order` of a group whose values differ by at most each band's width.
+def band(items: DataFrame, keys: list[str], bands: list[tuple[str, float]], order: str, also: tuple[list[str], Callable] | None = None) -> DataFrame:
+    """(keys, a, b): pairs a < b by `order` of a group whose values differ by at most each band's width, and of which, if given,
+    `also` holds: columns, and a test of a pair from two functions that give those of a and of b.
 
     Rows without a neighbour within the first band are left out before anything is copied. The values of each band fall in
     cells of its width; a row meets its own cells and the following of its neighbours by one equi-join over all bands, so what
@@ -242,9 +244,12 @@ def band(items: DataFrame, keys: list[str], bands: list[tuple[str, float]], orde
     steps = [s for s in itertools.product((-1, 0, 1), repeat=len(bands)) if s >= (0,) * len(bands)]
     near_cells = F.array(*[F.struct(*[(c + by).alias(n) for (n, c), by in zip(cells.items(), s)], F.lit(any(s)).alias("__on")) for s in steps])
     left = rows.select("*", F.inline(near_cells))
-    right = rows.select(*keys, *[c.alias(n) for n, c in cells.items()], F.col(order).alias("b"), *[F.col(v).alias(f"__r{i}") for i, (v, _) in enumerate(bands)])
+    right = rows.select(*keys, *[c.alias(n) for n, c in cells.items()], F.col(order).alias("b"), *[F.col(v).alias(f"__r{i}") for i, (v, _) in enumerate(bands)], *[F.col(c).alias(f"__of_b_{c}") for c in (also[0] if also else [])])
     pairs = left.join(right, [*keys, *cells]).where(F.when(F.col("__on"), F.col(order) != F.col("b")).otherwise(F.col(order) < F.col("b")))
     near = reduce(lambda x, y: x & y, [F.abs(F.col(v) - F.col(f"__r{i}")) <= w for i, (v, w) in enumerate(bands)])
+    if also:
+        here, there = F.col, lambda c: F.col(f"__of_b_{c}")
+        near = near & F.when(F.col(order) < F.col("b"), also[1](here, there)).otherwise(also[1](there, here))
     return pairs.where(near).select(*keys, F.least(order, "b").alias("a"), F.greatest(order, "b").alias("b"))
 
 

@@ -6,12 +6,14 @@ until the relational part. A null or empty sound gives nulls. All run on `mapInP
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RATE, SILENCE, DC_HZ, CLIP_GAP = 44_100, 2, 10.0, 0.010
@@ -187,16 +189,20 @@ def find_loops(sounds: DataFrame, pcm: str = "pcm", rate: int = RATE) -> DataFra
     return per_sound(sounds, pcm, "period double, intro long, residual_db double", lambda x: loop_of(x, rate))
 
 
+def shifting(shift: float, half: int = 24) -> np.ndarray:
+    """The windowed sinc that delays samples by `shift`."""
+    t = np.arange(-half, half + 1) - shift
+    near = np.clip(t / (half + 1), -1, 1)
+    return np.sinc(t) * (0.42 + 0.5 * np.cos(np.pi * near) + 0.08 * np.cos(2 * np.pi * near))
+
+
 def aligned_residual(a: np.ndarray, b: np.ndarray, most: int = 3, half: int = 24) -> float:
     """The level in dB of what is left of `b` under `a` at the best shift of up to `most` samples and a fraction."""
     n = min(len(a), len(b))
     a, b, inside = a[:n].astype(float), b[:n].astype(float), slice(half + most, n - half - most)
-    taps = np.arange(-half, half + 1)
 
     def left(shift: float) -> float:
-        t = taps - shift
-        window = 0.42 + 0.5 * np.cos(np.pi * np.clip(t / (half + 1), -1, 1)) + 0.08 * np.cos(2 * np.pi * np.clip(t / (half + 1), -1, 1))
-        e = a[inside] - np.convolve(b, np.sinc(t) * window, "same")[inside]
+        e = a[inside] - np.convolve(b, shifting(shift, half), "same")[inside]
         return 10 * math.log10(max((e**2).mean(), 1e-12) / max((a[inside] ** 2).mean(), 1e-12))
 
     best = min(range(-most, most + 1), key=left)
@@ -207,28 +213,101 @@ def aligned_residual(a: np.ndarray, b: np.ndarray, most: int = 3, half: int = 24
     return left((lo + hi) / 2)
 
 
+#: Radians a sample at which sounds are marked, and samples of a sound that are marked together.
+MARKS, MARKED = (0.0, 0.06, 0.13, 0.25, 0.4, 0.6), 1 << 16
+
+
+@functools.cache
+def _responses(most: int, half: int) -> tuple[np.ndarray, ...]:
+    """What shifts of up to `most` + 1 do: the least and largest gain and the largest slope at each of MARKS, the largest gain
+    at any frequency, and the largest weight of each tap, with room for shifts between those tried."""
+    kernels = np.stack([shifting(s, half) for s in np.linspace(-most - 1, most + 1, 1024 * (most + 1) + 1)])
+    taps = np.arange(-half, half + 1)
+    wave = np.exp(-1j * np.outer(taps, MARKS))
+    gains, slopes = np.abs(kernels @ wave), np.abs((kernels * taps) @ wave)
+    return gains.min(0) - 0.002, gains.max(0) + 0.002, slopes.max(0) * 1.01, np.abs(np.fft.fft(kernels[::16], 1024)).max() * 1.02, np.abs(kernels).max(0) + 0.004
+
+
+@functools.lru_cache(4)
+def _waves(begin: int, end: int, edge: int, m: int) -> tuple[np.ndarray, float]:
+    """Samples `begin` to `end` of a window of `m`, turned by each of MARKS, and the sum of its squares."""
+    i = np.arange(begin, end)
+    window = np.sin(np.pi * (i + 0.5) / m)
+    turn = np.outer(i + edge, MARKS)
+    return window[:, None] * np.concatenate([np.cos(turn), -np.sin(turn)], 1), float((window**2).sum())
+
+
+def marks(x: np.ndarray, n: int, most_db: float, most: int = 3, half: int = 24) -> list[float] | None:
+    """Levels of the first `n` samples at MARKS, and the least and largest that one may have at them of which this is a twin.
+
+    If `aligned_residual` finds x under a with a residual of `most_db`, each level of a is within the bounds of x: a level
+    is a product with a wide window, that differs by no more than the residual's norm from that of x as shifted. A
+    shift turns the phase of x and hardly its level: by the shift's gain, and by how the level changes as the window moves,
+    which is taken from x itself. None if there are too few samples for a residual.
+    """
+    edge = half + most
+    m = n - 2 * edge
+    if m <= 0:
+        return None
+    least, largest, slope, gain, weight = _responses(most, half)
+    b, taps = x[:n].astype(float), np.arange(-half, half + 1)
+    got, window = np.zeros((len(taps), 2 * len(MARKS))), 0.0
+    for begin in range(0, m, MARKED):
+        end = min(m, begin + MARKED)
+        waves, square = _waves(begin, end, edge, m)
+        got += np.lib.stride_tricks.sliding_window_view(b[edge - half + begin : edge + half + end], end - begin)[::-1] @ waves
+        window += square
+    level = (got[:, : len(MARKS)] + 1j * got[:, len(MARKS) :]) * np.exp(1j * np.outer(taps, MARKS))
+    at = level[half]
+    step = (level[half + 1] - level[half - 1]) / 2
+    rest = weight @ np.abs(level - at - np.outer(taps, step))
+    share = 10 ** (most_db / 20)
+    room = slope * np.abs(step) + rest + (gain * share / (1 - share) + 1e-6) * math.sqrt(window) * math.sqrt(b @ b)
+    return [*np.abs(at), *(least * np.abs(at) - room), *(largest * np.abs(at) + room)]
+
+
+def may_be_twins(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether the marks of sound a are within the bounds of b, over the samples of the shorter."""
+    own = lambda x, y: F.when(x("frames") > y("frames"), x("__less")).otherwise(x("__own"))
+    point, bounds, k = own(a, b), own(b, a), len(MARKS)
+    return reduce(lambda x, y: x & y, [point[i].between(bounds[k + i], bounds[2 * k + i]) for i in range(k)])
+
+
 def find_twins(sounds: DataFrame, keys: list[str], sound: str = "sound", pcm: str = "pcm", most_db: float = -60.0) -> DataFrame:
     """(keys, item, leader): sounds that are an earlier one of their group once more: lengths within a sample, levels
-    within 0.01 LU, and a residual of at most `most_db`. A band join proposes pairs, the kernel verifies them.
+    within 0.01 LU, and a residual of at most `most_db`. A band join proposes pairs, bounds of their marks rule out what no shift
+    can align, and the kernel verifies the rest.
 
     Of equal sounds only the first is compared with others: it is what leads the rest, or it has their leader. That holds
     where a sound is found in itself; one that is not (silent but for its ends, or too short) stands for itself alone.
     """
-    from corvane.operators.matching import band, leaders
+    from corvane.operators.grouping import gated
+    from corvane.operators.matching import _few, band, leaders
     from corvane.session import stored
 
-    kinds = dict(sounds.dtypes)
-    levels = loudness(measure(sounds, pcm), [*keys, sound]).select(*keys, sound, "lufs")
-    sized = sounds.select(*keys, sound, (F.length(pcm) / 2).alias("frames"), F.sha2(pcm, 256).alias("__same")).join(levels, [*keys, sound])
-    sized = stored(sized, "sized")
+    kinds, marked = dict(sounds.dtypes), most_db < 0
+    sounds = stored(sounds.select(*keys, sound, pcm), "sounds")
+
+    def kernel(x: np.ndarray) -> dict:
+        own, less = ((marks(x, n, most_db) for n in (len(x), len(x) - 1)) if marked else (None, None))
+        return {"energies": block_energies(dc_blocked(x)).tolist(), "__own": own, "__less": less}
+
+    sized = sounds.select(*keys, sound, pcm, (F.length(pcm) / 2).alias("frames"), F.sha2(pcm, 256).alias("__same"))
+    sized = stored(per_sound(sized, pcm, "energies array<double>, __own array<double>, __less array<double>", kernel), "marked")
+    levels = gated(sized.select(*keys, sound, F.explode_outer("energies").alias("energy")), [*keys, sound], "energy").select(*keys, sound, "lufs")
+    sized = stored(sized.drop("energies").join(levels, [*keys, sound]), "sized")
     equal = sized.where("lufs is not null").groupBy(*keys, "__same").agg(F.min(sound).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    firsts = sounds.join(equal.select(*keys, F.col("__first").alias(sound)), [*keys, sound], "left_semi").select(*keys, sound, pcm)
+    equal = stored(equal, "equal")
+    firsts = sounds.join(_few(equal.select(*keys, F.col("__first").alias(sound)), equal.count()), [*keys, sound], "left_semi").select(*keys, sound, pcm)
     whole = per_sound(firsts, pcm, "db double", lambda x: {"db": aligned_residual(x, x)}).where((F.col("db") <= most_db) & ~F.isnan("db"))
     equal = equal.join(whole.select(*keys, F.col(sound).alias("__first")), [*keys, "__first"])
     copies = sized.join(equal, [*keys, "__same"]).where(F.col(sound) != F.col("__first")).select(*keys, sound, "__first")
     copies = stored(copies, "copies")
-    pairs = band(sized.join(copies, [*keys, sound], "left_anti").drop("__same"), keys, [("frames", 1.0), ("lufs", 0.01)], sound)
-    both = pairs.join(sounds.select(*keys, F.col(sound).alias("a"), F.col(pcm).alias("pa")), [*keys, "a"]).join(sounds.select(*keys, F.col(sound).alias("b"), F.col(pcm).alias("pb")), [*keys, "b"])
+    single = sized.join(copies, [*keys, sound], "left_anti").drop("__same")
+    pairs = stored(band(single, keys, [("frames", 1.0), ("lufs", 0.01)], sound, *[(["frames", "__own", "__less"], may_be_twins)] * marked), "near")
+    few = _few(pairs, pairs.count())
+    both = few.join(sounds.select(*keys, F.col(sound).alias("a"), F.col(pcm).alias("pa")), [*keys, "a"])
+    both = both.join(sounds.select(*keys, F.col(sound).alias("b"), F.col(pcm).alias("pb")), [*keys, "b"])
 
     def verify(batches):
         for batch in batches:
