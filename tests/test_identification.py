@@ -108,3 +108,13 @@ def test_parts_of_common_tokens_meet_in_many_tasks(spark, monkeypatch):
     assert sorted(tuple(r) for r in M.match_candidates(members, files).collect()) == matched
     found = M.candidates(*hot(spark)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in found) == 40_000 and max(r["count"] for r in found) < 4_000
+
+
+def test_files_whose_bits_are_set_by_others_are_looked_up(spark, monkeypatch):
+    members, files = tables(spark, 3)
+    members = members.unionByName(members.limit(9).withColumn("unit", F.lit(None).cast("string")))
+    want = sorted(map(str, M.match_files(M.candidates(members, files), members, files).collect()))
+    assert sorted(map(str, M.match_candidates(members, files).collect())) == want
+    # All tokens set all bits.
+    monkeypatch.setattr(M, "_bits", lambda token: F.lit(-1).cast("long"))
+    assert sorted(map(str, M.match_candidates(members, files).collect())) == want
