@@ -118,3 +118,8 @@ def test_files_whose_bits_are_set_by_others_are_looked_up(spark, monkeypatch):
     # All tokens set all bits.
     monkeypatch.setattr(M, "_bits", lambda token: F.lit(-1).cast("long"))
     assert sorted(map(str, M.match_candidates(members, files).collect())) == want
+
+
+def test_closest_sets_broadcasts_nothing(spark):
+    jdf = M.closest_sets(*hot(spark))._jdf
+    assert len(jdf.collectAsList()) == 200 and "Broadcast" not in jdf.queryExecution().executedPlan().toString()
